@@ -248,24 +248,29 @@ def _lookup(top: np.ndarray, depths: np.ndarray, found: np.ndarray, logs: np.nda
 _ready: dict = {}
 
 
+def _add_score(model, batch: pa.RecordBatch) -> pa.RecordBatch:
+    if model.id not in _ready:
+        _ready.clear()
+        top, depths, found, logs, span = model.value
+        _ready[model.id] = _lookup(top, depths, found, np.frombuffer(logs, np.float32).reshape(-1, 256), span)
+        model.forget()
+    place, table = _ready[model.id]
+    names = batch.schema.names
+    sums = np.array(batch.column(names.index("score")))
+    for a, b, data, ends in _text.slices(batch.column(names.index("text"))):
+        before, closed, ends = contexts(data, ends)
+        at = place[before]
+        at <<= 8
+        at |= closed
+        starts = np.concatenate([[0], ends[:-1]])
+        sums[a:b] += np.add.reduceat(table[at].astype(np.float64), starts)
+    return batch.set_column(names.index("score"), "score", pa.array(sums))
+
+
 def _score(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if model.id not in _ready:
-            _ready.clear()
-            top, depths, found, logs, span = model.value
-            _ready[model.id] = _lookup(top, depths, found, np.frombuffer(logs, np.float32).reshape(-1, 256), span)
-        place, table = _ready[model.id]
         for batch in batches:
-            names = batch.schema.names
-            sums = np.array(batch.column(names.index("score")))
-            for a, b, data, ends in _text.slices(batch.column(names.index("text"))):
-                before, closed, ends = contexts(data, ends)
-                at = place[before]
-                at <<= 8
-                at |= closed
-                starts = np.concatenate([[0], ends[:-1]])
-                sums[a:b] += np.add.reduceat(table[at].astype(np.float64), starts)
-            yield batch.set_column(names.index("score"), "score", pa.array(sums))
+            yield _add_score(model, batch)
 
     return run
 
@@ -284,22 +289,25 @@ class _Shared:
     def value(self):
         return self._held.value
 
+    def forget(self) -> None:
+        """In a worker: free the raw copy once lookups are made from it."""
+        if hasattr(self._held, "_value"):
+            del self._held._value
 
-def add_scores(texts: DataFrame, counts: DataFrame, table_rows: int = TABLE_ROWS) -> DataFrame:
-    """Add column ``score``: the model's log10 probability of ``text``."""
-    spark = texts.sparkSession
+
+def score_models(spark, counts: DataFrame, table_rows: int = TABLE_ROWS) -> list[_Shared]:
+    """Broadcast tables whose sums over a text are the model's log10 probability of it."""
     top, tables = weighted_tables(counts)
     tables = cut(tables)
-    out = texts.withColumn("score", F.lit(0.0))
+    models = []
     for span in _table_slices(tables, table_rows):
         part = tables.where((F.col("context") % 256).between(span[0], span[1] - 1)).toArrow()
         logs = b"".join(part.column("logs").to_pylist())
-        model = _Shared(spark, (top, part.column("depth").to_numpy(), part.column("context").to_numpy(), logs, span))
-        out = out.mapInArrow(_score(model), out.schema)
-    return out
+        models.append(_Shared(spark, (top, part.column("depth").to_numpy(), part.column("context").to_numpy(), logs, span)))
+    return models
 
 
-def _token_scores(model, total: float):
+def _token_scores(score_model, model, total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
@@ -307,11 +315,11 @@ def _token_scores(model, total: float):
         logs = np.log10((hot_counts + 0.5) / total)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
+            batch = _add_score(score_model, batch)
             names = batch.schema.names
             keep = [batch.column(names.index(c)) for c in ("doc_id", "held_out", "score")]
-            for a, b, data, ends in _text.slices(batch.column(names.index("text"))):
-                found = _text.words(data, ends)
-                hashes, ends = found
+            for a, b, data, byte_ends in _text.slices(batch.column(names.index("text"))):
+                hashes, ends = _text.words(data, byte_ends)
                 starts = np.concatenate([[0], ends[:-1]])
                 ids, which = np.unique(hashes, return_inverse=True)
                 at = np.searchsorted(hot, ids)
@@ -332,7 +340,7 @@ def _token_scores(model, total: float):
                         pa.array(ends - starts + 1),
                         pa.array(sure[ends] - sure[starts]),
                         pa.array(base[ends] - base[starts]),
-                        pa.array(ends * 0 + np.diff(np.concatenate([[0], _slice_ends(batch, names, a, b)]))),
+                        pa.array(np.diff(np.concatenate([[0], byte_ends]))),
                         tail,
                     ],
                     names=["row", "doc_id", "held_out", "score", "n_tokens", "n_known", "base_score", "n_bytes", "tail"],
@@ -342,13 +350,6 @@ def _token_scores(model, total: float):
     return run
 
 
-def _slice_ends(batch: pa.RecordBatch, names: list[str], a: int, b: int) -> np.ndarray:
-    import pyarrow.compute as pc
-
-    sizes = pc.binary_length(batch.column(names.index("text")).slice(a, b - a)).fill_null(0)
-    return np.cumsum(np.array(sizes, dtype=np.int64))
-
-
 def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, table_rows: int = TABLE_ROWS) -> DataFrame:
     """Score every text of ``docs(doc_id, text)``; learn from rows that are not held out.
 
@@ -376,9 +377,12 @@ def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, table_rows: int
     end_count = words.where(F.col("key") == F.lit(int(END_WORD.view(np.int64)))).select("n").collect()
     end_log = float(np.log10(((end_count[0]["n"] if end_count else 0) + 0.5) / scale))
 
-    scored = add_scores(texts, counts, table_rows)
+    scored = texts.withColumn("score", F.lit(0.0))
+    *earlier, last = score_models(spark, counts, table_rows)
+    for table in earlier:
+        scored = scored.mapInArrow(_score(table), scored.schema)
     rows = scored.mapInArrow(
-        _token_scores(model, scale),
+        _token_scores(last, model, scale),
         "row long, doc_id long, held_out boolean, score double, n_tokens long, n_known long, base_score double, n_bytes long, tail array<long>",
     )
     # One head row per document, then one row per word that is not among the hot ones.
