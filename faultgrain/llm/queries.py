@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import ctw, decontam, host_rules, neardup, packing
+from . import chat, ctw, decontam, host_rules, neardup, packing, sanitise
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,13 @@ def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    tricky = r"\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", tricky), (-7, 1, "assistant", tricky)], rows.schema)
+    return chat.digests(chat.format_conversations(rows.unionByName(extra)))
+
+
 def op3_bottom_k_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
@@ -25,6 +33,13 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sanitise.sanitise(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == sanitise.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    digest = F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), digest, sanitise.joined(F.col("spans")).alias("spans"))
+
+
 def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -37,8 +52,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ctw_score,
+        op2_chat_format,
         op3_bottom_k_neardup,
         op4_host_rules,
+        op6_term_disclosure,
         op7_containment_search,
         op10_best_fit_packing,
     )
@@ -48,6 +65,23 @@ _WORD = "[^\\x20\\x09-\\x0D]+"
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_chat_format": r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+t AS (
+  SELECT *, CASE role WHEN 'system' THEN 6 WHEN 'user' THEN 4 WHEN 'assistant' THEN 9 ELSE 1 + length(role)
+      + len(regexp_extract_all(role, '\\|#|</|: ')) END AS shown,
+    length(text) + len(regexp_extract_all(text, '\\|#|</')) AS escaped
+  FROM c),
+g AS (
+  SELECT conv_id, count(*)::BIGINT AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS spoken,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+    sum(4 + shown + 2 + escaped + 9)::BIGINT AS formatted_chars
+  FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(spoken) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+""",
     "op3_bottom_k_neardup": f"""
 WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) > 1 THEN list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) ELSE w END) AS s FROM w),
