@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, ctw, decontam, host_rules, neardup, packing, sanitise
+from . import chat, ctw, decontam, host_rules, langid, line_chunks, neardup, packing, sanitise, secrets_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_rules.judge_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op6_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.sanitise(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == sanitise.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -44,6 +48,18 @@ def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets_scan.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    spans = lambda c: sanitise.joined(F.col(c), secrets_scan.KINDS)
+    return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(spans("base"), 256).alias("base_sha256"), spans("spans").alias("spans"))
+
+
+def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "line_counts.*", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -55,8 +71,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_chat_format,
         op3_bottom_k_neardup,
         op4_host_rules,
+        op5_cross_parsing,
         op6_term_disclosure,
         op7_containment_search,
+        op8_token_efficiency,
+        op9_line_chunks,
         op10_best_fit_packing,
     )
 }
