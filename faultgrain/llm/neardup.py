@@ -1,19 +1,21 @@
 """Near-duplicate groups by bottom-k sketches and exact Jaccard similarity.
 
 A document's set is its distinct word shingles. Equal sets form a class, so
-copies cost one row each and are never paired. A class's sketch is the 32
+copies cost one row each and are never paired. A class's sketch is the 64
 smallest values of one hash function over its set. Two sets with a Jaccard
-similarity of at least 0.8 share at least 12 of their sketch values (fewer
-with a probability below 1e-7), so it is enough to keep, of each sketch, all
-but 11 values in inverted lists: those that are rarest in the corpus.
+similarity of at least 0.8 share at least 32 of their sketch values (fewer
+with a probability below 1e-8), small sets at least 0.8 of their values. So
+it is enough to keep, of each sketch, all but one less than that in inverted
+lists: those values that are rarest in the corpus.
 
 Links are found in two rounds. The first joins each class to its neighbour and
 to the first class of every list, a number of pairs linear in the lists, however
 long they are. The second takes, from the lists that still hold several
 components, every pair of different components. So no pair is lost, and the
 pairs inside a large group of near copies are never written out. In both
-rounds the overlap in the sketch of the union estimates the similarity, and
-pairs that may reach 0.8 are verified on their full sets.
+rounds bit maps of the sketches sort out most pairs, the overlap in the sketch
+of the union estimates the similarity of the others, and pairs that may reach
+0.8 are verified on their full sets.
 
 Classes are told apart by a 64-bit digest of the whole set.
 
@@ -37,9 +39,27 @@ from . import _text
 from ._store import cut, fresh
 from .graph import components
 
-SKETCH = 32
-SHARED = 12
+SKETCH = 64
+SHARED = 32
 BUCKETS = 1 << 20
+_MAPS = tuple(f"m{k}" for k in range(8))  # 512 bits
+
+
+def least_shared(sizes: np.ndarray) -> np.ndarray:
+    """Sketch values that a set of each size shares with any set of similarity 0.8.
+
+    Partners of sets up to 51 are sketched whole; a partner of one up to 64 has
+    at most 80 values, 16 of which its sketch lacks.
+    """
+    whole = -(-4 * sizes // 5)
+    return np.where(sizes <= 51, whole, np.where(sizes <= SKETCH, 40, SHARED))
+
+
+def bit_maps(values: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Eight longs for each of ``n`` rows with a bit set for each sketch value."""
+    bits = np.zeros((n, 512), dtype=np.uint8)
+    bits[rows, values & 511] = 1
+    return np.packbits(bits, axis=1, bitorder="little").view("<i8")
 
 
 def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
@@ -54,9 +74,9 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
                 sketches.append(_text.longs(own[:SKETCH]))
             sizes = np.diff(np.concatenate([[0], sets.ends]))
             offsets = np.concatenate([[0], np.cumsum(np.minimum(sizes, SKETCH))]).astype(np.int32)
-            values = pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int64))
+            values = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), values)],
+                [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
                 names=["doc_id", "n_shingles", "class", "sketch"],
             )
 
@@ -76,31 +96,50 @@ def _postings(counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times = counts.value
         for batch in batches:
-            sketches = batch.column(1)
+            sketches = batch.column(2)
             values = sketches.flatten().to_numpy()
             sizes = np.diff(sketches.offsets.to_numpy())
+            need = least_shared(batch.column(1).to_numpy())
             rows = np.repeat(np.arange(len(sizes)), sizes)
             order = np.lexsort((values, times[values % BUCKETS], rows))
             rank = np.arange(len(values)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            need = np.minimum(SHARED, np.maximum(1, sizes // 2))
-            at = order[rank < np.repeat(sizes - need + 1, sizes)]
-            yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column(0).take(pa.array(rows[at]))], names=["value", "class"])
+            keep = rank < np.repeat(sizes - need + 1, sizes)
+            keep &= times[values[order] % BUCKETS] > 1  # else no other class has it
+            at = order[keep]
+            maps = bit_maps(values, rows, len(sizes))[rows[at]]
+            own = pa.array(rows[at])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(values[at]), batch.column(0).take(own), batch.column(1).take(own), pa.array(np.maximum(1, need // 2)[rows[at]]), *(pa.array(np.ascontiguousarray(m)) for m in maps.T)],
+                names=["value", "class", "n_shingles", "least_bits", *_MAPS],
+            )
 
     return run
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, class, before, first) for list entries of values that several classes keep."""
+def _may_link(one: str, two: str, percent: int) -> Column:
+    """Sizes and bit maps of two classes allow a similarity of ``percent``."""
+    n = [F.col(f"{side}.n_shingles") for side in (one, two)]
+    sizes = F.least(*n) * 100 >= F.greatest(*n) * percent
+    common = sum((F.bit_count(F.col(f"{one}.{m}").bitwiseAND(F.col(f"{two}.{m}"))) for m in _MAPS[1:]), F.bit_count(F.col(f"{one}.m0").bitwiseAND(F.col(f"{two}.m0"))))
+    return sizes & (common >= F.least(F.col(f"{one}.least_bits"), F.col(f"{two}.least_bits")))
+
+
+def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
+    """Entries of values that several classes keep, with the classes before and first if they may link."""
     spark = classes.sparkSession
     held = classes.select(F.explode("sketch").alias("v")).groupBy(_bucket(F.col("v")).alias("b")).agg(F.count("*").alias("n"))
     held = held.toArrow()  # a row per bucket, at most BUCKETS
     times = np.zeros(BUCKETS, np.int64)
     times[held.column("b").to_numpy()] = held.column("n").to_numpy()
     counts = spark.sparkContext.broadcast(times)
-    lists = classes.select("class", "sketch").mapInArrow(_postings(counts), "value long, class long")
+    kinds = "value long, class long, n_shingles long, least_bits long, " + ", ".join(f"{m} long" for m in _MAPS)
+    lists = classes.select("class", "n_shingles", "sketch").mapInArrow(_postings(counts), kinds)
     order = Window.partitionBy("value").orderBy("class")
-    lists = lists.select("value", "class", F.lag("class").over(order).alias("before"), F.lead("class").over(order).alias("after"), F.first("class").over(order).alias("first"))
-    return lists.where("before is not null or after is not null").drop("after")
+    me = F.struct("class", "n_shingles", "least_bits", *_MAPS)
+    near = lists.select("value", me.alias("me"), F.lag(me).over(order).alias("before"), F.lead("class").over(order).alias("after"), F.first(me).over(order).alias("first"))
+    near = near.where("before is not null or after is not null")
+    pick = lambda other: F.when(_may_link("me", other, percent), F.col(f"{other}.class"))
+    return cut(near.select("value", "me.*", pick("before").alias("before"), F.when(F.col("me.class") != F.col("first.class"), pick("first")).alias("first")))
 
 
 def _alike(one: Column, two: Column) -> Column:
@@ -137,11 +176,11 @@ def _verify(width: int, percent: int):
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose full sets are as similar as asked for."""
-    side = classes.select("class", "rep", "n_shingles", "sketch")
+    # The upper halves of the values are enough for an estimate.
+    side = classes.select("class", "rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
     one, two = (side.select(*(F.col(c).alias(f"{c}_{k}") for c in side.columns)) for k in "ab")
     near = pairs.join(one, pairs.a == one.class_a).join(two, pairs.b == two.class_b)
-    sizes = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-    near = cut(near.where(sizes & _alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b", "rep_a", "rep_b"))
+    near = cut(near.where(_alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b", "rep_a", "rep_b"))
     wanted = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
     texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").select("doc_id", "text")
     ta, tb = texts.select(F.col("doc_id").alias("rep_a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("rep_b"), F.col("text").alias("tb"))
@@ -156,19 +195,21 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
         F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
     )
     classes = cut(classes)
-    lists = cut(inverted_lists(classes))
+    lists = inverted_lists(classes, percent)
     first = lists.select("class", F.explode(F.array_distinct(F.array_compact(F.array("before", "first")))).alias("b"))
-    first = first.where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
+    first = first.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
     linked = cut(_links(first, classes, docs, width, percent))
     groups = cut(components(linked))
-    placed = lists.select("value", "class").join(groups.withColumnRenamed("node", "class"), "class", "left")
-    placed = placed.withColumn("component", F.coalesce("component", "class"))
-    mixed = placed.groupBy("value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("value")
-    open_lists = placed.join(mixed, "value").join(classes.select("class", "n_shingles", "sketch"), "class")
-    one, two = (open_lists.select("value", *(F.col(c).alias(f"{c}_{k}") for c in ("class", "component", "n_shingles", "sketch"))) for k in "ab")
-    sizes = F.least("n_shingles_a", "n_shingles_b") * 100 >= F.greatest("n_shingles_a", "n_shingles_b") * percent
-    rest = one.join(two, "value").where(F.col("class_a") > F.col("class_b")).where(F.col("component_a") != F.col("component_b"))
-    rest = rest.where(sizes & _alike(F.col("sketch_a"), F.col("sketch_b"))).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct()
+    placed = lists.drop("before", "first").join(groups.withColumnRenamed("node", "class"), "class", "left")
+    placed = cut(placed.withColumn("component", F.coalesce("component", "class")))
+    # Every pair of different components has a side outside the list's largest one.
+    parts = placed.groupBy("value", "component").agg(F.count("*").alias("n"))
+    mixed = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    open_lists = placed.join(mixed.drop("parts"), "value")
+    one, two = open_lists.alias("one"), open_lists.where("component <> main").alias("two")
+    other = (F.col("one.component") != F.col("two.component")) & ((F.col("one.component") == F.col("one.main")) | (F.col("one.class") > F.col("two.class")))
+    rest = one.join(two, (F.col("one.value") == F.col("two.value")) & other & _may_link("one", "two", percent))
+    rest = rest.select(F.greatest("one.class", "two.class").alias("a"), F.least("one.class", "two.class").alias("b")).distinct()
     more = _links(rest, classes, docs, width, percent)
     return rows, components(linked.unionByName(more))
 
