@@ -14,6 +14,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..schema import EXCEPTIONS, FRAME
 from .text import first_non_empty, hash_parts, let, normalize_message, normalize_module, normalize_symbol, present, trim_space
@@ -176,7 +177,7 @@ def _piece_regex(piece: str) -> str | None:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _glob_regexes(patterns: pd.Series) -> pd.Series:
     return patterns.map(lambda p: glob_regex(p or ""))
 

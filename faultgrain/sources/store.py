@@ -133,3 +133,17 @@ def expired(segments: DataFrame, *, now_ns: int, max_bytes: int = 0, max_age_ns:
     last = F.row_number().over(after) == 1
     goes = segments.withColumn("_goes", free & ~last & (over | old))
     return goes.withColumn("_all", F.bool_and("_goes").over(upto)).where("_all").drop("_goes", "_all")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors see: under the checkpoint folder, or local in a local session."""
+    import tempfile
+    import uuid
+
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
