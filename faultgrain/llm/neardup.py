@@ -42,6 +42,7 @@ from .graph import components
 SKETCH = 64
 SHARED = 32
 BUCKETS = 1 << 20
+BROADCAST_IDS = 1 << 20
 _MAPS = tuple(f"m{k}" for k in range(8))  # 512 bits
 
 
@@ -75,17 +76,21 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             sizes = np.diff(np.concatenate([[0], sets.ends]))
             offsets = np.concatenate([[0], np.cumsum(np.minimum(sizes, SKETCH))]).astype(np.int32)
             values = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
+            maps = bit_maps(values, np.repeat(np.arange(b - a), np.diff(offsets)), b - a)
+            least_bits = np.maximum(1, least_shared(sizes) // 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))],
-                names=["doc_id", "n_shingles", "class", "sketch"],
-            )
+                [
+                    batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                    pa.array(least_bits), *(pa.array(np.ascontiguousarray(m)) for m in maps.T),
+                ],
+                names=["doc_id", "n_shingles", "class", "sketch", "least_bits", *_MAPS],
+            )
 
 
 def document_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, n_shingles, class, sketch) of each row; the class of an empty set is null."""
-    return docs.select("doc_id", "text").mapInArrow(
-        lambda batches: _sets(batches, width), "doc_id long, n_shingles long, class long, sketch array<long>"
-    )
+    """(doc_id, n_shingles, class, sketch, least_bits, bit maps) of each row; the class of an empty set is null."""
+    kinds = "doc_id long, n_shingles long, class long, sketch array<long>, least_bits long, " + ", ".join(f"{m} long" for m in _MAPS)
+    return docs.select("doc_id", "text").mapInArrow(lambda batches: _sets(batches, width), kinds)
 
 
 def _bucket(value: Column) -> Column:
@@ -106,12 +111,7 @@ def _postings(counts):
             keep = rank < np.repeat(sizes - need + 1, sizes)
             keep &= times[values[order] % BUCKETS] > 1  # else no other class has it
             at = order[keep]
-            maps = bit_maps(values, rows, len(sizes))[rows[at]]
-            own = pa.array(rows[at])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(values[at]), batch.column(0).take(own), batch.column(1).take(own), pa.array(np.maximum(1, need // 2)[rows[at]]), *(pa.array(np.ascontiguousarray(m)) for m in maps.T)],
-                names=["value", "class", "n_shingles", "least_bits", *_MAPS],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(values[at]), batch.column(0).take(pa.array(rows[at]))], names=["value", "class"])
 
     return run
 
@@ -124,22 +124,18 @@ def _may_link(one: str, two: str, percent: int) -> Column:
     return sizes & (common >= F.least(F.col(f"{one}.least_bits"), F.col(f"{two}.least_bits")))
 
 
-def inverted_lists(classes: DataFrame, percent: int) -> DataFrame:
-    """Entries of values that several classes keep, with the classes before and first if they may link."""
+def inverted_lists(classes: DataFrame) -> DataFrame:
+    """(value, class, before, first): entries of values that several classes keep, with the classes before and first."""
     spark = classes.sparkSession
     held = classes.select(F.explode("sketch").alias("v")).groupBy(_bucket(F.col("v")).alias("b")).agg(F.count("*").alias("n"))
     held = held.toArrow()  # a row per bucket, at most BUCKETS
     times = np.zeros(BUCKETS, np.int64)
     times[held.column("b").to_numpy()] = held.column("n").to_numpy()
     counts = spark.sparkContext.broadcast(times)
-    kinds = "value long, class long, n_shingles long, least_bits long, " + ", ".join(f"{m} long" for m in _MAPS)
-    lists = classes.select("class", "n_shingles", "sketch").mapInArrow(_postings(counts), kinds)
+    lists = classes.select("class", "n_shingles", "sketch").mapInArrow(_postings(counts), "value long, class long")
     order = Window.partitionBy("value").orderBy("class")
-    me = F.struct("class", "n_shingles", "least_bits", *_MAPS)
-    near = lists.select("value", me.alias("me"), F.lag(me).over(order).alias("before"), F.lead("class").over(order).alias("after"), F.first(me).over(order).alias("first"))
-    near = near.where("before is not null or after is not null")
-    pick = lambda other: F.when(_may_link("me", other, percent), F.col(f"{other}.class"))
-    return cut(near.select("value", "me.*", pick("before").alias("before"), F.when(F.col("me.class") != F.col("first.class"), pick("first")).alias("first")))
+    near = lists.select("value", "class", F.lag("class").over(order).alias("before"), F.lead("class").over(order).alias("after"), F.first("class").over(order).alias("first"))
+    return cut(near.where("before is not null or after is not null").drop("after"))
 
 
 def _alike(one: Column, two: Column) -> Column:
@@ -176,13 +172,18 @@ def _verify(width: int, percent: int):
 
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
     """Those of ``pairs(a, b)`` of classes whose full sets are as similar as asked for."""
+    light = classes.select("class", "n_shingles", "least_bits", *_MAPS)
+    one, two = light.alias("one"), light.alias("two")
+    near = pairs.join(one, F.col("a") == F.col("one.class")).join(two, F.col("b") == F.col("two.class")).where(_may_link("one", "two", percent)).select("a", "b")
     # The upper halves of the values are enough for an estimate.
     side = classes.select("class", "rep", F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int")).alias("sketch"))
     one, two = (side.select(*(F.col(c).alias(f"{c}_{k}") for c in side.columns)) for k in "ab")
-    near = pairs.join(one, pairs.a == one.class_a).join(two, pairs.b == two.class_b)
+    near = near.join(one, F.col("a") == F.col("class_a")).join(two, F.col("b") == F.col("class_b"))
     near = cut(near.where(_alike(F.col("sketch_a"), F.col("sketch_b"))).select("a", "b", "rep_a", "rep_b"))
-    wanted = near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct()
-    texts = docs.join(wanted, docs.doc_id == wanted.rep, "left_semi").select("doc_id", "text")
+    wanted = cut(near.select(F.explode(F.array("rep_a", "rep_b")).alias("rep")).distinct())
+    # Few enough ids spare the texts a shuffle; more are joined by one.
+    ids = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = docs.join(ids, docs.doc_id == ids.rep, "left_semi").select("doc_id", "text")
     ta, tb = texts.select(F.col("doc_id").alias("rep_a"), F.col("text").alias("ta")), texts.select(F.col("doc_id").alias("rep_b"), F.col("text").alias("tb"))
     both = near.join(ta, "rep_a").join(tb, "rep_b").select("a", "b", "ta", "tb")
     return both.mapInArrow(_verify(width, percent), "a long, b long").distinct()
@@ -192,12 +193,12 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     """All document rows with their class, and (class, group) of classes that link."""
     rows = cut(document_sets(docs, width))
     classes = rows.where("class is not null and doc_id is not null").groupBy("class").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch")
+        F.min("doc_id").alias("rep"), *(F.first(c).alias(c) for c in ("n_shingles", "sketch", "least_bits", *_MAPS))
     )
     classes = cut(classes)
-    lists = inverted_lists(classes, percent)
+    lists = inverted_lists(classes)
     first = lists.select("class", F.explode(F.array_distinct(F.array_compact(F.array("before", "first")))).alias("b"))
-    first = first.select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
+    first = first.where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
     linked = cut(_links(first, classes, docs, width, percent))
     groups = cut(components(linked))
     placed = lists.drop("before", "first").join(groups.withColumnRenamed("node", "class"), "class", "left")
@@ -205,7 +206,7 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     # Every pair of different components has a side outside the list's largest one.
     parts = placed.groupBy("value", "component").agg(F.count("*").alias("n"))
     mixed = parts.groupBy("value").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    open_lists = placed.join(mixed.drop("parts"), "value")
+    open_lists = placed.join(mixed.drop("parts"), "value").join(classes.select("class", "n_shingles", "least_bits", *_MAPS), "class")
     one, two = open_lists.alias("one"), open_lists.where("component <> main").alias("two")
     other = (F.col("one.component") != F.col("two.component")) & ((F.col("one.component") == F.col("one.main")) | (F.col("one.class") > F.col("two.class")))
     rest = one.join(two, (F.col("one.value") == F.col("two.value")) & other & _may_link("one", "two", percent))
