@@ -35,12 +35,12 @@ def _walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         admitted, wait = [], []
         for r in batch.itertuples(index=False):
-            if (r.project_id, r._busy) != key:
-                key, bucket = (r.project_id, r._busy), Bucket(r.burst, r.ts_ns)
+            if (r.project_id, r.busy_stretch) != key:
+                key, bucket = (r.project_id, r.busy_stretch), Bucket(r.burst, r.ts_ns)
             ok, ns = bucket.admit(r.ts_ns, r.per_second, r.burst)
             admitted.append(ok)
             wait.append(ns)
-        yield batch.drop(columns=["_busy"]).assign(admitted=admitted, retry_after_ns=wait)
+        yield batch.drop(columns=["busy_stretch"]).assign(admitted=admitted, retry_after_ns=wait)
 
 
 def admit(arrivals: DataFrame, limits: DataFrame | None = None) -> DataFrame:
@@ -61,6 +61,6 @@ def admit(arrivals: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     pause = F.col("ts_ns") - F.lag("ts_ns").over(order)
     full = F.coalesce(pause >= F.ceil(F.col("burst") / F.col("per_second") * NANOS), F.lit(True))
     busy = F.sum(F.when(full, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
-    sorted_rows = rows.withColumn("_busy", busy).repartition("project_id", "_busy").sortWithinPartitions("project_id", "_busy", "ts_ns", "arrival_seq")
+    sorted_rows = rows.withColumn("busy_stretch", busy).repartition("project_id", "busy_stretch").sortWithinPartitions("project_id", "busy_stretch", "ts_ns", "arrival_seq")
     out = "project_id bigint, arrival_seq bigint, ts_ns bigint, per_second double, burst double, admitted boolean, retry_after_ns bigint"
     return sorted_rows.mapInPandas(_walk, out).drop("per_second", "burst")

@@ -269,11 +269,11 @@ def events_with_org(spark, sf_dir):
 # ---- the event table ------------------------------------------------------
 
 
-def _written(spark, sf_dir, **options):
+def _written(spark, sf_dir):
     events = error_events(spark, sf_dir).withColumn("payload", F.col("message").cast("binary"))
     path = store.scratch_path(spark, "events")
-    store.write_events(events.where("number % 2 = 0"), path, **options)
-    store.write_events(events.where("number % 2 = 1"), path, **options)
+    store.write_events(events.where("number % 2 = 0"), path)
+    store.write_events(events.where("number % 2 = 1"), path)
     return path
 
 
@@ -281,8 +281,8 @@ _SCAN = f"""WITH {ERROR_EVENTS}, b AS (SELECT min(ts_ns) AS lo FROM error_events
 SELECT project_id, event_id, ts_ns, level, fingerprint, user_id, message FROM error_events, b WHERE project_id = 2 AND level = 'error' AND ts_ns BETWEEN lo + {6 * HOUR} AND lo + {72 * HOUR}"""
 
 
-def _scan_written(spark, sf_dir, **options):
-    events = store.read_events(spark, _written(spark, sf_dir, **options))
+def _scan_written(spark, sf_dir):
+    events = store.read_events(spark, _written(spark, sf_dir))
     low = error_events(spark, sf_dir).agg(F.min("ts_ns")).collect()[0][0]
     found = query.matching(events, 2, level="error", since=low + 6 * HOUR, until=low + 72 * HOUR)
     return found.select("project_id", "event_id", "ts_ns", "level", "fingerprint", "user_id", "message")
@@ -290,16 +290,10 @@ def _scan_written(spark, sf_dir, **options):
 
 @_register(_SCAN)
 def store_scan(spark, sf_dir):
-    """Written by project and hour, read back with directory pruning."""
+    """Written by date and project bucket, read back with directory pruning."""
     return _scan_written(spark, sf_dir)
 
 
-@_register(_SCAN)
-def store_scan_buckets(spark, sf_dir):
-    """Written by date and project bucket."""
-    return _scan_written(spark, sf_dir, by_bucket=True)
-
-
 @_register(f"""WITH {ERROR_EVENTS} SELECT project_id, strftime(make_timestamp(ts_ns // 1000), '%Y%m%d%H')::INT AS hour, count(*) AS rows, min(ts_ns) AS min_ts, max(ts_ns) AS max_ts
 FROM error_events GROUP BY ALL""")
 def store_manifest(spark, sf_dir):
@@ -546,7 +540,7 @@ def project_list(spark, sf_dir):
     return out.select("id", "name", "public_key", F.coalesce("events", F.lit(0)).alias("events"))
 
 
-@_register("SELECT id, at, org_id FROM (SELECT event_id AS id, epoch_us(ts) AS at, user_id % 2 + 1 AS org_id FROM events) WHERE org_id = 1 ORDER BY at DESC, id DESC LIMIT 200")
+@_register("SELECT id, \"at\", org_id FROM (SELECT event_id AS id, epoch_us(ts) AS \"at\", user_id % 2 + 1 AS org_id FROM events) WHERE org_id = 1 ORDER BY \"at\" DESC, id DESC LIMIT 200")
 def audit_trail(spark, sf_dir):
     """An append-only trail of all events' users, read back newest first."""
     e = table(spark, sf_dir, "events")

@@ -1,8 +1,9 @@
 """The event table: write, read, compact, manifest, retention.
 
-Layout: a directory per (project_id, hour), or with ``by_bucket`` per
-(event_date, project_bucket) where many tenants would make too many small
-directories. Files are sorted by project and time, so that row groups skip.
+Layout: a directory per (event_date, project_bucket), or with ``by_hour`` per
+(project_id, hour), which makes small files where there are many projects.
+Files are sorted by project and time, so that row groups skip, and have Bloom
+filters whose size follows the number of values.
 """
 
 from __future__ import annotations
@@ -14,6 +15,9 @@ from ..functions.text import HOUR_NS, hour_key
 from ..schema import EVENT, SCHEMA_VERSION
 
 BUCKETS = 64
+PIECES = 4
+BLOOM_BYTES = 128 << 10
+COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 BLOOM_COLUMNS = ("fingerprint", "release", "user_id")
 
 
@@ -29,27 +33,33 @@ def event_date(ts_ns: Column) -> Column:
     return F.to_date(F.timestamp_seconds(F.floor(ts_ns / HOUR_NS) * 3600))
 
 
-def _laid_out(events: DataFrame, by_bucket: bool, buckets: int) -> tuple[DataFrame, list[str]]:
-    if by_bucket:
+def _laid_out(events: DataFrame, by_hour: bool, buckets: int) -> tuple[DataFrame, list[str]]:
+    if by_hour:
+        keys = ["project_id", "hour"]
+        out = events.withColumn("hour", hour_key(F.col("ts_ns")))
+        piece = F.pmod(F.xxhash64("event_id", "ts_ns"), F.lit(PIECES))
+    else:
         keys = ["event_date", "project_bucket"]
         out = events.withColumn(keys[0], event_date(F.col("ts_ns"))).withColumn(keys[1], project_bucket(F.col("project_id"), buckets))
-        # A project's hours go to different tasks, so that a large tenant does not fill one.
-        return out.repartition(*keys, hour_key(F.col("ts_ns"))).sortWithinPartitions(*keys, "project_id", "ts_ns"), keys
-    out = events.withColumn("hour", hour_key(F.col("ts_ns")))
-    # Sub-hour slices spread a large project's hour.
-    piece = F.pmod(F.xxhash64("event_id", "ts_ns"), F.lit(4))
-    return out.repartition("project_id", "hour", piece).sortWithinPartitions("project_id", "hour", "ts_ns"), ["project_id", "hour"]
+        piece = F.pmod(hour_key(F.col("ts_ns")), F.lit(PIECES))
+    # A few pieces of each directory, so that a large project does not fill one task.
+    return out.repartition(*keys, piece).sortWithinPartitions(*keys, "project_id", "ts_ns"), keys
 
 
-def write_events(events: DataFrame, path: str, *, by_bucket: bool = False, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Write sorted, zstd-compressed files with Bloom filters; ``mode`` as of DataFrameWriter."""
-    out, keys = _laid_out(events.selectExpr(*(c.split()[0] for c in EVENT.split(", "))), by_bucket, buckets)
+def _save(out: DataFrame, path: str, keys: list[str], mode: str) -> None:
     writer = out.write.mode(mode).partitionBy(*keys).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
+    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
     for column in BLOOM_COLUMNS:
         writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
     writer.parquet(path)
 
 
+def write_events(events: DataFrame, path: str, *, by_hour: bool = False, buckets: int = BUCKETS, mode: str = "append") -> None:
+    """Write sorted, zstd-compressed files with Bloom filters; ``mode`` as of DataFrameWriter."""
+    out, keys = _laid_out(events.select(*COLUMNS), by_hour, buckets)
+    _save(out, path, keys, mode)
+
+
 def read_events(spark: SparkSession, path: str, *, check: bool = True) -> DataFrame:
     """The event table; new files are seen by reading again. Refuses unknown schema versions."""
     table = spark.read.parquet(path)
@@ -78,33 +88,25 @@ def partition_predicate(table: DataFrame, project_id: int, since: int | None = N
 
 def union_tiers(hot: DataFrame, warm: DataFrame) -> DataFrame:
     """Rows that are not written yet together with stored ones; the first of a repeated event id stays."""
-    columns = [c.split()[0] for c in EVENT.split(", ")]
-    both = warm.select(*columns, F.lit(0).alias("_tier")).unionByName(hot.select(*columns, F.lit(1).alias("_tier")))
+    both = warm.select(*COLUMNS, F.lit(0).alias("_tier")).unionByName(hot.select(*COLUMNS, F.lit(1).alias("_tier")))
     key = F.when(F.col("event_id") == "", F.uuid()).otherwise(F.col("event_id"))
     order = Window.partitionBy("project_id", "_key").orderBy("_tier", "ts_ns")
     return both.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n", "_tier")
 
 
-def compact(spark: SparkSession, path: str, project_hours: list[tuple[int, int]] | None = None) -> None:
-    """Rewrite directories of small files as few sorted files each; named ones, or all.
+def compact(spark: SparkSession, path: str, where: Column | None = None, buckets: int = BUCKETS) -> None:
+    """Rewrite the directories that ``where`` picks (of directory columns; all if None) as few sorted files each.
 
     The rows pass through a copy beside the table, as a directory cannot be
     overwritten while it is read.
     """
     table = spark.read.parquet(path)
-    if project_hours is not None:
-        wanted = F.lit(False)
-        for project, hour in project_hours:
-            wanted = wanted | ((F.col("project_id") == project) & (F.col("hour") == hour))
-        table = table.where(wanted)
+    by_hour = "hour" in table.columns
     beside = f"{path.rstrip('/')}__compacting"
-    write_events(table, beside, mode="overwrite")
-    out = spark.read.parquet(beside).select(*(c.split()[0] for c in EVENT.split(", ")), "hour")
-    writer = out.sortWithinPartitions("project_id", "hour", "ts_ns").write.mode("overwrite").partitionBy("project_id", "hour")
-    writer = writer.option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
-    for column in BLOOM_COLUMNS:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+    write_events(table if where is None else table.where(where), beside, by_hour=by_hour, buckets=buckets, mode="overwrite")
+    copy = spark.read.parquet(beside)
+    keys = ["project_id", "hour"] if by_hour else ["event_date", "project_bucket"]
+    _save(copy.repartition(*keys, F.pmod(F.xxhash64("project_id"), F.lit(PIECES))).sortWithinPartitions(*keys, "project_id", "ts_ns"), path, keys, "overwrite")
 
 
 def manifest(events: DataFrame) -> DataFrame:
