@@ -96,15 +96,17 @@ def automaton(sequence: np.ndarray) -> list[dict[int, int]]:
 def transitions(moves: list[dict[int, int]], width: int) -> np.ndarray:
     """Flat table: (next state's row) * 2, plus 1 where a phrase ends and the symbol opens the next.
 
-    The last symbol of the width is padding and changes nothing.
+    The last symbol of the width is padding and changes nothing. A symbol that
+    never occurs is a phrase of its own: it leads to a last state, from which
+    any symbol opens a phrase.
     """
-    root = np.zeros(width, np.int64)
+    root = np.full(width, len(moves), np.int64)
     for symbol, state in moves[0].items():
         root[symbol] = state
-    table = np.tile(root * width * 2 + 1, (len(moves), 1))
+    table = np.tile(root * width * 2 + 1, (len(moves) + 1, 1))
     for state, out in enumerate(moves):
         table[state, list(out)] = np.fromiter(out.values(), np.int64, len(out)) * width * 2
-    table[:, -1] = np.arange(len(moves)) * width * 2
+    table[:, -1] = np.arange(len(moves) + 1) * width * 2
     return table.astype(np.int32).ravel()
 
 
@@ -154,7 +156,7 @@ def _sample(docs: DataFrame) -> DataFrame:
 
 def _alphabet(pdf: pd.DataFrame) -> pd.DataFrame:
     counts = Counter(c for c in "".join(pdf["text"]).lower() if unicodedata.category(c)[0] == "L")
-    return pd.DataFrame({"letter": list(counts), "n": list(counts.values())}, columns=["letter", "n"])
+    return pd.DataFrame({"letter": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
 
 
 def _build(letters: str, width: int):
@@ -163,7 +165,7 @@ def _build(letters: str, width: int):
         text = "\n".join(pdf.sort_values("rank")["text"])
         own = symbols(text, table)[:TRAIN_CHARS]
         if not (own != _GAP).any():
-            return pd.DataFrame({"lang": [], "size": [], "table": []})
+            return pd.DataFrame({"lang": pd.Series([], dtype=object), "size": pd.Series([], dtype="int64"), "table": pd.Series([], dtype=object)})
         moves = automaton(own)
         for out in moves:
             out.pop(len(letters) + 1, None)

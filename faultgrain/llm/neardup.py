@@ -9,7 +9,7 @@ it is enough to keep, of each sketch, all but one less than that in inverted
 lists: those values that are rarest in the corpus.
 
 Links are found in two rounds. The first joins each class to its neighbour and
-to the first class of every list, a number of pairs linear in the lists, however
+to one pivot class of every list, a number of pairs linear in the lists, however
 long they are. The second takes, from the lists that still hold several
 components, every pair of different components. So no pair is lost, and the
 pairs inside a large group of near copies are never written out. In both
@@ -77,7 +77,8 @@ def _sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
             offsets = np.concatenate([[0], np.cumsum(np.minimum(sizes, SKETCH))]).astype(np.int32)
             values = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
             maps = bit_maps(values, np.repeat(np.arange(b - a), np.diff(offsets)), b - a)
-            least_bits = np.maximum(1, least_shared(sizes) // 2)
+            # 32 shared values set at least 24 of 512 bits; of whole sets, half as many bits as values are safe
+            least_bits = np.where(sizes <= 51, np.maximum(1, least_shared(sizes) // 2), 24)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, b - a), pa.array(sizes), pa.array(digests, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
@@ -125,7 +126,7 @@ def _may_link(one: str, two: str, percent: int) -> Column:
 
 
 def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, class, before, first): entries of values that several classes keep, with the classes before and first."""
+    """(value, class, before, pivot): entries of values that several classes keep, with a neighbour and the list's pivot."""
     spark = classes.sparkSession
     held = classes.select(F.explode("sketch").alias("v")).groupBy(_bucket(F.col("v")).alias("b")).agg(F.count("*").alias("n"))
     held = held.toArrow()  # a row per bucket, at most BUCKETS
@@ -134,8 +135,13 @@ def inverted_lists(classes: DataFrame) -> DataFrame:
     counts = spark.sparkContext.broadcast(times)
     lists = classes.select("class", "n_shingles", "sketch").mapInArrow(_postings(counts), "value long, class long")
     order = Window.partitionBy("value").orderBy("class")
-    near = lists.select("value", "class", F.lag("class").over(order).alias("before"), F.lead("class").over(order).alias("after"), F.first("class").over(order).alias("first"))
-    return cut(near.where("before is not null or after is not null").drop("after"))
+    near = lists.select("value", "class", F.lag("class").over(order).alias("before"), F.lead("class").over(order).alias("after"))
+    near = cut(near.where("before is not null or after is not null").drop("after"))
+    # The class with the most company in its lists is likeliest to be what the others were made from.
+    sizes = near.groupBy("value").agg(F.count("*").alias("n"))
+    company = near.join(sizes, "value").groupBy("class").agg(F.sum("n").alias("company"))
+    pivots = near.join(company, "class").groupBy("value").agg(F.max_by("class", F.struct("company", "class")).alias("pivot"))
+    return near.join(pivots, "value")
 
 
 def _alike(one: Column, two: Column) -> Column:
@@ -197,11 +203,11 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     )
     classes = cut(classes)
     lists = inverted_lists(classes)
-    first = lists.select("class", F.explode(F.array_distinct(F.array_compact(F.array("before", "first")))).alias("b"))
+    first = lists.select("class", F.explode(F.array_distinct(F.array_compact(F.array("before", "pivot")))).alias("b"))
     first = first.where("class <> b").select(F.greatest("class", "b").alias("a"), F.least("class", "b").alias("b")).distinct()
     linked = cut(_links(first, classes, docs, width, percent))
     groups = cut(components(linked))
-    placed = lists.drop("before", "first").join(groups.withColumnRenamed("node", "class"), "class", "left")
+    placed = lists.drop("before", "pivot").join(groups.withColumnRenamed("node", "class"), "class", "left")
     placed = cut(placed.withColumn("component", F.coalesce("component", "class")))
     # Every pair of different components has a side outside the list's largest one.
     parts = placed.groupBy("value", "component").agg(F.count("*").alias("n"))
