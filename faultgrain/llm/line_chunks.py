@@ -1,7 +1,7 @@
 """Removal of repeated runs of lines, found by content-defined chunks.
 
 A document's lines are hashed, and a rolling hash over each pair of
-neighbouring line hashes ends a chunk after one pair in three, once the chunk
+neighbouring line hashes ends a chunk after one pair in two, once the chunk
 has two lines. A line of more than ``LONG_WORDS`` words is a chunk of its own.
 Boundaries depend on nothing but nearby lines, so the same passage gives the
 same chunks wherever it stands.
@@ -30,7 +30,7 @@ from ._store import cut, fresh
 
 LONG_WORDS = 50
 MIN_LINES = 2
-ONE_IN = 3
+ONE_IN = 2
 _PLACES = "array<struct<place: int, h1: long, h2: long>>"
 
 
