@@ -93,7 +93,8 @@ def command_effects(hits: DataFrame, commands: DataFrame) -> DataFrame:
 
 def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = None) -> DataFrame:
     """Per hit: the issue it counts for, is_new, regressed, times_seen and status after it."""
-    effects = command_effects(hits, commands) if effects is None else effects
+    # A few rows per command, read several times below.
+    effects = command_effects(hits, commands).persist() if effects is None else effects
     spans = effects.where("effect = 'interval'").select("project_id", "fingerprint", "target", "from_seq", "to_seq")
     first = hits.groupBy(*_KEY).agg(F.min("arrival_seq").alias("_first"))
     # Spans of a fingerprint don't overlap, so an array of them keeps a hit one row.
@@ -117,7 +118,7 @@ def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = N
 
 def current_issues(hits: DataFrame, commands: DataFrame) -> DataFrame:
     """The issue table after all hits and commands, merged issues included."""
-    effects = command_effects(hits, commands)
+    effects = command_effects(hits, commands).persist()
     line = timeline(hits, commands, effects)
     first = lambda c: F.min_by(c, "arrival_seq").alias(c)
     made = hits.groupBy(*_KEY).agg(first("basis"), first("title"), F.min_by("seen_at", "arrival_seq").alias("first_seen"))
