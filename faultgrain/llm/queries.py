@@ -56,7 +56,7 @@ def op8_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_chunks.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = line_chunks.remove_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "line_counts.*", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("text_sha256"))
 
 

@@ -379,6 +379,29 @@ def test_line_chunks(spark):
     assert all(gone[k] >= 4 for k in range(1, 5)) and gone[6] == gone[7] == 1 and gone[8] == 0
 
 
+def test_planted_passages(spark):
+    """Repeated passages of 2 to 6 lines go whole, whatever stands around them; what stands once stays."""
+    rng = random.Random(21)
+    fresh = lambda: prose(rng, rng.randint(3, 9), 10**6)
+    rows, want, common = [], {}, fresh()
+    for k in range(30):
+        passage = [prose(rng, rng.randint(4, 60), 10**6) for _ in range(2 + k % 5)]
+        if k % 3 == 0:
+            passage.insert(1, "")
+        for copy in range(3):
+            head, tail = [fresh() for _ in range(rng.randint(0, 3))], [fresh(), common]
+            i = len(rows)
+            rows.append((i, "\n".join([*head, *passage, *tail])))
+            want[i] = rows[-1][1] if not copy else "\n".join([*head, *tail])
+    rows.append((len(rows), "x y\nx y\nx y\nx y"))
+    want[len(want)] = "x y"
+    once = f"{common}\n{fresh()}\n\n{common}"
+    rows.append((len(rows), once))
+    want[len(want)] = once
+    found = line_chunks.remove_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r["doc_id"]: r["text"] for r in found} == want
+
+
 def test_packing(spark, docs, corpus):
     from tokenizers import Tokenizer
 
