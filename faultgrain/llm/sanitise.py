@@ -1,9 +1,10 @@
 """Personal data and the terms that disclose it.
 
 Four kinds of personal data are found by pattern and checked (address parts,
-Luhn sums, digit counts). They are the protected entities. A word that stands
-within five words of an entity is a term for it if they meet in at least two
-different texts; how strongly it reveals the entity is their pointwise mutual
+Luhn sums, digit counts). They are the protected entities. Every word of a
+document that holds an entity, wherever it stands, is a term for it if they
+meet in at least two different texts; words that touch a span are not words
+here. How strongly a term reveals the entity is their pointwise mutual
 information over all documents, relative to the entity's own information:
 
     log2(N * n(term, entity) / (n(term) * n(entity))) / log2(N / n(entity))
@@ -12,8 +13,10 @@ It is 1 for a term that never occurs without the entity. Terms of at least
 ``DISCLOSURE`` are spans too, in every document that holds the entity: digits
 in them are generalised, other terms removed, in the sanitised text.
 
-Built-in functions only. Word counts cover all documents; candidate terms are
-broadcast to them if there are at most ``BROADCAST_TERMS``, else joined.
+All three counts are of documents. Built-in functions only. Entities of one
+text have no terms and are left out before words are counted with entities.
+Word counts cover all documents; candidate terms are broadcast to them if there
+are at most ``BROADCAST_TERMS``, else joined after counting.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows get
 equal results; a null doc_id stays null; an empty table gives an empty result.
@@ -24,12 +27,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._native import let, matches, words
+from ._native import WORD, matches, words
 from ._store import cut
 
 DISCLOSURE = 0.9
 MIN_TEXTS = 2
-REACH = 5
 BROADCAST_TERMS = 200_000
 KINDS = ("email", "ip", "card", "phone", "term")
 _LOCAL = "[A-Za-z0-9._%+-]"
@@ -81,58 +83,60 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*parts))
 
 
-def _nearby(text: Column, spans: Column) -> Column:
-    """(entity, term) of the words within REACH words of each span, other entities left out."""
+def _entities(spans: Column) -> Column:
+    return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
 
-    def around(span: Column) -> Column:
-        # A window of text wide enough for the words: what lies REACH words before and behind.
-        before = F.slice(F.reverse(words(F.substring(text, F.lit(1), span["start"]))), 1, REACH)
-        behind = F.slice(words(F.substr(text, span["end"] + 1)), 1, REACH)
-        terms = F.filter(F.array_distinct(F.concat(before, behind)), lambda w: w.rlike("\\p{L}{3}") & ~w.contains("@"))
-        entity = F.concat_ws(":", span["kind"].cast("string"), span["value"])
-        return F.transform(terms, lambda t: F.struct(entity.alias("entity"), t.alias("term")))
 
-    return F.flatten(F.transform(spans, around))
+def _outside(text: Column, spans: Column) -> Column:
+    """The text without the spans and the words that touch them."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def behind(at: Column, gap: Column) -> Column:
+        return F.when(at > 0, F.regexp_replace(gap, f"\\A{WORD}+", "")).otherwise(gap)
+
+    def step(state: Column, s: Column) -> Column:
+        gap = behind(state["at"], F.substr(text, state["at"] + 1, s["start"] - state["at"]))
+        gap = F.regexp_replace(gap, f"(?<!{WORD[:-1]}){WORD}+\\z", "")
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(" "))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], behind(state["at"], F.substr(text, state["at"] + 1))))
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of terms that reveal entities of ``found(text, spans)``, counted over ``docs``."""
+    """(entity, term, disclosure) of terms that reveal entities of ``found(h, text, spans)``, counted over ``docs``."""
     total = docs.count()
-    near = cut(
-        found.select(F.xxhash64("text").alias("h"), F.explode(F.array_distinct(_nearby(F.col("text"), F.col("spans")))).alias("x"))
-        .groupBy("x.entity", "x.term")
-        .agg(F.count("*").alias("both"), F.count_distinct("h").alias("texts"))
-        .where(F.col("texts") >= MIN_TEXTS)
-        .drop("texts")
-    )
-    holders = found.select(F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))).alias("entity"))
-    entities = holders.groupBy("entity").agg(F.count("*").alias("n_entity"))
+    holders = found.select("h", F.explode(_entities(F.col("spans"))).alias("entity"))
+    entities = holders.groupBy("entity").agg(F.count("*").alias("n_entity"), F.count_distinct("h").alias("texts"))
+    entities = cut(entities.where(F.col("texts") >= MIN_TEXTS).drop("texts"))
+    held = holders.distinct().join(entities.select("entity"), "entity").groupBy("h").agg(F.collect_list("entity").alias("entities"))
+    texts = found.groupBy("h", "text").agg(F.count("*").alias("n"), F.first("spans").alias("spans"))
+    own = F.array_distinct(words(_outside(F.col("text"), F.col("spans"))))
+    texts = texts.join(held, "h").select("n", F.array_intersect("entities", _entities(F.col("spans"))).alias("entities"), own.alias("terms"))
+    near = texts.select("n", "entities", F.explode("terms").alias("term")).select("n", "term", F.explode("entities").alias("entity"))
+    near = near.groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count("*").alias("texts"))
+    near = cut(near.where(F.col("texts") >= MIN_TEXTS).drop("texts"))
     terms = near.select("term").distinct()
-    if terms.count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    seen = docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col("text"), F.lit(""))))).alias("term"))
-    counts = seen.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Words that stand only where they touch spans do not count.
+    seen = docs.select(F.explode(F.array_distinct(words(F.coalesce(F.col("text"), F.lit(""))))).alias("term"), F.lit(1).alias("n"))
+    touching = F.array_except(words(F.col("text")), words(_outside(F.col("text"), F.col("spans"))))
+    seen = seen.unionAll(found.select(F.explode(touching).alias("term"), F.lit(-1).alias("n")))
+    few = terms.count() <= BROADCAST_TERMS
+    if few:
+        seen = seen.join(F.broadcast(terms), "term", "left_semi")
+    counts = seen.groupBy("term").agg(F.sum("n").alias("n_term"))
     shared = F.log2(total * F.col("both") / (F.col("n_term") * F.col("n_entity")))
     own = F.log2(total / F.col("n_entity"))
     scored = near.join(entities, "entity").join(counts, "term").withColumn("disclosure", F.when(own > 0, shared / own).otherwise(0.0))
     return scored.where(F.col("disclosure") >= DISCLOSURE).select("entity", "term", "disclosure")
 
 
-def _term_spans(found: DataFrame, terms: DataFrame) -> DataFrame:
-    """(doc_id, h, terms): spans of the disclosing terms in the texts that hold their entity."""
-    held = found.select("doc_id", "h", "text", F.explode(F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))).alias("entity"))
-    pairs = held.join(terms, "entity").select("doc_id", "h", "text", "term").distinct()
-    # Words split at white space give the places of whole-word hits.
-    pattern = F.concat(F.lit("(?<![^ \\t\\n\\x0B\\f\\r])\\Q"), F.regexp_replace("term", "\\\\E", "\\\\E\\\\\\\\E\\\\Q"), F.lit("\\E(?![^ \\t\\n\\x0B\\f\\r])"))
-    gaps = F.split("text", pattern, -1)
-    size = F.length("term")
-
-    def place(g: Column) -> Column:
-        starts = F.transform(F.sequence(F.lit(1), F.size(g) - 1), lambda i: F.aggregate(F.transform(F.slice(g, F.lit(1), i), lambda x: F.length(x)), F.lit(0), lambda a, x: a + x) + (i - 1) * size)
-        return F.transform(starts, lambda s: F.struct(s.alias("start"), F.lit(KINDS.index("term")).alias("kind"), (s + size).alias("end"), F.col("term").alias("value")))
-
-    spans = pairs.select("doc_id", "h", F.explode(let(gaps, lambda g: F.when(F.size(g) > 1, place(g)).otherwise(F.expr(f"cast(array() as {_SPANS})")))).alias("s"))
-    return spans.groupBy("doc_id", "h").agg(F.collect_set("s").alias("terms"))
+def _term_spans(text: Column, terms: Column) -> Column:
+    """Spans of the whole words of ``text`` that are among ``terms``."""
+    quoted = F.transform(terms, lambda t: F.concat(F.lit("\\Q"), F.regexp_replace(t, "\\\\E", "\\\\E\\\\\\\\E\\\\Q"), F.lit("\\E")))
+    pattern = F.concat(F.lit(f"(?<!{WORD[:-1]})(?:"), F.array_join(quoted, "|"), F.lit(f")(?!{WORD[:-1]})"))
+    place = lambda m: F.struct(m["start"].alias("start"), F.lit(KINDS.index("term")).alias("kind"), m["end"].alias("end"), m["value"].alias("value"))
+    return F.when(F.size(terms) > 0, F.transform(matches(text, pattern), place)).otherwise(F.expr(f"cast(array() as {_SPANS})"))
 
 
 def _cleaned(text: Column, spans: Column) -> Column:
@@ -160,10 +164,11 @@ def sanitise(docs: DataFrame) -> DataFrame:
     rows = rows.select("doc_id", "base", F.when(F.size("base") > 0, F.col("text")).alias("text"))
     rows = cut(rows.withColumn("h", F.xxhash64("text")))
     found = rows.where("text is not null").withColumnRenamed("base", "spans")
-    terms = _term_spans(found, disclosing_terms(found, docs))
-    terms = terms.select(F.col("doc_id").alias("term_doc"), F.col("h").alias("term_h"), "terms")
-    out = rows.join(terms, rows["doc_id"].eqNullSafe(terms["term_doc"]) & (rows["h"] == terms["term_h"]), "left")
-    spans = F.array_sort(F.concat("base", F.coalesce("terms", F.expr(f"cast(array() as {_SPANS})"))))
+    terms = cut(disclosing_terms(found, docs)).groupBy("entity").agg(F.collect_set("term").alias("terms"))
+    held = found.select("doc_id", "h", F.explode(_entities(F.col("spans"))).alias("entity")).distinct().join(terms, "entity")
+    held = held.groupBy(F.col("doc_id").alias("term_doc"), F.col("h").alias("term_h")).agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
+    out = rows.join(held, rows["doc_id"].eqNullSafe(held["term_doc"]) & (rows["h"] == held["term_h"]), "left")
+    spans = F.when(F.size("terms") > 0, F.array_sort(F.concat("base", _term_spans(F.col("text"), F.col("terms"))))).otherwise(F.col("base"))
     out = out.select("doc_id", "base", spans.alias("spans"), "text")
     return out.select("doc_id", "base", "spans", F.when(F.col("text").isNotNull(), _cleaned(F.col("text"), F.col("spans"))).alias("sanitised"))
 

@@ -311,6 +311,21 @@ def test_disclosing_terms(spark):
     assert all(not found[10 + k]["spans"] for k in range(50))
 
 
+def test_disclosing_terms_anywhere(spark):
+    """Terms far from the entity, digits, codes and short names count; words glued to a span and common words do not."""
+    filler = [f"w{k}" for k in range(40)]
+    far = " ".join(filler)
+    rows = [(k, f"A-4711 {far} mail:boss@corp.example, {far} 李 and Vo {'near Kiruna ' if k else ''}{far} x\\Ey only{k}") for k in range(3)]
+    rows += [(3, rows[2][1])]  # a repeated row
+    rows += [(10 + k, f"{far} and mail: {far} near") for k in range(60)]
+    found = {r["doc_id"]: r for r in sanitise.sanitise(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    for k in range(4):
+        assert {s["value"] for s in found[k]["spans"] if s["kind"] == 4} == {"A-4711", "李", "Vo", "x\\Ey", *(["Kiruna"] if k else [])}
+        assert all(rows[k][1][s["start"] : s["end"]] == s["value"] for s in found[k]["spans"])
+        assert found[k]["sanitised"].startswith("A-0000 w0 ") and "Vo" not in found[k]["sanitised"] and "李" not in found[k]["sanitised"]
+    assert all(not found[10 + k]["spans"] for k in range(60))
+
+
 @pytest.mark.parametrize("block_values", [decontam.BLOCK_VALUES, 60])
 def test_contamination(spark, corpus, docs, block_values):
     rng = random.Random(11)
