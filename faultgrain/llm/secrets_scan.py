@@ -3,10 +3,12 @@
 Three kinds of secrets are found by pattern. A further string of at least 20
 characters of ``A-Za-z0-9+/_=-`` is a secret if a public BPE vocabulary needs
 many tokens for it: prose and names compress to three or more characters a
-token, random strings stay below ``RATIO``. Strings that are known digests
-(hexadecimal of a digest's length), UUIDs, numbers or identifiers (letters only,
-or words joined by ``_``, ``-`` and ``/``) are left out first, as is what touches
-a pattern's span.
+token, random strings stay below ``RATIO``. Patterns' spans are cut out of a
+string, each rest of at least 20 characters is tested. Known digests
+(hexadecimal of a digest's length), UUIDs and numbers are left out first. Of
+letters only, or letters joined by ``_``, ``-`` and ``/`` to letters or short
+numbers, each part of two letters or more is measured by itself: it is an
+identifier unless parts below ``RATIO`` have at least ``ODD_LETTERS`` letters.
 
 Defined cases: a null text counts as empty; repeated rows are scanned each; a
 null doc_id stays null; an empty table gives an empty result.
@@ -28,6 +30,7 @@ from . import _text
 KINDS = ("assign", "access", "hex", "random")
 RATIO = 2.0
 MIN_CHARS = 20
+ODD_LETTERS = 10
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
@@ -77,10 +80,26 @@ def _rows_with_runs(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def excluded(value: str) -> bool:
-    """A known digest, UUID, number or identifier."""
+    """A known digest, UUID or number."""
     if len(value) in _DIGEST_CHARS and re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value):
         return True
-    return bool(_UUID.fullmatch(value) or _NAME.fullmatch(value) or re.fullmatch(r"[0-9+/_=-]+|[+/_=-]+", value))
+    return bool(_UUID.fullmatch(value) or re.fullmatch(r"[0-9+/_=-]+|[+/_=-]+", value))
+
+
+def unusual(value: str, encoding, ratio: float = RATIO) -> bool:
+    """True if the vocabulary needs many tokens for ``value``, or for the parts of an identifier."""
+    if _NAME.fullmatch(value):
+        parts = re.findall("[A-Za-z]{2,}", value)
+        return sum(len(p) for p in parts if len(p) < ratio * len(encoding.encode_ordinary(p))) >= ODD_LETTERS
+    return len(value) < ratio * len(encoding.encode_ordinary(value))
+
+
+def _rests(start: int, end: int, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The pieces of at least MIN_CHARS between start and end without what is taken, in order of start."""
+    for s, e in (*taken, (end, end)):
+        if min(s, end) - start >= MIN_CHARS:
+            yield start, min(s, end)
+        start = max(start, e)
 
 
 def scan(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, int, int, bool]]:
@@ -90,11 +109,10 @@ def scan(text: str, encoding, ratio: float = RATIO) -> list[tuple[int, int, int,
     base += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
     out = [(*s, True) for s in base]
     for m in _CANDIDATE.finditer(text):
-        start, end = m.span()
-        if any(s < end and start < e for s, _, e in base) or excluded(m[0]):
-            continue
-        if end - start < ratio * len(encoding.encode_ordinary(m[0])):
-            out.append((start, 3, end, False))
+        for start, end in _rests(*m.span(), sorted((s, e) for s, _, e in base if s < m.end() and m.start() < e)):
+            value = text[start:end]
+            if not excluded(value) and unusual(value, encoding, ratio):
+                out.append((start, 3, end, False))
     return sorted(out)
 
 
