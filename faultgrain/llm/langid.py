@@ -1,15 +1,16 @@
 """Language identification by cross-parsing against suffix automata.
 
-A text is cut greedily into phrases, each the longest run of letters that
-occurs in a language's training text. The language with the fewest phrases,
+A text is cut greedily into phrases, each the longest run of letters' UTF-8
+bytes that occurs in a language's training text. The language with the fewest phrases,
 each weighted by the bits that point into its training text, per symbol wins.
 
 Learning takes at most ``ROWS`` labelled rows per language, those with the
-smallest hash of doc_id, and at most ``TRAIN_CHARS`` symbols of them. Each
+smallest hash of doc_id, and at most ``TRAIN_CHARS`` letters and boundaries of
+them, an equal share of each row and what short rows leave to longer ones. Each
 language's suffix automaton is built in a Spark task and becomes a transition
-table; all tables together are of bounded size and broadcast. Letters beyond
-the ``LETTERS`` most frequent of the samples share one symbol that matches
-nothing; runs of other characters are one boundary symbol. Whole texts are
+table; all tables together are of bounded size and broadcast. Letters are taken
+in lower case, of any script; a byte of no sample matches nothing; runs of
+other characters are one boundary symbol. Whole texts are
 parsed, in blocks of ``BLOCK`` symbols side by side; a phrase ends with its block.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
@@ -21,8 +22,8 @@ from __future__ import annotations
 
 import sys
 import unicodedata
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,6 @@ from . import _text
 
 ROWS = 64
 TRAIN_CHARS = 20_000
-LETTERS = 96
 BLOCK = 512
 _GAP = 0
 
@@ -44,25 +44,53 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")), F.lit(0)) % 4 == 2
 
 
-def symbol_table(letters: str) -> np.ndarray:
-    """Symbol of each code point: 0 no letter, 1.. the letters, then one for any other letter."""
-    place = {c: i for i, c in enumerate(letters, 1)}
-    table = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
+@lru_cache(1)
+def _lower_letters() -> np.ndarray:
+    """Of each code point its letter in lower case, 0 for what is no letter."""
+    table = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
     for point in range(sys.maxunicode + 1):
         char = chr(point)
         if unicodedata.category(char)[0] == "L":
-            table[point] = place.get(char.lower()[:1], len(letters) + 1)
+            table[point] = ord(char.lower()[:1])
     return table
 
 
-def symbols(text: str, table: np.ndarray) -> np.ndarray:
-    """A text's symbols, with runs of boundaries as one."""
-    found = table[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
+def letters(text: str) -> np.ndarray:
+    """A text's letters as code points in lower case, with runs of boundaries as one."""
+    found = _lower_letters()[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)]
     keep = found != _GAP
     keep[1:] |= found[:-1] != _GAP
     return found[keep]
 
 
+def _bytes(found: np.ndarray) -> np.ndarray:
+    """UTF-8 bytes of letters, a boundary as byte 0."""
+    return np.frombuffer(found.tobytes().decode("utf-32-le").encode(), dtype=np.uint8)
+
+
+def symbol_table(known: bytes) -> np.ndarray:
+    """Symbol of each byte: 0 the boundary, 1.. the known ones, then one for any other."""
+    table = np.full(256, len(known) + 1, dtype=np.uint8)
+    table[np.frombuffer(known, dtype=np.uint8)] = np.arange(1, len(known) + 1)
+    table[_GAP] = _GAP
+    return table
+
+
+def symbols(text: str, table: np.ndarray) -> np.ndarray:
+    """A text's symbols."""
+    return table[_bytes(letters(text))]
+
+
+def shares(sizes: list[int], total: int) -> list[int]:
+    """``total`` dealt out equally, to none more than its size."""
+    out, left = [0] * len(sizes), total
+    order = sorted(range(len(sizes)), key=lambda k: sizes[k])
+    for done, k in enumerate(order):
+        out[k] = min(sizes[k], left // (len(sizes) - done))
+        left -= out[k]
+    return out
+
+
 def automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of a symbol sequence; state 0 is the root."""
     moves, link, length = [{}], [-1], [0]
@@ -154,21 +182,24 @@ def _sample(docs: DataFrame) -> DataFrame:
     return texts.withColumn("rank", rank).where(F.col("rank") <= ROWS)
 
 
+def _training(pdf: pd.DataFrame) -> np.ndarray:
+    """UTF-8 bytes of the letters that a language's rows give, boundaries between the rows."""
+    rows = [letters(t) for t in pdf.sort_values("rank")["text"]]
+    parts = [r[:n] for r, n in zip(rows, shares([len(r) for r in rows], TRAIN_CHARS), strict=True)]
+    gap = np.zeros(1, np.uint32)
+    return _bytes(np.concatenate([gap[:0], *(x for r in parts if len(r) for x in (r, gap[: int(r[-1] != _GAP)]))]))
+
+
 def _alphabet(pdf: pd.DataFrame) -> pd.DataFrame:
-    counts = Counter(c for c in "".join(pdf["text"]).lower() if unicodedata.category(c)[0] == "L")
-    return pd.DataFrame({"letter": pd.Series(list(counts), dtype=object), "n": pd.Series(list(counts.values()), dtype="int64")})
+    return pd.DataFrame({"known": np.unique(_training(pdf)).astype("int32")})
 
 
-def _build(letters: str, width: int):
+def _build(known: bytes, width: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        table = symbol_table(letters)
-        text = "\n".join(pdf.sort_values("rank")["text"])
-        own = symbols(text, table)[:TRAIN_CHARS]
+        own = symbol_table(known)[_training(pdf)]
         if not (own != _GAP).any():
             return pd.DataFrame({"lang": pd.Series([], dtype=object), "size": pd.Series([], dtype="int64"), "table": pd.Series([], dtype=object)})
         moves = automaton(own)
-        for out in moves:
-            out.pop(len(letters) + 1, None)
         return pd.DataFrame({"lang": [pdf["lang"].iloc[0]], "size": [len(own)], "table": [transitions(moves, width).tobytes()]})
 
     return run
@@ -179,10 +210,10 @@ _ready: dict = {}
 
 def _predict(model, key: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        letters, width, langs, sizes, raw = model.value
+        known, width, langs, sizes, raw = model.value
         if key not in _ready:
             _ready.clear()
-            _ready[key] = symbol_table(letters), [np.frombuffer(t, np.int32) for t in raw]
+            _ready[key] = symbol_table(known), [np.frombuffer(t, np.int32) for t in raw]
         table, tables = _ready[key]
         bits = np.log2(np.maximum(sizes, 2))
         for batch in batches:
@@ -208,11 +239,11 @@ def identify(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of ``docs(doc_id, text, lang)``; lang is used of training rows only."""
     spark = docs.sparkSession
     sample = _sample(docs.select("doc_id", "text", "lang"))
-    counts = sample.groupBy("lang").applyInPandas(_alphabet, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n"))
-    letters = "".join(r["letter"] for r in counts.orderBy(F.desc("n"), "letter").limit(LETTERS).collect())
-    width = len(letters) + 3
-    rows = sample.groupBy("lang").applyInPandas(_build(letters, width), "lang string, size long, table binary").collect()  # a table of bounded size per language
+    found = sample.groupBy("lang").applyInPandas(_alphabet, "known int").where("known > 0").distinct().collect()  # bytes of UTF-8
+    known = bytes(sorted(r["known"] for r in found))
+    width = len(known) + 3
+    rows = sample.groupBy("lang").applyInPandas(_build(known, width), "lang string, size long, table binary").collect()  # a table of bounded size per language
     rows.sort(key=lambda r: r["lang"])
-    model = spark.sparkContext.broadcast((letters, width, [r["lang"] for r in rows], np.array([r["size"] for r in rows], float), [bytes(r["table"]) for r in rows]))
+    model = spark.sparkContext.broadcast((known, width, [r["lang"] for r in rows], np.array([r["size"] for r in rows], float), [bytes(r["table"]) for r in rows]))
     out = docs.select("doc_id", "text").mapInArrow(_predict(model, str(model._jbroadcast.id())), "doc_id long, lang_pred string, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")

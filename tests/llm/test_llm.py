@@ -250,6 +250,31 @@ def test_language(spark):
     assert langid.identify(spark.createDataFrame(odd, "doc_id bigint, text string, lang string").where("doc_id = 901")).collect()[0]["lang_pred"] == "und"
 
 
+def test_language_of_many_letters(spark):
+    """Languages with hundreds of letters each, of several scripts, in short texts."""
+    rng = random.Random(31)
+    starts = {"aa": 0x4E00, "bb": 0x4E00, "cc": 0xAC00, "dd": 0x10000}
+    words = {lang: ["".join(chr(a + rng.randrange(80 if lang == "dd" else 2000)) for _ in range(3)) for _ in range(120)] for lang, a in starts.items()}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(3 if langid_held(i) else 30)), lang) for i, lang in enumerate(list(starts) * 100)]
+    found = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    out = [(r["lang_pred"], lang) for i, _, lang in rows if (r := found[i])["held_out"]]
+    assert len(out) > 60 and all(a == b for a, b in out)
+
+
+def langid_held(i):
+    return zlib.crc32(str(i).encode()) % 4 == 2
+
+
+def test_training_shares():
+    assert langid.shares([30000, 10, 500, 400], 1000) == [330, 10, 330, 330]
+    assert langid.shares([3, 4], 10) == [3, 4] and langid.shares([], 5) == []
+    import pandas as pd
+
+    frame = pd.DataFrame({"text": ["ab " * 30000, "xyz"], "rank": [1, 2]})
+    own = bytes(langid._training(frame))
+    assert own.endswith(b"\0xyz\0") and own.startswith(b"ab\0ab") and langid.TRAIN_CHARS <= len(own) <= langid.TRAIN_CHARS + 2
+
+
 def test_phrases_are_longest_matches():
     rng = random.Random(8)
     width = 6
