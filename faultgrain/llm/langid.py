@@ -4,14 +4,18 @@ A text is cut greedily into phrases, each the longest run of letters' UTF-8
 bytes that occurs in a language's training text. The language with the fewest phrases,
 each weighted by the bits that point into its training text, per symbol wins.
 
-Learning takes at most ``ROWS`` labelled rows per language, those with the
-smallest hash of doc_id, and at most ``TRAIN_CHARS`` letters and boundaries of
-them, an equal share of each row and what short rows leave to longer ones. Each
+Learning takes, of each language, at most ``ROWS`` whole labelled rows of at most
+``ROW_BYTES`` bytes, those with the smallest hash of doc_id; where all rows are
+longer, the shortest row alone, and no row of more than ``LONG_BYTES``. Each
 language's suffix automaton is built in a Spark task and becomes a transition
-table; all tables together are of bounded size and broadcast. Letters are taken
-in lower case, of any script; a byte of no sample matches nothing; runs of
-other characters are one boundary symbol. Whole texts are
-parsed, in blocks of ``BLOCK`` symbols side by side; a phrase ends with its block.
+table of bounded size; tables of ``LANGUAGES`` languages are broadcast at a time,
+and with more languages the texts pass through one group after another.
+
+Letters are taken in lower case, of any script; a byte of no sample matches
+nothing; runs of other characters are one boundary symbol. Whole texts are
+parsed as one sequence each: pieces of ``PIECE`` symbols run side by side, each
+from the automaton's root, and are then corrected from the state in which the
+piece before ends, until both runs meet.
 
 Defined cases: a text that is null or has no letter is ``und`` with score 0, as
 is every text if no row can be learned from; ties go to the first language by
@@ -32,10 +36,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
+from ._store import cut
 
-ROWS = 64
-TRAIN_CHARS = 20_000
-BLOCK = 512
+ROWS = 24
+ROW_BYTES = 2048
+LONG_BYTES = 48 << 10
+LANGUAGES = 8
+PIECE = 512
 _GAP = 0
 
 
@@ -81,16 +88,6 @@ def symbols(text: str, table: np.ndarray) -> np.ndarray:
     return table[_bytes(letters(text))]
 
 
-def shares(sizes: list[int], total: int) -> list[int]:
-    """``total`` dealt out equally, to none more than its size."""
-    out, left = [0] * len(sizes), total
-    order = sorted(range(len(sizes)), key=lambda k: sizes[k])
-    for done, k in enumerate(order):
-        out[k] = min(sizes[k], left // (len(sizes) - done))
-        left -= out[k]
-    return out
-
-
 def automaton(sequence: np.ndarray) -> list[dict[int, int]]:
     """Transitions of the suffix automaton of a symbol sequence; state 0 is the root."""
     moves, link, length = [{}], [-1], [0]
@@ -140,54 +137,63 @@ def transitions(moves: list[dict[int, int]], width: int) -> np.ndarray:
 
 def phrases(texts: list[np.ndarray], tables: list[np.ndarray], width: int) -> np.ndarray:
     """Phrase counts [text, language] of symbol sequences."""
-    blocks = [-(-len(t) // BLOCK) for t in texts]
-    grid = np.full((sum(blocks), BLOCK), width - 1, np.uint8)
+    pieces = np.array([-(-len(t) // PIECE) for t in texts], dtype=int)
+    total = int(pieces.sum())
+    ends = np.cumsum(pieces)
+    first = np.zeros(total, bool)
+    first[(ends - pieces)[pieces > 0]] = True
+    grid = np.full((total, PIECE), width - 1, np.uint8)
     flat = grid.ravel()
-    at = 0
-    for t, n in zip(texts, blocks, strict=True):
-        flat[at * BLOCK : at * BLOCK + len(t)] = t
-        at += n
-    # Fuller blocks first, so that finished ones drop out of the steps.
-    sizes = np.concatenate([[min(BLOCK, len(t) - k * BLOCK) for k in range(n)] for t, n in zip(texts, blocks, strict=True) if n] or [[]]).astype(int)
-    order = np.argsort(-sizes, kind="stable")
-    steps = np.ascontiguousarray(grid[order].T)
-    active = np.searchsorted(-sizes[order], -np.arange(BLOCK), side="left")
-    counts = np.zeros((sum(blocks), len(tables)))
+    for t, end, n in zip(texts, ends.tolist(), pieces.tolist(), strict=True):
+        flat[(end - n) * PIECE : (end - n) * PIECE + len(t)] = t
+    steps = np.ascontiguousarray(grid.T)
+    counts = np.zeros((len(texts), len(tables)))
+    if not total:
+        return counts
     for k, table in enumerate(tables):
-        state = np.zeros(sum(blocks), np.int32)
-        ended = np.ones(sum(blocks), np.int32)
-        for step in range(BLOCK):
-            n = active[step]
-            if not n:
+        # After each step: (state's row) * 2, plus 1 where a phrase ended.
+        runs = np.empty((PIECE, total), np.int32)
+        state = np.zeros(total, np.int32)
+        for step in range(PIECE):
+            runs[step] = table[state + steps[step]]
+            state = runs[step] >> 1
+        began = np.zeros(total, np.int32)
+        while True:
+            start = np.where(first, 0, np.roll(runs[-1] >> 1, 1))
+            at = np.flatnonzero(start != began)
+            if not len(at):
                 break
-            found = table[state[:n] + steps[step, :n]]
-            ended[:n] += found & 1
-            state[:n] = found >> 1
-        counts[order, k] = ended
-        counts[order, k] -= table[steps[0][: len(order)]] & 1 if len(order) else 0  # a block opens its first phrase once
-    ends = np.cumsum(blocks)
-    totals = np.vstack([np.zeros(len(tables)), np.cumsum(counts, axis=0)])
-    return totals[ends] - totals[ends - np.array(blocks, dtype=int)] if len(blocks) else np.zeros((0, len(tables)))
+            began = start
+            state = start[at]
+            for step in range(PIECE):
+                now = table[state + steps[step, at]]
+                state = now >> 1
+                apart = state != runs[step, at] >> 1
+                runs[step, at] = now
+                at, state = at[apart], state[apart]
+                if not len(at):
+                    break
+        ended = (runs & 1).sum(axis=0)
+        ended[first] += 1 - (runs[0, first] & 1)  # a text opens its first phrase once
+        sums = np.concatenate([[0], np.cumsum(ended)])
+        counts[:, k] = sums[ends] - sums[ends - pieces]
+    return counts
 
 
 def _sample(docs: DataFrame) -> DataFrame:
-    """At most ROWS rows (lang, text) per language."""
-    key = F.xxhash64("doc_id")
-    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "doc_id"))
-    chosen = train.select("doc_id", "lang", key.alias("key")).withColumn("rank", rank).where(F.col("rank") <= ROWS).select("doc_id", "lang").distinct()
-    # ROWS rows for each language at most
-    texts = train.join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi").select("lang", "text", key.alias("key"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))
-    return texts.withColumn("rank", rank).where(F.col("rank") <= ROWS)
+    """At most ROWS rows (lang, text, rank) per language."""
+    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= LONG_BYTES) & F.col("text").rlike("\\p{L}"))
+    size, key = F.octet_length("text"), F.xxhash64("doc_id")
+    train = train.select("lang", "text", F.when(size > ROW_BYTES, size).otherwise(0).alias("beyond"), key.alias("key"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("beyond", "key", "text"))
+    return cut(train.withColumn("rank", rank).where(F.col("rank") <= ROWS).where("beyond = 0 or rank = 1"))
 
 
 def _training(pdf: pd.DataFrame) -> np.ndarray:
-    """UTF-8 bytes of the letters that a language's rows give, boundaries between the rows."""
+    """UTF-8 bytes of the letters of a language's rows, boundaries between the rows."""
     rows = [letters(t) for t in pdf.sort_values("rank")["text"]]
-    parts = [r[:n] for r, n in zip(rows, shares([len(r) for r in rows], TRAIN_CHARS), strict=True)]
     gap = np.zeros(1, np.uint32)
-    return _bytes(np.concatenate([gap[:0], *(x for r in parts if len(r) for x in (r, gap[: int(r[-1] != _GAP)]))]))
+    return _bytes(np.concatenate([gap[:0], *(x for r in rows if len(r) for x in (r, gap[: int(r[-1] != _GAP)]))]))
 
 
 def _alphabet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -217,33 +223,38 @@ def _predict(model, key: str):
         table, tables = _ready[key]
         bits = np.log2(np.maximum(sizes, 2))
         for batch in batches:
-            column = batch.column(1).fill_null("")
-            for a, b, _, _ in _text.slices(column):
-                texts = [symbols(t, table) for t in column.slice(a, b - a).to_pylist()]
-                lengths = np.array([len(t) for t in texts])
+            texts_of = batch.column(1).fill_null("")
+            for a, b, _, _ in _text.slices(texts_of):
+                texts = [symbols(t, table) for t in texts_of.slice(a, b - a).to_pylist()]
                 letter = np.array([bool((t != _GAP).any()) for t in texts])
-                langs_out, scores = ["und"] * len(texts), np.zeros(len(texts))
-                if langs:
-                    cost = phrases(texts, tables, width) * bits / np.maximum(lengths, 1)[:, None]
-                    best = cost.argmin(axis=1)
-                    ranked = np.sort(cost, axis=1)
-                    score = 1 - ranked[:, 0] / np.maximum(ranked[:, 1], 1e-12) if len(langs) > 1 else np.ones(len(texts))
-                    scores = np.where(letter, np.clip(score, 0, 1), 0.0)
-                    langs_out = [langs[k] if ok else "und" for k, ok in zip(best.tolist(), letter.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(langs_out, pa.string()), pa.array(scores)], names=["doc_id", "lang_pred", "score"])
+                cost = phrases(texts, tables, width) * bits / np.maximum([len(t) for t in texts], 1)[:, None]
+                before = [batch.column(c).slice(a, b - a) for c in (2, 3, 4)]
+                cost = np.hstack([np.array(before[1].fill_null(np.inf))[:, None], np.array(before[2].fill_null(np.inf))[:, None], cost])
+                best = cost[:, [0, *range(2, cost.shape[1])]].argmin(axis=1)
+                ranked = np.sort(cost, axis=1)
+                names = [(langs[k - 1] if k else old) if ok else None for k, old, ok in zip(best.tolist(), before[0].to_pylist(), letter.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), texts_of.slice(a, b - a), pa.array(names, pa.string()), pa.array(ranked[:, 0]), pa.array(ranked[:, 1])], names=["doc_id", "text", "lang_pred", "least", "next"]
+                )
 
     return run
 
 
-def identify(docs: DataFrame) -> DataFrame:
+def identify(docs: DataFrame, languages: int = LANGUAGES) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of ``docs(doc_id, text, lang)``; lang is used of training rows only."""
     spark = docs.sparkSession
     sample = _sample(docs.select("doc_id", "text", "lang"))
     found = sample.groupBy("lang").applyInPandas(_alphabet, "known int").where("known > 0").distinct().collect()  # bytes of UTF-8
     known = bytes(sorted(r["known"] for r in found))
     width = len(known) + 3
-    rows = sample.groupBy("lang").applyInPandas(_build(known, width), "lang string, size long, table binary").collect()  # a table of bounded size per language
-    rows.sort(key=lambda r: r["lang"])
-    model = spark.sparkContext.broadcast((known, width, [r["lang"] for r in rows], np.array([r["size"] for r in rows], float), [bytes(r["table"]) for r in rows]))
-    out = docs.select("doc_id", "text").mapInArrow(_predict(model, str(model._jbroadcast.id())), "doc_id long, lang_pred string, score double")
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    tables = cut(sample.groupBy("lang").applyInPandas(_build(known, width), "lang string, size long, table binary"))
+    langs = sorted(r["lang"] for r in tables.select("lang").collect())
+    out = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang_pred"), F.lit(None).cast("double").alias("least"), F.lit(None).cast("double").alias("next"))
+    for a in range(0, len(langs), languages):
+        if a:  # one group of tables at a time
+            out = cut(out)
+        rows = sorted(tables.where(F.col("lang").isin(langs[a : a + languages])).collect(), key=lambda r: r["lang"])
+        model = spark.sparkContext.broadcast((known, width, [r["lang"] for r in rows], np.array([r["size"] for r in rows], float), [bytes(r["table"]) for r in rows]))
+        out = out.mapInArrow(_predict(model, str(model._jbroadcast.id())), out.schema)
+    score = F.when(F.col("lang_pred").isNull(), 0.0).when(F.col("next") == float("inf"), 1.0).when(F.col("next") > 0, 1 - F.col("least") / F.col("next")).otherwise(0.0)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("lang_pred", F.lit("und")).alias("lang_pred"), score.alias("score"))
