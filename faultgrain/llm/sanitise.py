@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._native import WORD, matches, words
+from ._native import WORD, blocks, let, matches, piece, running, words
 from ._store import cut
 
 DISCLOSURE = 0.9
@@ -87,20 +87,32 @@ def _entities(spans: Column) -> Column:
     return F.array_distinct(F.transform(spans, lambda s: F.concat_ws(":", s["kind"].cast("string"), s["value"])))
 
 
+def _gaps(spans: Column) -> Column:
+    """(from, to, kind, value) for each span: the stretch before it that no earlier span covers, and the span itself."""
+    reach = running(F.transform(spans, lambda s: s["end"]), "0", lambda a, b: F.greatest(a, b))
+    return let(reach, lambda r: F.transform(spans, lambda s, i: F.struct(F.get(r, i).alias("from"), s["start"].alias("to"), s["kind"].alias("kind"), s["value"].alias("value"))))
+
+
+def _last_end(spans: Column) -> Column:
+    return F.coalesce(F.array_max(F.transform(spans, lambda s: s["end"])), F.lit(0))
+
+
 def _outside(text: Column, spans: Column) -> Column:
     """The text without the spans and the words that touch them."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def behind(at: Column, gap: Column) -> Column:
-        return F.when(at > 0, F.regexp_replace(gap, f"\\A{WORD}+", "")).otherwise(gap)
+    def of(parts: Column) -> Column:
+        def one(g: Column) -> Column:
+            gap = F.when(g["to"] >= g["from"], piece(parts, g["from"], g["to"])).otherwise("")
+            return F.regexp_replace(behind(g["from"], gap), f"(?<!{WORD[:-1]}){WORD}+\\z", "")
+
+        def behind(at: Column, gap: Column) -> Column:
+            return F.when(at > 0, F.regexp_replace(gap, f"\\A{WORD}+", "")).otherwise(gap)
 
-    def step(state: Column, s: Column) -> Column:
-        gap = behind(state["at"], F.substr(text, state["at"] + 1, s["start"] - state["at"]))
-        gap = F.regexp_replace(gap, f"(?<!{WORD[:-1]}){WORD}+\\z", "")
-        out = F.when(s["start"] >= state["at"], F.concat(state["out"], gap, F.lit(" "))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+        end = _last_end(spans)
+        rest = behind(end, piece(parts, end, F.length(text)))
+        return F.array_join(F.concat(F.transform(_gaps(spans), one), F.array(rest)), " ")
 
-    return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], behind(state["at"], F.substr(text, state["at"] + 1))))
+    return let(blocks(text), of)
 
 
 def disclosing_terms(found: DataFrame, docs: DataFrame) -> DataFrame:
@@ -141,16 +153,16 @@ def _term_spans(text: Column, terms: Column) -> Column:
 
 def _cleaned(text: Column, spans: Column) -> Column:
     """``text`` with data replaced by its kind, terms generalised (digits) or removed."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
-    def step(state: Column, s: Column) -> Column:
-        mark = F.when(s["kind"] < KINDS.index("term"), F.concat(F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), s["kind"]), F.lit(">")))
-        mark = mark.when(s["value"].rlike("[0-9]"), F.regexp_replace(s["value"], "[0-9]", "0")).otherwise("")
-        fresh = s["start"] >= state["at"]
-        out = F.when(fresh, F.concat(state["out"], F.substr(text, state["at"] + 1, s["start"] - state["at"]), mark)).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+    def of(parts: Column) -> Column:
+        def one(g: Column) -> Column:
+            mark = F.when(g["kind"] < KINDS.index("term"), F.concat(F.lit("<"), F.get(F.array(*map(F.lit, KINDS)), g["kind"]), F.lit(">")))
+            mark = mark.when(g["value"].rlike("[0-9]"), F.regexp_replace(g["value"], "[0-9]", "0")).otherwise("")
+            return F.when(g["to"] >= g["from"], F.concat(piece(parts, g["from"], g["to"]), mark)).otherwise("")
+
+        return F.concat(F.array_join(F.transform(_gaps(spans), one), ""), piece(parts, _last_end(spans), F.length(text)))
 
-    return F.aggregate(spans, start, step, lambda state: F.concat(state["out"], F.substr(text, state["at"] + 1)))
+    return let(blocks(text), of)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
