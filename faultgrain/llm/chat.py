@@ -1,9 +1,12 @@
 """Chat formatting by schema fingerprints.
 
-A record is JSON of any of several layouts. The paths of its fields, array
-places left out, are sorted and hashed; the fingerprint selects a declarative
-mapping that turns the record into canonical turns (role, text). Layouts with
-the same paths share a fingerprint whatever their values are.
+A record is JSON of any of several layouts. Its nested field paths are read off
+a skeleton in which strings are emptied and equal neighbours in an array are one,
+so a record's size doesn't matter. A mapping names the paths that it needs; the
+hash of those of them that a record has, sorted, is compared with the mapping's
+own fingerprint, so further fields (ids, metadata, names) don't matter. The
+mapping with the most paths that fits turns the record into canonical turns
+(role, text).
 
 The template writes every turn as ``### Name: text </turn>`` and a line break.
 Inside names and texts a backslash is put before each of ``\\``, ``#`` and
@@ -12,71 +15,99 @@ reading back restores it exactly.
 
 Built-in functions only. Defined cases: a null text or role counts as empty;
 turns are ordered by (turn, role, text), so ties and repeated rows are kept in
-a fixed order; a null conv_id is a conversation; records of an unknown layout
-keep null turns and their fingerprint.
+a fixed order; a null conv_id is a conversation; an empty list of turns has no
+turns; records of an unknown layout keep null turns and their fingerprint, and
+formatting a conversation fails rather than losing its turns.
 """
 
 from __future__ import annotations
 
-from json import dumps
+from hashlib import sha256
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _TURNS = "array<struct<role: string, text: string>>"
-#: Layout name -> (example record, SQL expression of the turns over columns of ``json``).
-LAYOUTS: dict[str, tuple[dict, str]] = {
+#: Layout name -> (paths of which it needs all, SQL expression of the turns over a column ``json``); more paths come first.
+LAYOUTS: dict[str, tuple[tuple[str, ...], str]] = {
+    "instruction_input": (
+        ("input", "instruction", "output"),
+        "transform(array(from_json(json, 'instruction string, input string, output string')), r -> array("
+        "struct('user' as role, concat_ws('\\n\\n', r.instruction, nullif(r.input, '')) as text), struct('assistant' as role, r.output as text)))[0]",
+    ),
     "messages": (
-        {"messages": [{"role": "", "content": ""}]},
+        ("messages.[].content", "messages.[].role"),
         "transform(from_json(json, 'messages array<struct<role: string, content: string>>').messages, m -> struct(m.role as role, m.content as text))",
     ),
     "conversations": (
-        {"conversations": [{"from": "", "value": ""}]},
+        ("conversations.[].from", "conversations.[].value"),
         "transform(from_json(json, 'conversations array<struct<`from`: string, value: string>>').conversations,"
         " m -> struct(decode(m.`from`, 'human', 'user', 'gpt', 'assistant', m.`from`) as role, m.value as text))",
     ),
     "prompt": (
-        {"prompt": "", "completion": ""},
+        ("completion", "prompt"),
         "transform(array(from_json(json, 'prompt string, completion string')), r -> array(struct('user' as role, r.prompt as text), struct('assistant' as role, r.completion as text)))[0]",
     ),
     "instruction": (
-        {"instruction": "", "output": ""},
+        ("instruction", "output"),
         "transform(array(from_json(json, 'instruction string, output string')), r -> array(struct('user' as role, r.instruction as text), struct('assistant' as role, r.output as text)))[0]",
     ),
-    "instruction_input": (
-        {"instruction": "", "input": "", "output": ""},
-        "transform(array(from_json(json, 'instruction string, input string, output string')), r -> array("
-        "struct('user' as role, concat_ws('\\n\\n', r.instruction, nullif(r.input, '')) as text), struct('assistant' as role, r.output as text)))[0]",
-    ),
+    "empty messages": (("messages.[]",), f"cast(array() as {_TURNS})"),
+    "empty conversations": (("conversations.[]",), f"cast(array() as {_TURNS})"),
 }
 _NAMES = {"system": "System", "user": "User", "assistant": "Assistant"}
 
 
-def schema_paths(json: Column) -> Column:
-    """The record's nested fields in sorted order, without the types of their scalars."""
-    shape = F.schema_of_variant(F.try_parse_json(json))
-    return F.regexp_replace(shape, "(?<=[:<] ?)(?:STRING|BIGINT|DOUBLE|BOOLEAN|VOID|VARIANT|DECIMAL\\([0-9,]+\\))(?=[,>])", "_")
+_STRING = r'(?:[^"\\]++|\\.)*+"'
+
+
+def skeleton(json: Column) -> Column:
+    """The record with empty strings for its text values and one of equal neighbours in its arrays."""
+    emptied = F.regexp_replace(json, rf'(?s)"(?:({_STRING[:-1]})"(\s*+:)|{_STRING})', '"$1"$2')
+    return F.regexp_replace(emptied, r"(\{[^{}\[\]]*+\}\s*+,\s*+)\1++", "$1")
+
+
+def field_paths(json: Column) -> Column:
+    """Sorted paths of the record's values, names joined by dots and ``[]`` for the places of an array; null if it is no JSON."""
+    shape = F.schema_of_variant(F.try_parse_json(skeleton(json)))
+    tokens = F.regexp_extract_all(shape, F.lit("`(?:[^`]|``)*`: |[^<>:,` ]+: |OBJECT<|ARRAY<|>|[A-Z]+(?:\\([0-9,]+\\))?"), F.lit(0))
+    start = F.expr("named_struct('at', cast(array() as array<string>), 'out', cast(array() as array<string>))")
+
+    def closed(at: Column) -> Column:
+        """A value is complete, and with it the name before it."""
+        return F.when(F.try_element_at(at, F.lit(-1)).isin("[]", "{"), at).otherwise(F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0))))
 
+    def step(state: Column, token: Column) -> Column:
+        at, out = state["at"], state["out"]
+        up = F.slice(at, 1, F.greatest(F.size(at) - 1, F.lit(0)))
+        into = F.when(token == "ARRAY<", "[]").when(token == "OBJECT<", "{").when(token.endswith(": "), F.replace(F.substr(token, F.lit(1), F.length(token) - 2), F.lit("`"), F.lit("")))
+        moved = F.when(into.isNotNull(), F.concat(at, F.array(into))).when(token == ">", closed(up)).otherwise(closed(at))
+        value = into.isNull() & (token != ">")
+        path = F.array_join(F.filter(at, lambda x: x != "{"), ".")
+        return F.struct(moved.alias("at"), F.when(value, F.concat(out, F.array(path))).otherwise(out).alias("out"))
 
-def fingerprint(json: Column) -> Column:
-    """Hex digest of the record's field paths."""
-    return F.substring(F.sha2(schema_paths(json), 256), 1, 16)
+    return F.when(shape.isNotNull(), F.array_sort(F.array_distinct(F.aggregate(tokens, start, step, lambda s: s["out"]))))
 
 
-def _known() -> dict[str, Column]:
-    """Fingerprint of each layout: the same rule on its example record."""
-    return {name: fingerprint(F.lit(dumps(example))) for name, (example, _) in LAYOUTS.items()}
+def fingerprint(paths: Column) -> Column:
+    """Hex digest of sorted paths."""
+    return F.substring(F.sha2(F.array_join(paths, "\n"), 256), 1, 16)
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
     """``records(json, ...)`` with ``fingerprint``, ``layout`` and ``turns`` columns."""
-    marked = records.withColumn("fingerprint", fingerprint(F.col("json")))
+    marked = records.withColumn("paths", field_paths(F.col("json")))
+    hits = {}
+    for name, (needs, turns) in LAYOUTS.items():
+        own = sha256("\n".join(needs).encode()).hexdigest()[:16]
+        hits[name] = fingerprint(F.array_intersect(F.array(*map(F.lit, needs)), "paths")) == own
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(_TURNS)
-    for name, mark in _known().items():
-        hit = F.col("fingerprint") == mark
+    for name, hit in reversed(hits.items()):
         layout = F.when(hit, F.lit(name)).otherwise(layout)
-        turns = F.when(hit, F.expr(LAYOUTS[name][1]).cast(_TURNS)).otherwise(turns)
-    return marked.withColumn("layout", layout).withColumn("turns", turns)
+    marked = marked.withColumn("layout", layout)
+    for name in LAYOUTS:
+        turns = F.when(F.col("layout") == name, F.expr(LAYOUTS[name][1]).cast(_TURNS)).otherwise(turns)
+    return marked.withColumn("fingerprint", fingerprint(F.col("paths"))).withColumn("turns", turns).drop("paths")
 
 
 def _escape(text: Column) -> Column:
@@ -151,7 +182,8 @@ def conversation_records(rows: DataFrame) -> DataFrame:
 
 def format_conversations(rows: DataFrame) -> DataFrame:
     """(conv_id, layout, fingerprint, formatted) of each conversation."""
-    return canonical_turns(conversation_records(rows)).select("conv_id", "layout", "fingerprint", format_turns(F.col("turns")).alias("formatted"))
+    turns = F.coalesce("turns", F.raise_error(F.lit("a conversation's layout is not known")).cast(_TURNS))
+    return canonical_turns(conversation_records(rows)).select("conv_id", "layout", "fingerprint", format_turns(turns).alias("formatted"))
 
 
 def digests(formatted: DataFrame) -> DataFrame:
