@@ -5,13 +5,14 @@ single shingle of that many words. Items are partitioned by size, and each
 partition has its own sketch length: the smallest ``sketch_length(size)``
 hashes of the set. A long document is not sketched, as a short item would
 vanish in its sketch; the item's sketch is looked up among the document's
-shingles instead, so a hit rate estimates containment whatever the lengths.
-At a containment of 0.8 all of at least 16 sketch values are missed with a
-probability below 1e-11 (smaller sets are sketched whole and never missed).
-Candidates are verified on the full shingle sets.
+shingles instead, so the share that is found estimates containment whatever the
+lengths. Of a set that is sketched whole that share is exact; of others a
+document needs ``least_found(size)`` values, which a containment of 0.8 misses with a
+probability below 1e-8. What passes is verified on the full shingle sets.
 
 The item side is broadcast in blocks of at most ``BLOCK_VALUES`` hashes; with
-more items the documents pass through one block after another.
+more items the documents pass through one block after another, each released
+before the next.
 
 Defined cases: null, empty and blank texts hold no item and are no item; equal
 items are each reported; repeated document rows are each reported.
@@ -19,6 +20,7 @@ items are each reported; repeated document rows are each reported.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,14 @@ _FILTER_BITS = 22
 
 
 def sketch_length(size: int) -> int:
-    """Sketch values of the partition that holds sets of ``size`` shingles: 16, and one more for each doubling beyond 32."""
-    return min(size, 16 + max(0, size.bit_length() - 6))
+    """Sketch values of the partition that holds sets of ``size`` shingles: 32, and one more for each doubling beyond 64."""
+    return min(size, 32 + max(0, size.bit_length() - 7))
+
+
+def least_found(size: int) -> int:
+    """Sketch values of a set of ``size`` that a document with 80 % of the set holds."""
+    k = sketch_length(size)
+    return -(-PERCENT * k // 100) if k == size else k // 3
 
 
 def _item_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,9 +102,12 @@ class _Block:
             if not len(at):
                 continue
             rows = np.searchsorted(ends, at, side="right")
-            pairs = {(r, owners[k]) for r, a, b in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True) for k in range(a, b)}
+            found = {(r, owners[k], k) for r, a, b in zip(rows.tolist(), low.tolist(), high.tolist(), strict=True) for k in range(a, b)}
+            pairs = Counter((row, item) for row, item, _ in found)
             own_row, own = -1, None
-            for row, item in sorted(pairs):
+            for (row, item), n in sorted(pairs.items()):
+                if n < least_found(len(self.sets[item])):
+                    continue
                 if row != own_row:
                     own_row, own = row, np.unique(hashes[ends[row - 1] if row else 0 : ends[row]])
                 full = self.sets[item]
@@ -156,6 +167,8 @@ def find_items(docs: DataFrame, items: DataFrame, column: str, block_values: int
     for i in range(blocks):
         rows = sets.where(F.pmod(F.xxhash64("hashes"), F.lit(blocks)) == i).collect()  # about block_values hashes
         if rows:
+            if i:
+                out = cut(out)
             block = spark.sparkContext.broadcast([r.asDict() for r in rows])
             out = out.mapInArrow(_search(block, column, f"{block._jbroadcast.id()}"), out.schema)
     return out
