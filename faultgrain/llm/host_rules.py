@@ -116,11 +116,13 @@ def judge_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns."""
-    m, host, bad_host = (fresh(docs, c) for c in ("measures", "host", "host_rejected"))
+    """The rows of ``docs`` that are kept, with their columns. Texts are measured once and written to the shared folder."""
+    m, host, failed, base_failed, bad_host = (fresh(docs, c) for c in ("measures", "host", "failed", "base_failed", "host_rejected"))
     base, any_rule = failures(F.col(m))
-    rows = measured(docs, m)
-    bad = rejected_hosts(rows.select(F.col("source").alias("host"), any_rule.alias("failed")))
-    bad = bad.withColumnsRenamed({"host": host, "host_rejected": bad_host})
-    kept = rows.where(~base).drop(m)
-    return kept.join(bad, kept["source"].eqNullSafe(bad[host]), "left").where(F.col(bad_host).isNull()).drop(host, bad_host)
+    flags = measured(docs, m).select(*docs.columns, base.alias(base_failed), any_rule.alias(failed))
+    # What fails itself counts for its domain, but its text goes now.
+    rows = cut(flags.select(*(F.when(~F.col(base_failed), F.col(c)).alias(c) for c in docs.columns), F.col("source").alias(host), failed, base_failed))
+    bad = rejected_hosts(rows.select(F.col(host).alias("host"), F.col(failed).alias("failed")))
+    bad = bad.withColumnsRenamed({"host": f"_{host}", "host_rejected": bad_host})
+    out = rows.where(~F.col(base_failed)).join(bad, rows[host].eqNullSafe(bad[f"_{host}"]), "left")
+    return out.where(F.col(bad_host).isNull()).select(*docs.columns)
