@@ -41,7 +41,9 @@ def op6_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sanitise.sanitise(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == sanitise.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     digest = F.sha2(sanitise.joined(F.col("base")), 256).alias("base_sha256")
-    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), digest, sanitise.joined(F.col("spans")).alias("spans"))
+    terms = F.size(F.filter("spans", lambda s: s["kind"] == sanitise.KINDS.index("term"))).cast("long").alias("n_term")
+    clean = F.sha2("sanitised", 256).alias("sanitised_sha256")
+    return found.select("doc_id", *map(count, ("email", "ip", "card", "phone")), digest, sanitise.joined(F.col("spans")).alias("spans"), terms, clean)
 
 
 def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,11 +141,13 @@ FROM f JOIN hosts ON f.source IS NOT DISTINCT FROM hosts.source CROSS JOIN stren
     "op7_containment_search": f"""
 WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all({_LOWER}, '{_WORD}') AS w FROM benchmark),
-ds AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM d),
-bs AS (SELECT DISTINCT item_id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) AS s FROM b),
+k AS (SELECT item_id, w, least(len(w), 5) AS k FROM b WHERE len(w) > 0),
+ds AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s
+  FROM d JOIN (SELECT DISTINCT k FROM k) ON len(w) >= k),
+bs AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS s FROM k),
 n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared
-FROM ds JOIN bs USING (s) JOIN n USING (item_id)
+FROM ds JOIN bs USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
 """,
 }

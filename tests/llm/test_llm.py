@@ -1,5 +1,6 @@
 """The operators against brute force on small tables, and on odd rows."""
 
+import json
 import math
 import random
 import re
@@ -64,7 +65,7 @@ def test_word_hashes():
 
 
 def test_ctw(spark, docs, corpus):
-    found = ctw.score_documents(docs, hot_words=20, table_rows=50).toPandas()
+    found = ctw.score_documents(docs, hot_words=20, buckets=7).toPandas()
     out = {i: zlib.crc32(str(i).encode()) % 5 == 1 for i, *_ in corpus if i is not None} | {None: False}
     counts = Counter()
     for i, t, *_ in corpus:
@@ -82,17 +83,17 @@ def test_ctw(spark, docs, corpus):
         assert r.held_out == out[i] and r.train_tokens == total and r.score < 0
 
 
-def naive_ctw(train, text):
+def naive_ctw(train, text, depth):
     """log10 probability of ``text`` by the recursive definition."""
-    pad = [255, 255, 255]
+    pad = [255] * depth
     counts = defaultdict(lambda: [0, 0])
     seen = defaultdict(set)
     for t in train:
         data = [*pad, *lower(t).encode(), 255]
-        for i in range(3, len(data)):
+        for i in range(depth, len(data)):
             for k in range(8):
                 node = (1 << k) | (data[i] >> (8 - k))
-                for d in range(4):
+                for d in range(depth + 1):
                     context = tuple(data[i - d : i])
                     counts[context, node][(data[i] >> (7 - k)) & 1] += 1
                     if d:
@@ -104,35 +105,46 @@ def naive_ctw(train, text):
     def weighted(context, node):
         if (context, node) not in known:
             own = kt(*counts[context, node])
-            known[context, node] = own if len(context) == 3 else np.logaddexp(own, sum(weighted(c, node) for c in seen[context, node])) - math.log(2)
+            known[context, node] = own if len(context) == depth else np.logaddexp(own, sum(weighted(c, node) for c in seen[context, node])) - math.log(2)
         return known[context, node]
 
-    def one(context, node, depth):
-        at = tuple(context[3 - depth :])
-        if (at, node) not in counts and (depth and not any((at, n) in counts for n in range(1, 256))):
+    def one(context, node, d):
+        at = tuple(context[depth - d :])
+        if (at, node) not in counts:
             return 0.5
-        z, o = counts[at, node] if (at, node) in counts else (0, 0)
+        z, o = counts[at, node]
         estimate = (o + 0.5) / (z + o + 1)
-        if depth == 3:
+        if d == depth:
             return estimate
-        share = math.exp(kt(z, o) - weighted(at, node)) / 2 if z + o else 0.5
-        return share * estimate + (1 - share) * one(context, node, depth + 1)
+        share = math.exp(kt(z, o) - weighted(at, node)) / 2
+        return share * estimate + (1 - share) * one(context, node, d + 1)
 
     data, total = [*pad, *lower(text).encode(), 255], 0.0
-    for i in range(3, len(data)):
+    for i in range(depth, len(data)):
         for k in range(8):
-            p = one(data[i - 3 : i], (1 << k) | (data[i] >> (8 - k)), 0)
+            p = one(data[i - depth : i], (1 << k) | (data[i] >> (8 - k)), 0)
             total += math.log10(p if (data[i] >> (7 - k)) & 1 else 1 - p)
     return total
 
 
-def test_ctw_equals_definition(spark):
+@pytest.mark.parametrize("parts", [1, 4])
+def test_ctw_equals_definition(spark, parts, monkeypatch):
+    monkeypatch.setattr(ctw, "PARTS", 2)
     rng = random.Random(1)
-    rows = [(i, prose(rng, 8, 20)) for i in range(12)]
+    rows = [(i, prose(rng, 8, 20)) for i in range(12)] + [(12, ""), (13, None), (14, "é漢字 Ünï"), (15, "never seen: ~~")]
     train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
-    found = {r["doc_id"]: r["score"] for r in ctw.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    found = {r["doc_id"]: r["score"] for r in ctw.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1) if parts == 1 else spark.createDataFrame(rows, "doc_id bigint, text string"), buckets=5).collect()}
     for i, t in rows:
-        assert math.isclose(found[i], naive_ctw(train, t), rel_tol=1e-4)
+        assert math.isclose(found[i], naive_ctw(train, t, ctw.DEPTH), rel_tol=1e-5)
+
+
+def test_ctw_packing():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 56, 1000, dtype=np.uint64))
+    counts = rng.integers(0, 1000, len(keys))
+    for values, kind in ((counts, "<i8"), (rng.random(len(keys)).astype(np.float32), "<f4")):
+        back = ctw.unpack(ctw.pack(keys, values), kind)
+        assert (back[0] == keys).all() and (back[1] == values).all()
 
 
 def test_chat_round_trip(spark):
@@ -160,6 +172,25 @@ def test_chat_layouts(spark):
     assert found[records[3]]["layout"] is None and found[records[4]]["fingerprint"] is None
 
 
+def test_chat_layouts_with_more_fields(spark):
+    """Ids, metadata and names don't matter, nor does what texts look like; empty lists have no turns."""
+    odd = 'a", ":", "b": {"role": "x"}], [\\ \n: "q"'
+    turns = [{"role": "user", "content": odd, "name": "n"}, {"role": "assistant", "content": None}, {"content": "z", "role": "user", "at": 3}]
+    cases = {
+        json.dumps({"messages": turns, "id": 7, "meta": {"tags": ["x", "y"], "a.b`c": None}}): ("messages", [("user", odd), ("assistant", None), ("user", "z")]),
+        json.dumps({"prompt": odd, "completion": "c", "source": "web"}, indent=2): ("prompt", [("user", odd), ("assistant", "c")]),
+        json.dumps({"messages": []}): ("empty messages", []),
+        json.dumps({"id": 1, "conversations": []}): ("empty conversations", []),
+        json.dumps({"conversations": [{"from": "gpt", "value": "v", "weight": 0.5}]}): ("conversations", [("assistant", "v")]),
+        json.dumps({"output": "o", "instruction": "i", "input": "", "history": [[1, 2], []]}): ("instruction_input", [("user", "i"), ("assistant", "o")]),
+        json.dumps({"messages": [{"role": "user"}]}): (None, None), json.dumps({"messages": None}): (None, None), "[1]": (None, None), '"prompt"': (None, None),
+        json.dumps({"messages": [{"role": "user", "content": "x" * 300}] * 5000}): ("messages", [("user", "x" * 300)] * 5000),
+    }
+    found = {r["json"]: r for r in chat.canonical_turns(spark.createDataFrame([(x,) for x in cases], "json string")).collect()}
+    for text, (layout, expected) in cases.items():
+        assert (found[text]["layout"], found[text]["turns"] and [tuple(t) for t in found[text]["turns"]]) == (layout, expected), text[:200]
+
+
 def test_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(60)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(120)] + [(500, 500 + k) for k in range(40)]
@@ -265,14 +296,20 @@ def langid_held(i):
     return zlib.crc32(str(i).encode()) % 4 == 2
 
 
-def test_training_shares():
-    assert langid.shares([30000, 10, 500, 400], 1000) == [330, 10, 330, 330]
-    assert langid.shares([3, 4], 10) == [3, 4] and langid.shares([], 5) == []
-    import pandas as pd
+def test_training_rows(spark):
+    """Whole rows: short ones by hash, else the shortest alone, none beyond the bound."""
+    long = "ab " * (langid.LONG_BYTES // 3)
+    rows = [(4 * k, "x y " * 20, "short") for k in range(60)] + [(1, "ab " * 2000, "short"), (3, "cd " * 1500, "long"), (4, "cd " * 1000, "long"), (5, long + "abc", "huge"), (7, "12 34", "none"), (8, None, "none"), (9, "x", None)]
+    found = langid._sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
+    assert {r["lang"]: sum(x["lang"] == r["lang"] for x in found) for r in found} == {"short": langid.ROWS, "long": 1}
+    assert {r["text"] for r in found} == {"x y " * 20, "cd " * 1000}
+
 
-    frame = pd.DataFrame({"text": ["ab " * 30000, "xyz"], "rank": [1, 2]})
-    own = bytes(langid._training(frame))
-    assert own.endswith(b"\0xyz\0") and own.startswith(b"ab\0ab") and langid.TRAIN_CHARS <= len(own) <= langid.TRAIN_CHARS + 2
+def test_languages_in_groups(spark):
+    rng = random.Random(41)
+    rows = [(i, " ".join(rng.choice(f"{c}a {c}e {c}{c}o".split()) for _ in range(30)), f"l{c}") for i, c in enumerate("bdfgh" * 12)] + [(1000, "", "lb"), (1001, "ba ba" * 4000, None)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert sorted(langid.identify(frame, languages=2).collect()) == sorted(langid.identify(frame).collect())
 
 
 def test_phrases_are_longest_matches():
@@ -281,18 +318,16 @@ def test_phrases_are_longest_matches():
     source = np.array([rng.randrange(1, 4) for _ in range(60)], dtype=np.uint8)
     table = langid.transitions(langid.automaton(source), width)
     inside = bytes(source)
-    texts = [np.array([rng.randrange(0, 5) for _ in range(n)], dtype=np.uint8) for n in (1, 7, 200, 511, 512, 1300)]
+    texts = [np.array([rng.randrange(0, 5) for _ in range(n)], dtype=np.uint8) for n in (1, 0, 7, 200, 511, 512, 1300, 12_345)] + [np.resize(source, 4000), np.tile(source[:7], 300)]
 
     def brute(text):
-        n = 0
-        for a in range(0, len(text), langid.BLOCK):
-            block, at = bytes(text[a : a + langid.BLOCK]), 0
-            while at < len(block):
-                end = at + 1
-                while end <= len(block) and block[at:end] in inside:
-                    end += 1
-                at = max(end - 1, at + 1)
-                n += 1
+        text, at, n = bytes(text), 0, 0
+        while at < len(text):
+            end = at + 1
+            while end <= len(text) and text[at:end] in inside:
+                end += 1
+            at = max(end - 1, at + 1)
+            n += 1
         return n
 
     assert langid.phrases(texts, [table], width)[:, 0].tolist() == [brute(t) for t in texts]
@@ -326,6 +361,25 @@ def test_personal_data(spark):
         assert (r["sanitised"] is None) == (not base_spans(text)) and "jo@x.fr" not in (r["sanitised"] or "")
 
 
+def test_personal_data_in_long_texts(spark):
+    """Hundreds of thousands of spans in a text, in seconds, and in the right places."""
+    import time
+
+    texts = ["😀 " + "10.0.0.1 x " * 40_000, "a@b.c1 " * 3000 + "é" * 500, " ".join(str(k) for k in range(200_000))]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    began = time.time()
+    found = {r["doc_id"]: r for r in sanitise.sanitise(frame).collect()}
+    assert time.time() - began < 90
+    for i, text in enumerate(texts):
+        assert [(s["start"], s["kind"], s["end"]) for s in found[i]["base"]] == base_spans(text)
+        out, at = [], 0
+        for s in found[i]["spans"]:
+            if s["start"] >= at:
+                out += [text[at : s["start"]], f"<{sanitise.KINDS[s['kind']]}>" if s["kind"] < 4 else re.sub("[0-9]", "0", s["value"]) if re.search("[0-9]", s["value"]) else ""]
+            at = max(at, s["end"])
+        assert found[i]["sanitised"] == ("".join([*out, text[at:]]) if found[i]["spans"] else None)
+
+
 def test_disclosing_terms(spark):
     rows = [(k, f"the {a} Zorblax lives near boss@corp.example and the {b} house{k}") for k, (a, b) in enumerate([("old", "red"), ("tall", "big"), ("sad", "dim")])]
     rows += [(10 + k, "the old red tall big sad dim near lives and house") for k in range(50)]
@@ -355,7 +409,8 @@ def test_disclosing_terms_anywhere(spark):
 def test_contamination(spark, corpus, docs, block_values):
     rng = random.Random(11)
     items = [(k, prose(rng, n)) for k, n in enumerate((1, 3, 4, 5, 6, 12, 40, 40, 90))] + [(50, ""), (51, None), (52, "w1x1"), (None, prose(rng, 30))]
-    planted = [(3000, f"{prose(rng, 5000)} {items[6][1].upper()} {prose(rng, 4000)}"), (3001, items[7][1].replace(" ", "\n")), (3002, " ".join(items[8][1].split()[:40])), (3003, items[2][1]), (3004, f"x {items[12][1]}")]
+    items.append((60, prose(rng, 3000)))
+    planted = [(3005, " ".join(items[-1][1].split()[:2600])), (3006, " ".join(items[-1][1].split()[:1000])), (3000, f"{prose(rng, 5000)} {items[6][1].upper()} {prose(rng, 4000)}"), (3001, items[7][1].replace(" ", "\n")), (3002, " ".join(items[8][1].split()[:40])), (3003, items[2][1]), (3004, f"x {items[12][1]}")]
     rows = docs.select("doc_id", "text").unionByName(spark.createDataFrame(planted, "doc_id bigint, text string"))
     found = decontam.find_items(rows, spark.createDataFrame(items, "item_id bigint, text string"), "f", block_values).select("doc_id", F.explode("f").alias("f")).collect()
 
@@ -415,6 +470,19 @@ def test_secrets_of_letters_and_beside_patterns(spark):
         assert (found[i]["redacted"] is None) == (text in names) and rest not in (found[i]["redacted"] or "")
 
 
+def test_chunk_boundaries_resist_shifts():
+    """Boundaries follow from the last two lines and the chunk's length alone: chunks are equal again soon after what differs."""
+    rng = random.Random(51)
+    body = [prose(rng, rng.randint(3, 9), 10**6).encode() for _ in range(300)]
+    whole = line_chunks.chunks(b"\n".join(body))
+    assert [line for c in whole for line in c] == body and all(len(c) >= line_chunks.MIN_LINES for c in whole[:-1])
+    known = {b"\n".join(c) for c in whole}
+    for head in range(1, 8):
+        shifted = line_chunks.chunks(b"\n".join([*(b"new %d" % k for k in range(head)), *body]))
+        same = [b"\n".join(c) in known for c in shifted]
+        assert sum(len(c) for c, s in zip(shifted, same, strict=True) if not s) <= head + 30 and same[-1]
+
+
 def test_line_chunks(spark):
     rng = random.Random(12)
     passage = "\n".join(prose(rng, 9) for _ in range(12))
