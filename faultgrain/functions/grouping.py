@@ -149,6 +149,19 @@ def glob_regex(pattern: str) -> str:
     return "(?s)" + ("^" if pieces[0] else "") + ".*?".join(p for p in pieces if p)
 
 
+def _class_regex(body: str) -> str:
+    """A character class; a range that runs backwards has no members."""
+    negated = body.startswith("^")
+    members = ""
+    for low, high in re.findall(r"(\\.|[^\\\]-])(?:-(\\.|[^\\\]-]))?", body[negated:], re.S):
+        if high and high[-1] < low[-1]:
+            continue
+        members += "-".join(re.sub(r"[\[\]\\&~|^-]", lambda m: "\\" + m[0], c[-1]) for c in (low, high) if c)
+    if not members:
+        return "." if negated else "(?!)"
+    return f"[{'^' if negated else ''}{members}]"
+
+
 def _piece_regex(piece: str) -> str | None:
     out, at = [], 0
     while at < len(piece):
@@ -167,10 +180,7 @@ def _piece_regex(piece: str) -> str | None:
             found = re.compile(r"\^?((?:\\.|[^\\\]-])(?:-(?:\\.|[^\\\]-]))?)+\]", re.S).match(piece, at)
             if not found:
                 return None
-            body = found[0][:-1]
-            negated = body.startswith("^")
-            members = re.sub(r"\\(.)|([\[&~|])", lambda m: re.escape(m[1]) if m[1] else "\\" + m[2], body[negated:], flags=re.S)
-            out.append(f"[{'^' if negated else ''}{members}]")
+            out.append(_class_regex(found[0][:-1]))
             at = found.end()
         else:
             out.append(re.escape(c))

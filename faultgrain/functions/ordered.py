@@ -37,3 +37,17 @@ def running(df: DataFrame, keys: list[str], seq: str, sums: dict[str, Column], l
     out = inside.join(carried, here)
     out = out.withColumns({n: F.col(f"_i_{n}") + F.col(f"_c_{n}") for n in sums} | {n: F.coalesce(f"_i_{n}", f"_c_{n}") for n in lasts})
     return out.drop("_slice", *values, *(f"_{p}_{n}" for p in "ic" for n in names))
+
+
+def spells(df: DataFrame, keys: list[str], at: str, gap: Column) -> DataFrame:
+    """``df`` with a number ``spell`` that goes up, per key, after each pause of at least ``gap`` in ``at``.
+
+    Rows in a slice of time as long as the pause are never apart by one, so
+    only the slices' ends, a row each, are put in order.
+    """
+    sliced = df.withColumn("_slice", F.floor(F.col(at) / gap)).withColumn("_gap", gap)
+    ends = sliced.groupBy(*keys, "_slice").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.first("_gap").alias("_gap"))
+    order = Window.partitionBy(*keys).orderBy("_slice")
+    pause = F.coalesce(F.col("_first") - F.lag("_last").over(order) >= F.col("_gap"), F.lit(True))
+    ends = ends.withColumn("_new", pause.cast("bigint")).withColumn("spell", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return sliced.drop("_gap").join(ends.select(*keys, "_slice", "spell"), [*keys, "_slice"]).drop("_slice")

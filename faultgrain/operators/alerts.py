@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import spells
+
 CONDITIONS = ("new_issue", "regression", "frequency")
 COOLDOWN_SECONDS = 300
 LIST_LIMIT, ENABLED_LIMIT = 200, 100
@@ -41,28 +46,34 @@ def match_rules(activity: DataFrame, rules: DataFrame) -> DataFrame:
     return activity.join(enabled, "project_id").where(_condition(F.col("condition"), F.col("threshold")))
 
 
+def _walk(wait: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, last = None, 0
+        for batch in batches:
+            fires = []
+            for rule, project, issue, spell, at in zip(*(batch[c] for c in ("rule_id", "project_id", "issue", "spell", "at")), strict=True):
+                now = (rule, project, issue, spell)
+                fires.append(now != key or at - last >= wait)
+                if fires[-1]:
+                    key, last = now, at
+            yield batch.loc[fires, ["rule_id", "project_id", "issue", "arrival_seq"]]
+
+    return run
+
+
 def cool_down(matches: DataFrame, seconds: float = COOLDOWN_SECONDS) -> DataFrame:
     """Matches that fire: the first of a (rule, issue), then the first at least ``seconds`` after the last that fired.
 
     After a quiet spell as long as the cooldown the next match fires whatever
-    came before, so only the matches between two quiet spells are walked in order.
+    came before. What lies between two such spells is walked in sorted order, with
+    the last firing as the only state.
     """
     key = ["rule_id", "project_id", "issue"]
-    order = Window.partitionBy(*key).orderBy("ts", "arrival_seq")
-    at = F.unix_micros("ts")
-    gap = at - F.lag(at).over(order)
     wait = int(seconds * 1_000_000)
-    spell = F.sum(F.when(F.coalesce(gap >= wait, F.lit(True)), 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    rows = matches.withColumn("_spell", spell)
-    entry = F.struct(at.alias("at"), F.col("arrival_seq").alias("seq"))
-    lists = rows.groupBy(*key, "_spell").agg(F.array_sort(F.collect_list(entry)).alias("all"))
-    start = F.struct(F.lit(None).cast("bigint").alias("last"), F.array().cast("array<bigint>").alias("fired"))
-
-    def step(state: Column, x: Column) -> Column:
-        fires = state["last"].isNull() | (x["at"] - state["last"] >= wait)
-        return F.struct(F.when(fires, x["at"]).otherwise(state["last"]).alias("last"), F.when(fires, F.concat(state["fired"], F.array(x["seq"]))).otherwise(state["fired"]).alias("fired"))
-
-    fired = lists.select(*key, F.explode(F.aggregate("all", start, step, lambda s: s["fired"])).alias("arrival_seq"))
+    rows = matches.select(*key, "arrival_seq", F.unix_micros("ts").alias("at"))
+    rows = spells(rows, key, "at", F.lit(max(wait, 1)))
+    rows = rows.select(*key, "spell", "at", "arrival_seq").repartition(*key, "spell").sortWithinPartitions(*key, "spell", "at", "arrival_seq")
+    fired = rows.mapInPandas(_walk(wait), "rule_id bigint, project_id bigint, issue string, arrival_seq bigint")
     return matches.join(fired, [*key, "arrival_seq"], "left_semi")
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import running
 from ..functions.text import title_contains
+from ..sources.store import kept
 from .query import event_predicate, scope
 
 STATUSES = ("unresolved", "resolved", "ignored", "regressed")
@@ -94,7 +95,7 @@ def command_effects(hits: DataFrame, commands: DataFrame) -> DataFrame:
 def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = None) -> DataFrame:
     """Per hit: the issue it counts for, is_new, regressed, times_seen and status after it."""
     # A few rows per command, read several times below.
-    effects = command_effects(hits, commands).persist() if effects is None else effects
+    effects = kept(command_effects(hits, commands), "effects") if effects is None else effects
     spans = effects.where("effect = 'interval'").select("project_id", "fingerprint", "target", "from_seq", "to_seq")
     first = hits.groupBy(*_KEY).agg(F.min("arrival_seq").alias("_first"))
     # Spans of a fingerprint don't overlap, so an array of them keeps a hit one row.
@@ -118,7 +119,7 @@ def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = N
 
 def current_issues(hits: DataFrame, commands: DataFrame) -> DataFrame:
     """The issue table after all hits and commands, merged issues included."""
-    effects = command_effects(hits, commands).persist()
+    effects = kept(command_effects(hits, commands), "effects")
     line = timeline(hits, commands, effects)
     first = lambda c: F.min_by(c, "arrival_seq").alias(c)
     made = hits.groupBy(*_KEY).agg(first("basis"), first("title"), F.min_by("seen_at", "arrival_seq").alias("first_seen"))
@@ -219,7 +220,7 @@ def latest_events(issues: DataFrame, events: DataFrame, n: int = LATEST) -> Data
 def issue_ids(hits: DataFrame) -> DataFrame:
     """(project_id, fingerprint, issue_id): numbers in the order of first arrival."""
     first = hits.groupBy(*_KEY).agg(F.min("arrival_seq").alias("first_seq"))
-    return first.select(*_KEY, F.row_number().over(Window.orderBy("first_seq", *_KEY)).cast("bigint").alias("issue_id"))
+    return running(first, [], "first_seq", {"issue_id": F.lit(1).cast("bigint")}).select(*_KEY, "issue_id")
 
 
 def get_issue(issues: DataFrame, project_id: int | None, issue_id: int) -> DataFrame:

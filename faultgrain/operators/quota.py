@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import spells
+
 PER_SECOND, BURST = 1000.0, 5000.0
 NANOS = 1_000_000_000
 
@@ -47,9 +49,9 @@ def admit(arrivals: DataFrame, limits: DataFrame | None = None) -> DataFrame:
     """``arrivals(project_id, arrival_seq, ts_ns)`` with admitted and retry_after_ns.
 
     ``limits(project_id, per_second, burst)`` overrides the default. After a
-    pause in which a bucket refills completely the state is known, so rows
-    between such pauses are walked apart from each other, in sorted order and
-    with one bucket in memory.
+    pause in which a bucket refills completely the state is known; rows between
+    such pauses are walked apart from each other, in sorted order and with one
+    bucket in memory.
     """
     rows = arrivals.select("project_id", "arrival_seq", "ts_ns")
     if limits is not None:
@@ -57,10 +59,9 @@ def admit(arrivals: DataFrame, limits: DataFrame | None = None) -> DataFrame:
         rows = rows.withColumns({"per_second": F.coalesce("per_second", F.lit(PER_SECOND)), "burst": F.coalesce("burst", F.lit(BURST))})
     else:
         rows = rows.withColumns({"per_second": F.lit(PER_SECOND), "burst": F.lit(BURST)})
-    order = Window.partitionBy("project_id").orderBy("ts_ns", "arrival_seq")
-    pause = F.col("ts_ns") - F.lag("ts_ns").over(order)
-    full = F.coalesce(pause >= F.ceil(F.col("burst") / F.col("per_second") * NANOS), F.lit(True))
-    busy = F.sum(F.when(full, 1).otherwise(0)).over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")
-    sorted_rows = rows.withColumn("busy_stretch", busy).repartition("project_id", "busy_stretch").sortWithinPartitions("project_id", "busy_stretch", "ts_ns", "arrival_seq")
+    refill = F.greatest(F.ceil(F.col("burst") / F.col("per_second") * NANOS), F.lit(1))
+    rows = spells(rows, ["project_id"], "ts_ns", refill).withColumnRenamed("spell", "busy_stretch")
+    columns = ("project_id", "arrival_seq", "ts_ns", "per_second", "burst", "busy_stretch")
+    sorted_rows = rows.select(*columns).repartition("project_id", "busy_stretch").sortWithinPartitions("project_id", "busy_stretch", "ts_ns", "arrival_seq")
     out = "project_id bigint, arrival_seq bigint, ts_ns bigint, per_second double, burst double, admitted boolean, retry_after_ns bigint"
     return sorted_rows.mapInPandas(_walk, out).drop("per_second", "burst")

@@ -16,7 +16,7 @@ from ..functions import text as t
 from ..operators import access, alerts, issues, ops, query, quota
 from ..sources import ingest, store
 from . import tables
-from .tables import ERROR_EVENTS, HITS, KEYS, PROJECTS, error_events, table
+from .tables import ERROR_EVENTS, HITS, KEYS, PROJECTS, error_events, event_table, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -40,7 +40,7 @@ def _register(sql: str | None = None):
 SELECT ts_ns - ts_ns % {HOUR} AS start, count(*) AS count FROM error_events, b WHERE project_id = 1 AND ts_ns BETWEEN lo AND hi GROUP BY 1""")
 def hourly_counts(spark, sf_dir):
     """Hourly counts of one project in an inclusive time range."""
-    events = error_events(spark, sf_dir)
+    events = event_table(spark, sf_dir)
     low, high = events.agg(F.min("ts_ns"), F.max("ts_ns")).collect()[0]
     day = 24 * HOUR
     found = query.matching(query.lite(events), 1, since=low + day, until=high - day)
@@ -49,7 +49,7 @@ def hourly_counts(spark, sf_dir):
 
 @_register(f"WITH {ERROR_EVENTS} SELECT project_id, ts_ns - ts_ns % {HOUR} AS start, count(*) AS count FROM error_events GROUP BY ALL")
 def bucket_counts(spark, sf_dir):
-    return query.bucket_counts(error_events(spark, sf_dir), by=("project_id",))
+    return query.bucket_counts(event_table(spark, sf_dir), by=("project_id",))
 
 
 @_register(f"""WITH {ERROR_EVENTS}, p AS (
@@ -57,38 +57,51 @@ def bucket_counts(spark, sf_dir):
 c AS (SELECT project_id, x.tag AS tag, x.key AS key, count(*) AS count FROM p WHERE x.key <> '' GROUP BY ALL)
 SELECT project_id, tag, key, count FROM c QUALIFY row_number() OVER (PARTITION BY project_id, tag ORDER BY count DESC, key) <= 3""")
 def top_values(spark, sf_dir):
-    return query.top_values(error_events(spark, sf_dir), 3, by=("project_id",))
+    return query.top_values(event_table(spark, sf_dir), 3, by=("project_id",))
 
 
 @_register(f"WITH {ERROR_EVENTS} SELECT count(DISTINCT user_id) AS unique_users FROM error_events WHERE project_id = 2 AND user_id <> ''")
 def unique_users_exact(spark, sf_dir):
-    return query.unique_users(query.scope(error_events(spark, sf_dir), 2), exact=True)
+    return query.unique_users(query.scope(event_table(spark, sf_dir), 2), exact=True)
 
 
 @_register()
 def unique_users_sketch(spark, sf_dir):
-    return query.unique_users(query.scope(error_events(spark, sf_dir), 2))
+    return query.unique_users(query.scope(event_table(spark, sf_dir), 2))
 
 
 @_register(f"WITH {ERROR_EVENTS} SELECT count(*) AS total FROM error_events WHERE project_id = 3 AND level = 'error' AND environment = 'staging'")
 def total_matching(spark, sf_dir):
-    return query.total(query.matching(error_events(spark, sf_dir), 3, level="error", environment="staging"))
+    return query.total(query.matching(event_table(spark, sf_dir), 3, level="error", environment="staging"))
 
 
-@_register()
+@_register(f"""WITH {ERROR_EVENTS}, e AS (SELECT * FROM error_events WHERE project_id = 1),
+p AS (SELECT unnest([{{'tag': 'level', 'key': level}}, {{'tag': 'release', 'key': release}}, {{'tag': 'environment', 'key': environment}}, {{'tag': 'fingerprint', 'key': fingerprint}}]) AS x FROM e),
+c AS (SELECT x.tag AS tag, x.key AS key, count(*) AS count FROM p WHERE x.key <> '' GROUP BY ALL)
+SELECT tag, key, count FROM c QUALIFY row_number() OVER (PARTITION BY tag ORDER BY count DESC, key) <= 10
+UNION ALL SELECT 'bucket', (ts_ns - ts_ns % {HOUR})::VARCHAR, count(*) FROM e GROUP BY ALL
+UNION ALL SELECT 'total', '', count(*) FROM e
+UNION ALL SELECT 'users', '', count(DISTINCT user_id) FILTER (user_id <> '') FROM e""")
 def window_stats(spark, sf_dir):
-    """Total, buckets, top values and exact users of a project in one row."""
-    return query.window_stats(error_events(spark, sf_dir), 1, exact=True)
+    """Total, buckets, top values and exact users of a project, a row for each number."""
+    stats = query.window_stats(event_table(spark, sf_dir), 1, exact=True)
+    one = lambda tag, key, count: F.struct(F.lit(tag).alias("tag"), key.alias("key"), count.alias("count"))
+    empty = F.lit("")
+    parts = [F.array(one("total", empty, F.col("total")), one("users", empty, F.col("unique_users"))), F.transform("buckets", lambda b: one("bucket", b["start"].cast("string"), b["count"]))]
+    none = F.filter(parts[0], lambda x: F.lit(False))
+    of = lambda tag: F.transform(F.try_element_at("top_by", F.lit(tag)), lambda x: one(tag, x["key"], x["count"]))
+    parts += [F.coalesce(of(tag), none) for tag in query.TAGS]
+    return stats.select(F.inline(F.concat(*parts)))
 
 
 @_register(f"WITH {ERROR_EVENTS} SELECT DISTINCT project_id, fingerprint FROM error_events WHERE release = '1.2.0'")
 def distinct_fingerprints(spark, sf_dir):
-    return query.distinct_fingerprints(error_events(spark, sf_dir).where(query.event_predicate(release="1.2.0")))
+    return query.distinct_fingerprints(event_table(spark, sf_dir).where(query.event_predicate(release="1.2.0")))
 
 
 @_register(f"WITH {ERROR_EVENTS} SELECT event_id, ts_ns, level, user_id FROM error_events WHERE project_id = 4 AND level = 'warning' ORDER BY ts_ns DESC, event_id LIMIT 42")
 def scan_limit(spark, sf_dir):
-    return query.scan(error_events(spark, sf_dir), 4, 42, level="warning").select("event_id", "ts_ns", "level", "user_id")
+    return query.scan(event_table(spark, sf_dir), 4, 42, level="warning").select("event_id", "ts_ns", "level", "user_id")
 
 
 @_register(f"WITH {ERROR_EVENTS} SELECT event_id, props->>'k' AS k, true AS is_json FROM error_events JOIN (SELECT event_id AS number, props FROM events) USING (number)")
@@ -111,7 +124,7 @@ _NORMAL = """regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_
 SELECT doc_id, normal, CASE WHEN text = '' THEN substr(sha1('fallback'), 1, 32) ELSE substr(sha1('msg' || chr(0) || normal), 1, 32) END AS fingerprint,
   CASE WHEN text = '' THEN 'fallback' ELSE 'message' END AS basis FROM n""")
 def message_fingerprints(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     found = docs.select("doc_id", t.normalize_message(F.col("text")).alias("normal"), g.fingerprint(tables.message_input(F.col("text"))).alias("g"))
     return found.select("doc_id", "normal", "g.fingerprint", "g.basis")
 
@@ -121,7 +134,7 @@ _FRAME3 = "'build-<num>/app/main.js' || chr(0) || 'run.<gen>'"
 
 
 def _stack(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     hint = F.when(F.col("event_id") % 4 == 1, False).when(F.col("event_id") % 4 == 2, True)
     return e.select("event_id", "user_id", "event_type", tables.stack_input(F.col("event_id"), F.col("event_type"), hint).alias("input"))
 
@@ -244,9 +257,12 @@ def drops_by_reason(spark, sf_dir):
     return ops.drops_by_reason(_ingested(spark, sf_dir))
 
 
-@_register(f"WITH {ERROR_EVENTS}, {_REJECTS} SELECT count(*) AS received, count(*) FILTER (reason IS NULL) AS stored, count(reason) AS dropped FROM r")
+@_register(f"""WITH {ERROR_EVENTS}, {_REJECTS} SELECT count(*) AS received, count(*) FILTER (reason IS NULL AND arrival_seq < 1000000000) AS stored, count(reason) FILTER (arrival_seq < 1000000000) AS dropped,
+  count(*) FILTER (arrival_seq >= 1000000000) AS lag, (SELECT count(DISTINCT (project_id, ts_ns - ts_ns % {HOUR})) FROM error_events WHERE number % 89 <> 0 AND number % 97 <> 0) AS segments FROM r""")
 def ingest_status(spark, sf_dir):
-    return ops.ingest_status(_records(spark, sf_dir), _ingested(spark, sf_dir))
+    """Status while the second copies still wait."""
+    records = _records(spark, sf_dir)
+    return ops.ingest_status(records, ingest.ingest(records.where("arrival_seq < 1000000000"), tables.project_keys(spark)))
 
 
 @_register(f"WITH {ERROR_EVENTS}, {_REJECTS} SELECT count(*) AS items_in, count(*) FILTER (reason IS NULL) AS stored, count(reason) AS rejected, 0::BIGINT AS missing FROM r")
@@ -261,6 +277,34 @@ def issue_hits(spark, sf_dir):
     return ingest.issue_hits(ingest.stored(_ingested(spark, sf_dir)))
 
 
+def _compressed(batches):
+    import gzip
+    import zlib
+
+    pack = {"": bytes, "gzip": gzip.compress, "deflate": zlib.compress}
+    for batch in batches:
+        yield batch.assign(body=[pack[kind](body) for kind, body in zip(batch["content_encoding"], batch["body"], strict=True)])
+
+
+@_register(f"""SELECT event_id AS arrival_seq, event_type || 'Error: code ' || (event_id % 13) AS message, 'stacktrace' AS basis,
+  substr(sha1('stack' || chr(0) || event_type || 'Error' || chr(0) || {_FRAME2} {_FRAME3}), 1, 32) AS fingerprint FROM events""")
+def ingest_exceptions(spark, sf_dir):
+    """Compressed records whose exceptions come as an object or as a bare array."""
+    e = spread(table(spark, sf_dir, "events"))
+    n = F.col("event_id")
+    trace = lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.struct(x["frames"].alias("frames")).alias("stacktrace"))
+    own = F.transform(tables.stack_input(n, F.col("event_type"), F.lit(None).cast("boolean"))["exceptions"], trace)
+    event_id = F.md5(n.cast("string").cast("binary")).alias("event_id")
+    body = F.when(n % 2 == 0, F.to_json(F.struct(event_id, F.struct(own.alias("values")).alias("exception")))).otherwise(F.to_json(F.struct(event_id, own.alias("exception"))))
+    rows = e.select(
+        n.alias("arrival_seq"), F.col("ts").cast("timestamp").alias("received_at"), F.lit(2).cast("tinyint").alias("kind"), (F.col("user_id") % 4 + 1).cast("bigint").alias("project_id"),
+        F.concat(F.lit("key"), ((F.col("user_id") % 4 + 1) * 3 + 1).cast("string")).alias("public_key"),
+        F.when(n % 3 == 1, "gzip").when(n % 3 == 2, "deflate").otherwise("").alias("content_encoding"), body.cast("binary").alias("body"),
+    )
+    rows = ingest.stored(ingest.ingest(rows.mapInPandas(_compressed, rows.schema), tables.project_keys(spark)))
+    return rows.select("arrival_seq", "message", "basis", "fingerprint")
+
+
 @_register(f"WITH {ERROR_EVENTS}, {PROJECTS} SELECT arrival_seq, project_id, org_id FROM error_events LEFT JOIN projects ON projects.id = project_id")
 def events_with_org(spark, sf_dir):
     return ingest.with_org(error_events(spark, sf_dir), tables.projects(spark)).select("arrival_seq", "project_id", "org_id")
@@ -277,13 +321,20 @@ def _written(spark, sf_dir):
     return path
 
 
+@_register(f"WITH {ERROR_EVENTS} SELECT project_id, count(*) AS rows, count(DISTINCT event_id) AS ids, min(ts_ns) AS first, max(ts_ns) AS last FROM error_events GROUP BY project_id")
+def event_table_write(spark, sf_dir):
+    """Fingerprint all events and write the event table that the statistics read; its rows by project."""
+    rows = event_table(spark, sf_dir).groupBy("project_id")
+    return rows.agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids"), F.min("ts_ns").alias("first"), F.max("ts_ns").alias("last"))
+
+
 _SCAN = f"""WITH {ERROR_EVENTS}, b AS (SELECT min(ts_ns) AS lo FROM error_events)
 SELECT project_id, event_id, ts_ns, level, fingerprint, user_id, message FROM error_events, b WHERE project_id = 2 AND level = 'error' AND ts_ns BETWEEN lo + {6 * HOUR} AND lo + {72 * HOUR}"""
 
 
 def _scan_written(spark, sf_dir):
-    events = store.read_events(spark, _written(spark, sf_dir))
-    low = error_events(spark, sf_dir).agg(F.min("ts_ns")).collect()[0][0]
+    events = event_table(spark, sf_dir)
+    low = events.agg(F.min("ts_ns")).collect()[0][0]
     found = query.matching(events, 2, level="error", since=low + 6 * HOUR, until=low + 72 * HOUR)
     return found.select("project_id", "event_id", "ts_ns", "level", "fingerprint", "user_id", "message")
 
@@ -417,7 +468,7 @@ def search_issues(spark, sf_dir):
 @_register(f"""WITH {ERROR_EVENTS}, r AS (SELECT project_id, fingerprint, event_id, ts_ns, row_number() OVER (PARTITION BY project_id, fingerprint ORDER BY ts_ns DESC, event_id)::INT AS rank FROM error_events)
 SELECT * FROM r WHERE rank <= 5""")
 def latest_events(spark, sf_dir):
-    e = error_events(spark, sf_dir)
+    e = event_table(spark, sf_dir)
     return issues.latest_events(query.distinct_fingerprints(e), e).select("project_id", "fingerprint", "event_id", "ts_ns", "rank")
 
 
@@ -475,12 +526,35 @@ def alert_firings(spark, sf_dir):
     return alerts.firings(_activity(spark, sf_dir), _rules(spark))
 
 
-@_register(f"WITH {_RULES} SELECT r.id, r.name FROM rules r JOIN (SELECT count(*) AS n FROM events) e ON n > 0 WHERE project_id = 2 AND id <> 6 AND webhook_url <> '' AND enabled ORDER BY id LIMIT 100")
+_CUSTOMER_RULES = """customer_rules AS (SELECT c_custkey AS id, c_nationkey % 4 + 1 AS project_id, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE c_name END AS name,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'new_issue' WHEN 'MACHINERY' THEN 'regression' WHEN 'HOUSEHOLD' THEN 'frequency' ELSE 'other' END AS condition,
+  CASE WHEN c_custkey % 11 = 0 THEN '' ELSE 'https://hooks.example.com/' || c_custkey END AS webhook_url, c_acctbal > 0 AS enabled FROM customer)"""
+
+
+def _customer_rules(spark, sf_dir):
+    """A rule of each customer; those who never ordered anything have deleted theirs."""
+    c = table(spark, sf_dir, "customer")
+    key, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    rules = c.select(
+        key.alias("id"), (F.col("c_nationkey") % 4 + 1).alias("project_id"), F.when(key % 17 == 0, "").otherwise(F.col("c_name")).alias("name"),
+        F.when(segment == "BUILDING", "new_issue").when(segment == "MACHINERY", "regression").when(segment == "HOUSEHOLD", "frequency").otherwise("other").alias("condition"),
+        F.when(key % 11 == 0, "").otherwise(F.concat(F.lit("https://hooks.example.com/"), key.cast("string"))).alias("webhook_url"), (F.col("c_acctbal") > 0).alias("enabled"),
+    )
+    return rules, c.join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select(key.alias("id"))
+
+
+@_register(f"WITH {_CUSTOMER_RULES} SELECT id, project_id, name, condition, enabled FROM customer_rules WHERE condition <> 'other' AND name <> '' AND webhook_url <> ''")
+def alert_rules_valid(spark, sf_dir):
+    """The rules whose definition holds."""
+    return alerts.valid_rules(_customer_rules(spark, sf_dir)[0]).select("id", "project_id", "name", "condition", "enabled")
+
+
+@_register(f"""WITH {_CUSTOMER_RULES} SELECT id, name FROM customer_rules WHERE project_id = 2 AND condition <> 'other' AND name <> '' AND webhook_url <> '' AND enabled
+  AND id IN (SELECT o_custkey FROM orders) ORDER BY id LIMIT 100""")
 def alert_rule_list(spark, sf_dir):
-    """A project's enabled valid rules without a deleted one; of a store that holds events."""
-    deleted = spark.createDataFrame([(6,)], "id bigint")
-    rules = alerts.valid_rules(_rules(spark)).join(table(spark, sf_dir, "events").agg(F.count("*").alias("n")).where("n > 0"))
-    return alerts.list_rules(rules, 2, enabled_only=True, deleted=deleted).select("id", "name")
+    """A project's enabled valid rules by id, without deleted ones."""
+    rules, deleted = _customer_rules(spark, sf_dir)
+    return alerts.list_rules(alerts.valid_rules(rules), 2, enabled_only=True, deleted=deleted).select("id", "name")
 
 
 @_register(f"""WITH RECURSIVE {ERROR_EVENTS},

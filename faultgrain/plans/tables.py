@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.grouping import fingerprint
 from ..schema import EXCEPTIONS, SCHEMA_VERSION
+from ..sources import store
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer partitions than cores (one small file) dealt to all of them; larger ones stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _level(event_type: Column) -> Column:
     return F.when(event_type == "error", "error").when(event_type == "purchase", "warning").otherwise("info")
 
@@ -43,7 +52,7 @@ def stack_input(event_id: Column, event_type: Column, in_app: Column) -> Column:
 
 def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` as error events, with arrival_seq and basis beside the stored columns."""
-    e = table(spark, sf_dir, "events")
+    e = spread(table(spark, sf_dir, "events"))
     id_text = F.col("event_id").cast("string")
     rows = e.select(
         F.col("event_id").alias("arrival_seq"),
@@ -97,9 +106,32 @@ def project_keys(spark: SparkSession) -> DataFrame:
 KEYS = "project_keys AS (SELECT i AS id, i // 3 AS project_id, 'key' || i AS public_key, i % 3 <> 0 AND i < 15 AS is_active FROM range(3, 18) r(i))"
 
 
+_written: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
+    """Path of a table that a session writes once for the given tables."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _written:
+        path = store.scratch_path(spark, name)
+        write(path)
+        _written[key] = path
+    return _written[key]
+
+
+def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored event table: error events in pruned directories, as queries read them."""
+    rows = error_events(spark, sf_dir).withColumn("payload", F.lit(None).cast("binary"))
+    return store.read_events(spark, _once(spark, sf_dir, "event_table", lambda path: store.write_events(rows, path)))
+
+
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A hit per event; arrival numbers leave room for commands between them."""
-    e = error_events(spark, sf_dir)
+    """A stored hit per event; arrival numbers leave room for commands between them."""
+    rows = _hits(error_events(spark, sf_dir))
+    return spark.read.schema(rows.schema).parquet(_once(spark, sf_dir, "hits", rows.write.parquet))
+
+
+def _hits(e: DataFrame) -> DataFrame:
     return e.select((F.col("arrival_seq") * 10).alias("arrival_seq"), "project_id", "fingerprint", "basis", F.col("message").alias("title"), "level", F.col("ts_ns").alias("seen_at"))
 
 

@@ -8,6 +8,8 @@ filters whose size follows the number of values.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 BLOOM_COLUMNS = ("fingerprint", "release", "user_id")
 
 
-class UnknownVersion(ValueError):
-    """The table holds rows of a schema version this code does not know."""
+#: How the error about a row of a schema version that this code does not know begins.
+UNKNOWN_VERSION = "unknown schema version"
 
 
 def project_bucket(project_id: Column, buckets: int = BUCKETS) -> Column:
@@ -61,11 +63,17 @@ def write_events(events: DataFrame, path: str, *, by_hour: bool = False, buckets
 
 
 def read_events(spark: SparkSession, path: str, *, check: bool = True) -> DataFrame:
-    """The event table; new files are seen by reading again. Refuses unknown schema versions."""
+    """The event table; new files are seen by reading again.
+
+    Rows of an unknown schema version fail the query that meets them, so that
+    opening the table reads nothing and a scan checks only what it reads.
+    """
     table = spark.read.parquet(path)
-    if check and (table.where(~F.col("schema_version").eqNullSafe(SCHEMA_VERSION)).limit(1).count()):
-        raise UnknownVersion(path)
-    return table
+    if not check:
+        return table
+    known = F.col("schema_version").eqNullSafe(SCHEMA_VERSION)
+    message = F.concat(F.lit(f"{UNKNOWN_VERSION} "), F.coalesce(F.col("schema_version").cast("string"), F.lit("null")))
+    return table.where(F.when(known, True).otherwise(F.raise_error(message).cast("boolean")))
 
 
 def partition_predicate(table: DataFrame, project_id: int, since: int | None = None, until: int | None = None, buckets: int = BUCKETS) -> Column:
@@ -97,16 +105,34 @@ def union_tiers(hot: DataFrame, warm: DataFrame) -> DataFrame:
 def compact(spark: SparkSession, path: str, where: Column | None = None, buckets: int = BUCKETS) -> None:
     """Rewrite the directories that ``where`` picks (of directory columns; all if None) as few sorted files each.
 
-    The rows pass through a copy beside the table, as a directory cannot be
-    overwritten while it is read.
+    The rows are written beside the table, their files are moved in, and then
+    the files that were read are removed, no others. So rows that are appended
+    meanwhile stay. Until the last file is removed a reader may see rows twice;
+    compact in a quiet time, or read through ``union_tiers``, which drops copies.
     """
     table = spark.read.parquet(path)
-    by_hour = "hour" in table.columns
-    beside = f"{path.rstrip('/')}__compacting"
-    write_events(table if where is None else table.where(where), beside, by_hour=by_hour, buckets=buckets, mode="overwrite")
-    copy = spark.read.parquet(beside)
-    keys = ["project_id", "hour"] if by_hour else ["event_date", "project_bucket"]
-    _save(copy.repartition(*keys, F.pmod(F.xxhash64("project_id"), F.lit(PIECES))).sortWithinPartitions(*keys, "project_id", "ts_ns"), path, keys, "overwrite")
+    table = table if where is None else table.where(where)
+    old = table.select(F.input_file_name().alias("file")).distinct()
+    old = [r["file"] for r in old.collect()]  # names of the files to replace
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    beside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__compacting-{uuid.uuid4().hex}")
+    try:
+        write_events(table, beside.toString(), by_hour="hour" in table.columns, buckets=buckets)
+        root = files.getFileStatus(beside).getPath().toString()
+        new = files.listFiles(beside, True)
+        while new.hasNext():
+            file = new.next().getPath()
+            if file.getName().endswith(".parquet"):
+                to = jvm.org.apache.hadoop.fs.Path(at, file.toString()[len(root) + 1 :])
+                files.mkdirs(to.getParent())
+                if not files.rename(file, to):
+                    raise OSError(f"could not move {file} to {to}")
+        for name in old:
+            files.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), False)
+    finally:
+        files.delete(beside, True)
 
 
 def manifest(events: DataFrame) -> DataFrame:
@@ -140,7 +166,6 @@ def expired(segments: DataFrame, *, now_ns: int, max_bytes: int = 0, max_age_ns:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new folder that all executors see: under the checkpoint folder, or local in a local session."""
     import tempfile
-    import uuid
 
     sc = spark.sparkContext
     base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
@@ -149,3 +174,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def kept(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a folder that all executors see, and read from there."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,6 +48,7 @@ def test_fingerprint_chain(spark):
         ("*", "", False), ("*", "a/b", True), ("a/*.py", "a/b.py", True), ("a/*.py", "a/b/c.py", False), ("a?c", "abc", True), ("a?c", "a/c", False),
         ("[a-c]x", "bx", True), ("[^a-c]x", "bx", False), ("[", "[", False), ("[]a]", "a", False), ("a\\*", "a*", True), ("a\\", "a", False),
         ("**/gen/**", "src/gen/x", True), ("src/**", "src/x", True), ("src/**", "a/src/x", False), ("**.js", "a/b.js.map", True), ("a**c", "abbc", True), ("", "", False),
+        ("[c-a]x", "bx", False), ("[c-ab]x", "bx", True), ("[^c-a]x", "bx", True), ("[^c-a]", "", False), ("[a\\-c]", "-", True), ("[&~^|]", "^", True), ("[\\]]", "]", True),
     ],
 )
 def test_glob(spark, pattern, text, matches):

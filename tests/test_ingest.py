@@ -6,6 +6,7 @@ from datetime import datetime
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from faultgrain.operators import ops
 from faultgrain.schema import RECORD
@@ -100,3 +101,20 @@ def test_exception_shapes(spark):
     assert rows[0]["fingerprint"] == rows[1]["fingerprint"] and rows[0]["basis"] == "stacktrace"
     assert (rows[2]["message"], rows[2]["basis"]) == ("m", "message")
     assert (rows[3]["message"], rows[3]["basis"]) == ("t 1", "message-template")
+
+
+def test_json_lines(spark, tmp_path):
+    """A file of single events, one a line; a line that is none is rejected."""
+    (tmp_path / "e.json").write_text('{"event_id":"A-B","message":"one","level":"info"}\nnone\n{"event_id":"cd","message":"two","user":{"email":"x@y.zz"}}\n')
+    records = ingest.read_json_lines(spark, str(tmp_path / "e.json"), 7, F.lit(NOW))
+    keys = spark.createDataFrame([(7, "", True)], "project_id bigint, public_key string, is_active boolean")
+    rows = ingest.ingest(records, keys).orderBy("arrival_seq").collect()
+    assert [(r["project_id"], r["event_id"], r["message"], r["level"], r["user_id"], r["reason"]) for r in rows if r["reason"] is None] == [(7, "ab", "one", "info", "", None), (7, "cd", "two", "error", "x@y.zz", None)]
+    assert [r["reason"] for r in rows].count("malformed") == 1
+    assert ops.ingest_status(records, ingest.ingest(records.limit(2), keys)).collect()[0].asDict() == {"received": 3, "stored": 1, "dropped": 1, "lag": 1, "segments": 1}
+
+
+def test_consumer_lag():
+    progress = {"numInputRows": 10, "inputRowsPerSecond": 5.0, "processedRowsPerSecond": 2.0}
+    assert ops.consumer_lag(progress) == {"rows": 10, "in_per_second": 5.0, "out_per_second": 2.0, "behind_per_second": 3.0}
+    assert ops.consumer_lag(None)["behind_per_second"] == 0

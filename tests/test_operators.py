@@ -42,8 +42,24 @@ def test_event_table_prunes(spark, tmp_path, by_hour):
     again = store.read_events(spark, path)
     assert again.count() == 4805 and len(again.inputFiles()) <= files
     store.write_events(events(spark, 1, 1, 1).withColumn("schema_version", F.lit(9)), path, by_hour=by_hour)
-    with pytest.raises(store.UnknownVersion):
-        store.read_events(spark, path)
+    with pytest.raises(Exception, match=store.UNKNOWN_VERSION):
+        store.read_events(spark, path).count()
+    assert query.scope(store.read_events(spark, path), 3, START, START + HOUR).count()  # reads no such row
+
+
+def test_compaction_keeps_what_comes_meanwhile(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    store.write_events(events(spark, 2, 2, 50), path)
+    store.write_events(events(spark, 2, 2, 50), path)
+    write = store.write_events
+
+    def slow(table, to, **options):
+        write(table, to, **options)
+        write(events(spark, 1, 1, 7).withColumn("event_id", F.lit("late")), path)
+
+    monkeypatch.setattr(store, "write_events", slow)
+    store.compact(spark, path)
+    assert store.read_events(spark, path).count() == 407 and [x.name for x in tmp_path.iterdir()] == ["t"]
 
 
 def test_statistics(spark):

@@ -9,7 +9,6 @@ from faultgrain.plans.queries import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
 TABLES = ("customer", "orders", "events", "documents", "conversations")
-SLOW = {"current_issues", "filter_issues", "search_issues", "store_manifest", "ingest_status", "accounting", "quota_admission"}
 
 
 @pytest.fixture(scope="module")
@@ -22,7 +21,7 @@ def sql():
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the given tables")
-@pytest.mark.parametrize("name", sorted(ORACLE_SQL.keys() - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL.keys()))
 def test_equals_sql(spark, sql, name):
     df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)

@@ -64,15 +64,26 @@ def test_repeats_and_counts(spark, tmp_path):
     df = spark.createDataFrame(rows, "n bigint, ts timestamp_ntz, project_id bigint, event_id string")
     stream = parts(spark, df, tmp_path, 3, "n")
     assert drained(ingest.drop_repeats(stream, "2 hours"), "repeats").count() == 90 + 15
-    counts = drained(ingest.tumbling_counts(stream, "5 minutes", "1 hour"), "counts")
-    assert {c for c in counts.columns} == {"project_id", "start", "count"}
 
 
-def test_stateful_twins(spark, tmp_path):
+def test_tumbling_counts(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    df = spark.createDataFrame([(n // 50, start + timedelta(seconds=20 * n), n % 2) for n in range(150)], "batch bigint, ts timestamp_ntz, project_id bigint")
+    counts = drained(ingest.tumbling_counts(parts(spark, df, tmp_path, 3, "batch"), "5 minutes", "1 minute"), "counts")
+    expected = {(p, start + timedelta(minutes=5 * w)): sum(n % 2 == p and 20 * n // 300 == w for n in range(150)) for p in (0, 1) for w in range(10)}
+    last = max(w for _, w in expected)  # the watermark has not passed it yet
+    assert {(r["project_id"], r["start"]): r["count"] for r in counts.collect()} == {k: n for k, n in expected.items() if k[1] < last}
+
+
+def _timeline(spark):
     hits = spark.range(300).select((F.col("id") * 2).alias("arrival_seq"), (F.col("id") % 2).alias("project_id"), F.concat(F.lit("f"), F.col("id") % 3).alias("fingerprint"), F.lit("b").alias("basis"), F.lit("t").alias("title"), F.lit("error").alias("level"), F.col("id").alias("seen_at"))
     hits = spark.createDataFrame(hits.collect(), HIT)
     commands = spark.createDataFrame([(101, 0, "status", "f0", None, None, "resolved"), (301, 1, "status", "f2", None, None, "ignored"), (303, 1, "status", "f2", None, None, "resolved")], COMMAND)
-    batch = issues.timeline(hits, commands)
+    return hits, commands, issues.timeline(hits, commands)
+
+
+def test_streaming_issues(spark, tmp_path):
+    hits, commands, batch = _timeline(spark)
     rows = hits.select("arrival_seq", "project_id", F.col("fingerprint").alias("target"), F.lit("hit").alias("row"), F.lit(1).cast("bigint").alias("weight"), F.lit(None).cast("string").alias("set_status"))
     rows = rows.unionByName(commands.select("arrival_seq", "project_id", F.col("fingerprint").alias("target"), F.lit("status").alias("row"), F.lit(0).cast("bigint").alias("weight"), F.col("status").alias("set_status")))
     stream = parts(spark, rows.withColumn("batch", F.floor(F.col("arrival_seq") / 150)), tmp_path, 4, "batch")
@@ -81,15 +92,17 @@ def test_stateful_twins(spark, tmp_path):
     assert sorted(found.collect()) == sorted(batch.select(*columns).collect())
     assert found.where("regressed").count() == 2
 
-    (tmp_path / "a").mkdir()
-    activity = batch.withColumnRenamed("target", "issue").withColumn("ts", F.timestamp_seconds(F.col("arrival_seq") * 10)).select("arrival_seq", "project_id", "issue", "ts", "title", "level", "status", "times_seen", "is_new", "regressed")
+
+def test_streaming_alerts(spark, tmp_path):
+    activity = _timeline(spark)[2].withColumnRenamed("target", "issue").withColumn("ts", F.timestamp_seconds(F.col("arrival_seq") * 10)).select("arrival_seq", "project_id", "issue", "ts", "title", "level", "status", "times_seen", "is_new", "regressed")
     rules = spark.createDataFrame([(1, 0, "new", "new_issue", 0, True), (2, 0, "many", "frequency", 20, True), (3, 1, "back", "regression", 0, True)], "id bigint, project_id bigint, name string, condition string, threshold bigint, enabled boolean")
     activity = spark.createDataFrame(activity.collect(), activity.schema).withColumn("batch", F.floor(F.col("arrival_seq") / 150))
-    fired = drained(state.alert_firings(parts(spark, activity, tmp_path / "a", 4, "batch"), rules), "fired").select("rule_id", "issue", "arrival_seq")
+    fired = drained(state.alert_firings(parts(spark, activity, tmp_path, 4, "batch"), rules), "fired").select("rule_id", "issue", "arrival_seq")
     assert sorted(fired.collect()) == sorted(alerts.firings(activity, rules).select("rule_id", "issue", "arrival_seq").collect())
 
-    (tmp_path / "q").mkdir()
+
+def test_streaming_quota(spark, tmp_path):
     limits = spark.createDataFrame([(0, 0.5, 4.0)], "project_id bigint, per_second double, burst double")
-    arrivals = spark.range(400).select((F.col("id") % 2).alias("project_id"), F.col("id").alias("arrival_seq"), (F.col("id") * 600_000_000).alias("ts_ns")).withColumn("batch", F.floor(F.col("id") / 100)).drop("id")
-    admitted = drained(state.admissions(parts(spark, arrivals, tmp_path / "q", 4, "batch"), limits), "admitted").select("project_id", "arrival_seq", "admitted")
+    arrivals = spark.range(400).select((F.col("id") % 2).alias("project_id"), F.col("id").alias("arrival_seq"), (F.col("id") * 600_000_000).alias("ts_ns")).withColumn("batch", F.floor(F.col("arrival_seq") / 100))
+    admitted = drained(state.admissions(parts(spark, arrivals, tmp_path, 4, "batch"), limits), "admitted").select("project_id", "arrival_seq", "admitted")
     assert sorted(admitted.collect()) == sorted(quota.admit(arrivals, limits).select("project_id", "arrival_seq", "admitted").collect())
