@@ -276,9 +276,9 @@ def rejected(classified: DataFrame) -> DataFrame:
     return classified.where("reason is not null").select("arrival_seq", "received_at", "project_id", "item_no", "reason")
 
 
-def issue_hits(events: DataFrame) -> DataFrame:
-    """One hit per stored event."""
+def issue_hits(events: DataFrame, *more: str) -> DataFrame:
+    """One hit per stored event, with ``more`` of its columns."""
     title = truncate_bytes(F.col("message"), TITLE_BYTES).alias("title")
-    return events.select("arrival_seq", "project_id", "fingerprint", "basis", title, "level", F.col("ts_ns").alias("seen_at"))
+    return events.select("arrival_seq", "project_id", "fingerprint", "basis", title, "level", F.col("ts_ns").alias("seen_at"), *more)
 
 

@@ -9,6 +9,7 @@ filters whose size follows the number of values.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -114,25 +115,54 @@ def compact(spark: SparkSession, path: str, where: Column | None = None, buckets
     table = table if where is None else table.where(where)
     old = table.select(F.input_file_name().alias("file")).distinct()
     old = [r["file"] for r in old.collect()]  # names of the files to replace
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path.rstrip("/"))
-    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    beside = jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}__compacting-{uuid.uuid4().hex}")
+    beside = f"{path.rstrip('/')}__compacting-{uuid.uuid4().hex}"
     try:
-        write_events(table, beside.toString(), by_hour="hour" in table.columns, buckets=buckets)
-        root = files.getFileStatus(beside).getPath().toString()
-        new = files.listFiles(beside, True)
-        while new.hasNext():
-            file = new.next().getPath()
-            if file.getName().endswith(".parquet"):
-                to = jvm.org.apache.hadoop.fs.Path(at, file.toString()[len(root) + 1 :])
-                files.mkdirs(to.getParent())
-                if not files.rename(file, to):
-                    raise OSError(f"could not move {file} to {to}")
+        write_events(table, beside, by_hour="hour" in table.columns, buckets=buckets)
+        _move_in(spark, beside, path)
+        files, at = file_system(spark, path)
         for name in old:
-            files.delete(jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(name)), False)
+            files.delete(at(spark.sparkContext._jvm.java.net.URI(name)), False)
     finally:
-        files.delete(beside, True)
+        file_system(spark, beside)[0].delete(file_system(spark, beside)[1](beside), True)
+
+
+def file_system(spark: SparkSession, path: str):
+    """The file system of ``path`` and its class of paths."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def _move_in(spark: SparkSession, beside: str, path: str, prefix: str = "") -> None:
+    """Move the Parquet files of a folder to the same places of a table."""
+    files, at = file_system(spark, path)
+    root = files.getFileStatus(at(beside)).getPath().toString()
+    new = files.listFiles(at(beside), True)
+    while new.hasNext():
+        file = new.next().getPath()
+        if file.getName().endswith(".parquet"):
+            inside = file.getParent().toString()[len(root) :].strip("/")
+            to = at(f"{path.rstrip('/')}/{inside}/{prefix}{file.getName()}")
+            files.mkdirs(to.getParent())
+            if not files.rename(file, to):
+                raise OSError(f"could not move {file} to {to}")
+
+
+def append_once(spark: SparkSession, path: str, tag: str, write: Callable[[str], None], depth: int = 2) -> None:
+    """Append to a table of ``depth`` directory levels what ``write`` puts in a folder; the same tag again replaces what it appended before."""
+    files, at = file_system(spark, path)
+    began = at(f"{path.rstrip('/')}/_appended/{tag}")
+    if files.exists(began):  # a replay
+        for found in files.globStatus(at(f"{path.rstrip('/')}{'/*' * depth}/{tag}-*")) or []:
+            files.delete(found.getPath(), False)
+    else:
+        files.mkdirs(began.getParent())
+        files.create(began).close()
+    beside = f"{path.rstrip('/')}__{tag}-{uuid.uuid4().hex}"
+    try:
+        write(beside)
+        _move_in(spark, beside, path, f"{tag}-")
+    finally:
+        files.delete(at(beside), True)
 
 
 def manifest(events: DataFrame) -> DataFrame:

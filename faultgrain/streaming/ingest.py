@@ -1,7 +1,8 @@
 """The ingest job on a stream: each micro-batch is classified, written and accounted for.
 
-A batch writes its rows under its own batch id and overwrites them when it is
-run again, so a replay after a failure leaves no second copy. Sources are
+A batch appends to the event table, to the hits of issues, to rejects and to the
+ids seen, and replaces what it appended when it is run again, so a replay after
+a failure leaves no second copy. Sources are
 bounded per batch by ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the reader.
 """
 
@@ -12,8 +13,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.ops import require_accounted
-from ..sources.ingest import authenticate, decode_records, event_items, extract_events, mark_duplicates
 from ..schema import RECORD
+from ..sources.ingest import authenticate, decode_records, event_items, extract_events, issue_hits, mark_duplicates
+from ..sources.store import append_once, file_system, write_events
 
 ID_WINDOW = "1 day"
 
@@ -30,16 +32,15 @@ def landing_stream(spark: SparkSession, path: str, *, files_per_batch: int = 0,
 
 def _seen_before(spark: SparkSession, path: str, batch_id: int, since, until) -> DataFrame | None:
     """Ids that other batches stored in the window before this batch's records."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
+    files, at = file_system(spark, path)
+    if not files.globStatus(at(f"{path}/received_date=*")):
         return None
-    old = spark.read.parquet(path)
     days = F.col("received_date").between(F.to_date(F.lit(since) - F.expr(f"interval {ID_WINDOW}")), F.to_date(F.lit(until)))
-    return old.where(days & (F.col("batch_id") != batch_id) & (F.col("event_id") != "")).select("project_id", "event_id").distinct()
+    return spark.read.parquet(path).where(days & (F.col("batch_id") != batch_id)).select("project_id", "event_id").distinct()
 
 
 def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str) -> None:
-    """Classify one batch and write ``events`` and ``rejects`` under ``path``; fail if an item is unaccounted for."""
+    """Classify one batch and append to ``events``, ``hits``, ``rejects`` and ``ids`` under ``path``; fail if an item is unaccounted for."""
     spark = records.sparkSession
     checked = authenticate(records, keys)
     items = event_items(decode_records(checked.where("reason is null")))
@@ -50,15 +51,21 @@ def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str)
     everything = items.unionByName(denied).persist()
     span = everything.agg(F.min("received_at").alias("low"), F.max("received_at").alias("high")).collect()[0]
     rows = mark_duplicates(extract_events(everything))
-    seen = _seen_before(spark, f"{path}/events", batch_id, span["low"], span["high"]) if span["low"] else None
+    seen = _seen_before(spark, f"{path}/ids", batch_id, span["low"], span["high"]) if span["low"] else None
     if seen is not None:
         rows = rows.join(seen.withColumn("_seen", F.lit(True)), ["project_id", "event_id"], "left")
         rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_seen"), "duplicate").otherwise(F.col("reason"))).drop("_seen")
     rows = rows.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "received_date": F.to_date("received_at")}).persist()
-    for name, part in (("events", rows.where("reason is null").drop("reason")), ("rejects", rows.where("reason is not null").select("arrival_seq", "received_at", "project_id", "item_no", "reason", "batch_id", "received_date"))):
-        writer = part.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd")
-        writer.partitionBy("batch_id", "received_date").parquet(f"{path}/{name}")
-    require_accounted(everything, rows.where("reason is null"), rows.where("reason is not null"))
+    new = rows.where("reason is null")
+    append_once(spark, f"{path}/events", f"batch-{batch_id}", lambda to: write_events(new, to))
+    by_day = {
+        "hits": issue_hits(new, "received_date"),
+        "rejects": rows.where("reason is not null").select("arrival_seq", "received_at", "project_id", "item_no", "reason", "batch_id", "received_date"),
+        "ids": new.where("event_id <> ''").select("project_id", "event_id", "batch_id", "received_date"),
+    }
+    for name, part in by_day.items():
+        append_once(spark, f"{path}/{name}", f"batch-{batch_id}", lambda to, part=part: part.write.option("compression", "zstd").partitionBy("received_date").parquet(to), depth=1)
+    require_accounted(everything, new, rows.where("reason is not null"))
     rows.unpersist()
     everything.unpersist()
 

@@ -5,8 +5,9 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from faultgrain.operators import alerts, issues, quota
+from faultgrain.operators import alerts, issues, query, quota
 from faultgrain.schema import COMMAND, HIT, RECORD
+from faultgrain.sources import store
 from faultgrain.streaming import ingest, state
 
 
@@ -51,11 +52,18 @@ def test_ingest_restarts_without_copies(spark, tmp_path):
     stored = spark.read.parquet(str(tmp_path / "out/events"))
     rejects = spark.read.parquet(str(tmp_path / "out/rejects"))
     assert stored.count() == 30 and stored.select("event_id").distinct().count() == 30
+    hits = spark.read.parquet(str(tmp_path / "out/hits"))
+    assert hits.count() == 30 and sorted(r["fingerprint"] for r in hits.collect()) == sorted(r["fingerprint"] for r in stored.collect())
+    assert query.scope(store.read_events(spark, str(tmp_path / "out/events")), 1).count() == 30 and issues.rollup(hits).agg(F.sum("times_seen")).collect()[0][0] == 30
     assert {r["reason"]: r["count"] for r in rejects.groupBy("reason").count().collect()} == {"duplicate": 20, "auth": 5}
     records = spark.read.parquet(str(landing)).where("public_key = 'k'").limit(3)
     for _ in range(2):  # a replayed batch overwrites itself
         ingest.ingest_batch(records, 77, keys, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out/rejects")).where("batch_id = 77").count() == 3
+    fresh = spark.createDataFrame([(900, now, 2, 1, "k", "", b'{"event_id":"new","message":"m"}')], RECORD)
+    for _ in range(2):
+        ingest.ingest_batch(fresh, 78, keys, str(tmp_path / "out"))
+    assert store.read_events(spark, str(tmp_path / "out/events")).where("event_id = 'new'").count() == 1 and spark.read.parquet(str(tmp_path / "out/hits")).count() == 31
 
 
 def test_repeats_and_counts(spark, tmp_path):
