@@ -45,7 +45,7 @@ DEPTH = 6
 SPLIT = 3
 TOP = SPLIT - 1
 PARTS = 256
-BUCKETS = 1024
+BUCKETS, MOST_BUCKETS = 32, 4096
 END_BYTE = 0xFF  # never part of UTF-8: closes each text
 END_WORD = np.uint64(0x5851F42D4C957F2D)
 HOT_WORDS = 1 << 20
@@ -396,14 +396,16 @@ def _scored(model, total: float):
     return run
 
 
-def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, buckets: int = BUCKETS) -> DataFrame:
+def score_documents(docs: DataFrame, hot_words: int = HOT_WORDS, buckets: int = 0) -> DataFrame:
     """Score every text of ``docs(doc_id, text)``; learn from rows that are not held out.
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score
     (word unigrams), score (context-tree weighting, both log10) and
-    bits_per_byte of the latter, the end symbol counted as a byte.
+    bits_per_byte of the latter, the end symbol counted as a byte. Without
+    ``buckets`` there are ``BUCKETS`` for each partition, ``MOST_BUCKETS`` at most.
     """
     spark = docs.sparkSession
+    buckets = buckets or min(MOST_BUCKETS, BUCKETS * max(1, docs.rdd.getNumPartitions()))
     texts = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"), F.spark_partition_id().cast("long").alias("chunk"))
     counts = cut(corpus_counts(texts, buckets))
     words = cut(counts.where(F.col("kind") == _WORD).groupBy("key").agg(F.sum("n").alias("n")))
