@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.tables import spread
 from . import chat, ctw, decontam, host_rules, langid, line_chunks, neardup, packing, sanitise, secrets_scan
 
 
@@ -14,6 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents; where one small file makes fewer partitions than there are cores, dealt to all of them."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_ctw_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ctw.score_documents(table(spark, sf_dir, "documents"))
 
@@ -30,11 +36,11 @@ def op3_bottom_k_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return host_rules.judge_documents(table(spark, sf_dir, "documents"))
+    return host_rules.judge_documents(documents(spark, sf_dir))
 
 
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(documents(spark, sf_dir))
 
 
 def op6_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,11 +53,11 @@ def op6_term_disclosure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_containment_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated_pairs(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated_pairs(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op8_token_efficiency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = secrets_scan.find_secrets(table(spark, sf_dir, "documents"))
+    found = secrets_scan.find_secrets(documents(spark, sf_dir))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == secrets_scan.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     spans = lambda c: sanitise.joined(F.col(c), secrets_scan.KINDS)
     return found.select("doc_id", *map(count, ("assign", "access", "hex")), F.sha2(spans("base"), 256).alias("base_sha256"), spans("spans").alias("spans"))
@@ -63,7 +69,7 @@ def op9_line_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"))
+    return packing.pack_documents(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

@@ -601,25 +601,60 @@ def test_empty_tables(spark, tmp_path):
         assert query(spark, str(tmp_path)).count() == (1 if name == "op2_chat_format" else 0), name
 
 
+def without_repeats(rows):
+    """(doc_id, text) without pairs of neighbouring lines, and lines of over 50 words, that stand earlier."""
+
+    def pieces(text):
+        lines = (text or "").encode().split(b"\n")
+        filled = [k for k, line in enumerate(lines) if line.strip()]
+        long = {k for k in filled if len(lines[k].split()) > 50}
+        spans = [(a, b) for a, b in zip(filled, filled[1:]) if not {a, b} <= long] + [(k, k) for k in long]  # noqa: B905
+        return lines, [(a, b, b"\n".join(lines[a : b + 1])) for a, b in spans]
+
+    first = {}
+    for i, text in rows:
+        for a, b, data in pieces(text)[1]:
+            at = (i is not None, i or 0, a, b)
+            first[data] = min(first.get(data, at), at)
+    out = []
+    for i, text in rows:
+        lines, found = pieces(text)
+        gone = {k for a, b, data in found if first[data] != (i is not None, i or 0, a, b) for k in range(a, b + 1)}
+        left = "\n".join(line.decode() for k, line in enumerate(lines) if k not in gone)
+        if not gone or WORD.search(left):
+            out.append((i, left if gone else text))
+    return out
+
+
 def test_pipeline(spark, tmp_path, docs, corpus):
     import corpus_pipeline
 
     rng = random.Random(14)
     item = prose(rng, 30)
     planted = [(4000, f"{prose(rng, 50)} {item} {prose(rng, 20)}", "en", "s1", 0)]
+    shared = "\n".join(prose(rng, 12) for _ in range(3))
+    planted += [(4001 + k, f"{prose(rng, 9)}\n{shared}\n\n{prose(rng, 9 + k)}", "en", "s1", 0) for k in range(4)]
     both = docs.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(planted, DOCS))
     both.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(1, item)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     now = spark.read.parquet(str(tmp_path / "documents.parquet"))
     sizes = {}
     for name, stage in corpus_pipeline.STAGES:
+        before = now.collect()
         after = stage(spark, now, str(tmp_path))
         if name != "pack":
             assert after.columns == now.columns
         after.write.parquet(str(tmp_path / name))
         now = spark.read.parquet(str(tmp_path / name))
         sizes[name] = {r["doc_id"] for r in now.select("doc_id").collect()}
-    good = {i for i, t, *_ in corpus if not measured(t)[5]} | {4000}
+        if name == "line_dedup":
+            expected = without_repeats([(r["doc_id"], r["text"]) for r in before])
+            assert sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str) == sorted(expected, key=str) and len(expected) < len(before)
+            assert sum(shared in (r["text"] or "") for r in now.collect()) == 1
+        if name == "near_dedup":
+            own = [(r["doc_id"], r["text"]) for r in before]
+            assert sizes[name] == {i for i, _, low in linked(own, 5) if i == low} | {i for i, _ in own if i is None}
+    good = {i for i, t, *_ in corpus if not measured(t)[5]} | set(range(4000, 4005))
     assert sizes["quality_rules"] == good
     assert 4000 in sizes["near_dedup"] and 4000 not in sizes["decontaminate"]
     assert sizes["decontaminate"] == sizes["near_dedup"] - {4000} == sizes["pack"]
