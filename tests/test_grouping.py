@@ -42,6 +42,42 @@ def test_fingerprint_chain(spark):
     assert {r["i"]: (r["g"]["basis"], r["g"]["fingerprint"]) for r in found} == {i: c[1:] for i, c in enumerate(CASES)}
 
 
+def stack(kind, *frames, value=""):
+    return {"exceptions": [{"type": kind, "value": value, "frames": [FRAME | f for f in frames]}]}
+
+
+PY = {"function": "charge", "filename": "billing/core.py"}
+JS = {"function": "render", "abs_path": "https://cdn.example.com/static/js/main.0a1b2c3d4e.js"}
+#: Events of one family group together, events of two families do not.
+FAMILIES = {
+    "python": [stack("ValueError", PY), stack("ValueError", PY, value="other 7"), stack("ValueError", PY, {"function": "run", "abs_path": "/opt/app/site-packages/celery/app.py"})],
+    "python, another function": [stack("ValueError", PY | {"function": "refund"}), stack("ValueError", PY | {"function": "refund"}, value="x")],
+    "python, another type": [stack("KeyError", PY)],
+    "javascript, hashed bundles": [stack("TypeError", JS), stack("TypeError", JS | {"abs_path": "https://cdn.example.com/static/js/main.99aabbccdd.js"}), stack("TypeError", JS, {"function": "x", "filename": "node_modules/react/index.js"})],
+    "java, lambdas and counters": [stack("NPE", {"module": "shop.Cart", "function": "lambda$total$3"}), stack("NPE", {"module": "shop.Cart", "function": "lambda$total$41"}), stack("NPE", {"module": "shop.Cart", "function": "lambda$total"}, {"module": "java.util.ArrayList", "function": "forEach"})],
+    "go, generated functions": [stack("panic", {"module": "shop/cart", "function": "Total.func1"}), stack("panic", {"module": "shop/cart", "function": "Total.func7"}, {"module": "runtime.panic", "function": "gopanic"})],
+    "generics": [stack("E", {"module": "m", "function": "Map[int,string].Get"}), stack("E", {"module": "m", "function": "Map[K].Get"}), stack("E", {"module": "m", "function": "Map[...].Get"})],
+    "library frames alone": [stack("E", {"function": "get", "abs_path": "/usr/lib/python3/json.py"}), stack("E", {"function": "get", "abs_path": "/usr/lib/python3/json.py"}, value="v")],
+    "forced library": [stack("E", {"module": "own", "function": "f", "in_app": False}, {"module": "other", "function": "g"}), stack("E", {"module": "other", "function": "g"})],
+    "exception without frames": [stack("Timeout", value="after 30 s"), stack("Timeout", value="after 7 s")],
+    "exception with an id": [stack("NotFound", value="order 0b5b0c1e-8f43-4a3f-9a6e-0123456789ab"), stack("NotFound", value="order ffffffff-8f43-4a3f-9a6e-0123456789ab")],
+    "template": [{"message": "user 1 left", "message_template": "user %s left"}, {"message": "user bob left", "message_template": "user %s left"}],
+    "message": [{"message": "user 1 left at 0xdead"}, {"message": "  user 22 left at 0xBEEF "}, {"message": "user 3 left at 0x1"}],
+    "custom": [{"message": "a", "sdk_fingerprint": ["mine"]}, {"message": "b", "sdk_fingerprint": ["mine"]}],
+    "custom and default": [{"message": "job 1", "sdk_fingerprint": ["mine", "{{ default }}"]}, {"message": "job 2", "sdk_fingerprint": ["mine", "{{default}}"]}],
+    "nothing": [{}, {"message": ""}],
+}
+
+
+def test_families_group_alike(spark):
+    schema = f"struct<platform: string, sdk_fingerprint: array<string>, message: string, message_template: string, exceptions: {EXCEPTIONS}>"
+    rows = [(name, json.dumps(e)) for name, events in FAMILIES.items() for e in events]
+    found = spark.createDataFrame(rows, "name string, j string").select("name", g.fingerprint(F.from_json("j", schema))["fingerprint"].alias("f")).collect()
+    of = {name: {r["f"] for r in found if r["name"] == name} for name in FAMILIES}
+    assert len(found) >= 28 and {n: len(f) for n, f in of.items() if len(f) > 1} == {}
+    assert len(set().union(*of.values())) == len(FAMILIES)
+
+
 @pytest.mark.parametrize(
     ("pattern", "text", "matches"),
     [
