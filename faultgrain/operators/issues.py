@@ -24,6 +24,10 @@ MAX_SOURCES = 100
 _KEY = ["project_id", "fingerprint"]
 _EFFECTS = "project_id bigint, effect string, fingerprint string, target string, from_seq bigint, to_seq bigint, count bigint, status string"
 _FOREVER = 1 << 62
+_CARRIED = "carried merge"
+ISSUES = (
+    "project_id bigint, fingerprint string, basis string, title string, level string, status string, first_seen bigint, last_seen bigint, times_seen bigint, merged_into string"
+)
 
 
 def rollup(hits: DataFrame) -> DataFrame:
@@ -40,10 +44,13 @@ def _apply_commands(key: tuple, commands: pd.DataFrame, hits: pd.DataFrame) -> p
     project = int(key[0])
     created = hits.groupby("fingerprint")["first_seq"].min().to_dict()
     hits_at: dict[int, list] = {}
-    for r in hits.itertuples(index=False):
+    for r in hits[hits["k"] >= 0].itertuples(index=False):
         hits_at.setdefault(int(r.k), []).append((r.fingerprint, int(r.n)))
-    seen: dict[str, int] = {}
-    into: dict[str, tuple[str, int]] = {}
+    carried = hits[hits["k"] < 0]
+    seen: dict[str, int] = {name: int(n) for name, n in zip(carried["fingerprint"], carried["n"], strict=True)}
+    merged = commands["kind"] == _CARRIED
+    into: dict[str, tuple[str, int]] = {c.fingerprint: (c.target, -1) for c in commands[merged].itertuples(index=False)}
+    commands = commands[~merged]
     out = []
 
     def close(name: str, seq: int) -> None:
@@ -78,24 +85,33 @@ def _apply_commands(key: tuple, commands: pd.DataFrame, hits: pd.DataFrame) -> p
     return pd.DataFrame(out, columns=[c.split()[0] for c in _EFFECTS.split(", ")])
 
 
-def command_effects(hits: DataFrame, commands: DataFrame) -> DataFrame:
+def command_effects(hits: DataFrame, commands: DataFrame, before: DataFrame | None = None) -> DataFrame:
     """What valid commands do: intervals of merged fingerprints, transferred counts, status changes.
 
     Per project the command log alone is walked in order, next to counts of hits
-    per named fingerprint and stretch between commands.
+    per named fingerprint and stretch between commands. ``before`` is the issue
+    table before the first of these hits and commands.
     """
+    if before is not None:
+        held = before.where("merged_into is not null")
+        commands = commands.unionByName(held.select("project_id", F.lit(-1).cast("bigint").alias("arrival_seq"), F.lit(_CARRIED).alias("kind"), "fingerprint", F.col("merged_into").alias("target")), allowMissingColumns=True)
     named = commands.select("project_id", F.explode(F.array_compact(F.concat(F.array("fingerprint", "target"), F.coalesce("sources", F.array().cast("array<string>"))))).alias("fingerprint"))
     own = hits.select("project_id", "arrival_seq", "fingerprint").join(named.distinct(), _KEY, "left_semi")
-    both = own.withColumn("_cmd", F.lit(0)).unionByName(commands.select("project_id", "arrival_seq", F.lit(None).cast("string").alias("fingerprint"), F.lit(1).alias("_cmd")))
+    both = own.withColumn("_cmd", F.lit(0)).unionByName(commands.where(F.col("kind") != _CARRIED).select("project_id", "arrival_seq", F.lit(None).cast("string").alias("fingerprint"), F.lit(1).alias("_cmd")))
     ranked = running(both, ["project_id"], "arrival_seq", {"k": F.col("_cmd")}).where("_cmd = 0")
     counts = ranked.groupBy(*_KEY, "k").agg(F.count("*").alias("n"), F.min("arrival_seq").alias("first_seq"))
-    return commands.groupBy("project_id").cogroup(counts.groupBy("project_id")).applyInPandas(_apply_commands, _EFFECTS)
+    if before is not None:
+        known = before.join(named.distinct(), _KEY, "left_semi").select(*_KEY, F.lit(-1).cast("bigint").alias("k"), F.col("times_seen").alias("n"), F.lit(-1).cast("bigint").alias("first_seq"))
+        counts = counts.select(*_KEY, F.col("k").cast("bigint").alias("k"), "n", "first_seq").unionByName(known)
+    # Both sides stem from the same tables; fresh aliases tell their columns apart.
+    log, counts = (df.select(*(F.col(c).alias(f"{c}_").alias(c) for c in df.columns)) for df in (commands, counts))
+    return log.groupBy("project_id").cogroup(counts.groupBy("project_id")).applyInPandas(_apply_commands, _EFFECTS)
 
 
-def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = None) -> DataFrame:
-    """Per hit: the issue it counts for, is_new, regressed, times_seen and status after it."""
+def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
+    """Per hit: the issue it counts for, is_new, regressed, times_seen and status after it; ``before`` as of ``command_effects``."""
     # A few rows per command, read several times below.
-    effects = kept(command_effects(hits, commands), "effects") if effects is None else effects
+    effects = kept(command_effects(hits, commands, before), "effects") if effects is None else effects
     spans = effects.where("effect = 'interval'").select("project_id", "fingerprint", "target", "from_seq", "to_seq")
     first = hits.groupBy(*_KEY).agg(F.min("arrival_seq").alias("_first"))
     # Spans of a fingerprint don't overlap, so an array of them keeps a hit one row.
@@ -103,11 +119,16 @@ def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = N
     at = F.col("arrival_seq")
     held = F.filter("_spans", lambda s: (s["from_seq"] < at) & (at < s["to_seq"]))
     target = F.coalesce(F.try_element_at(held, F.lit(1))["target"], F.col("fingerprint"))
+    if before is not None:
+        first = first.join(before.select(*_KEY, F.lit(True).alias("_known")), _KEY, "left").select(*_KEY, F.when(F.col("_known"), -1).otherwise(F.col("_first")).alias("_first"))
     placed = hits.join(spans, _KEY, "left").withColumn("target", target).drop("_spans").join(first, _KEY)
     rows = placed.select("*", (F.col("arrival_seq") == F.col("_first")).alias("is_new"), F.lit(1).cast("bigint").alias("weight"), F.lit("hit").alias("row"), F.lit(None).cast("string").alias("set_status")).drop("_first")
     changes = effects.where("effect in ('status', 'transfer')").select(
         "project_id", F.col("from_seq").alias("arrival_seq"), "target", F.col("count").alias("weight"), F.col("effect").alias("row"), F.col("status").alias("set_status")
     )
+    if before is not None:
+        old = before.select("project_id", F.lit(-1).cast("bigint").alias("arrival_seq"), F.col("fingerprint").alias("target"), F.col("times_seen").alias("weight"), F.lit("status").alias("row"), F.col("status").alias("set_status"))
+        changes = changes.unionByName(old.join(rows.select("project_id", "target").distinct(), ["project_id", "target"], "left_semi"))
     both = rows.unionByName(changes, allowMissingColumns=True)
     before = {"_prior": F.when(F.col("row") == "hit", "hit").when(F.col("row") == "status", F.col("set_status")), "_set": F.col("set_status")}
     ran = running(both, ["project_id", "target"], "arrival_seq", {"times_seen": F.col("weight")}, before).where("row = 'hit'")
@@ -135,6 +156,36 @@ def current_issues(hits: DataFrame, commands: DataFrame) -> DataFrame:
     return out.select(*_KEY, "basis", "title", "level", status.alias("status"), "first_seen", "last_seen", seen.alias("times_seen"), "merged_into")
 
 
+def advance(before: DataFrame, hits: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Outcomes of further hits and commands, and the issue table after them; ``before`` is the one until now, empty at first.
+
+    Taking a log in parts gives the outcomes and issues of taking it whole.
+    """
+    effects = kept(command_effects(hits, commands, before), "effects")
+    line = kept(timeline(hits, commands, effects, before), "timeline")
+    first = lambda c: F.min_by(c, "arrival_seq").alias(c)
+    made = hits.groupBy(*_KEY).agg(first("basis"), first("title"), F.min_by("seen_at", "arrival_seq").alias("first_seen"))
+    counted = line.groupBy("project_id", F.col("target").alias("fingerprint")).agg(
+        F.max_by("level", "arrival_seq").alias("_level"), F.max("seen_at").alias("_seen"), F.count("*").alias("_n"), F.max_by("status", "arrival_seq").alias("_status"), F.max("arrival_seq").alias("_hit")
+    )
+    moved = effects.where("effect = 'transfer'").groupBy(*_KEY).agg(F.sum("count").alias("_moved"))
+    set_to = effects.where("effect = 'status'").groupBy(*_KEY).agg(F.max_by("status", "from_seq").alias("_to"), F.max("from_seq").alias("_set"))
+    merged = effects.where((F.col("effect") == "interval") & (F.col("to_seq") == _FOREVER)).select(*_KEY, F.col("target").alias("_into"))
+    old = before.select(*_KEY, *(F.col(c).alias(f"_old_{c}") for c in ("basis", "title", "level", "status", "first_seen", "last_seen", "times_seen")))
+    out = old.join(made, _KEY, "full_outer")
+    for part in (counted, moved, set_to, merged):
+        out = out.join(part, _KEY, "left")
+    kept_first = lambda c: F.coalesce(f"_old_{c}", c).alias(c)
+    by_hit = F.col("_hit").isNotNull() & (F.col("_set").isNull() | (F.col("_hit") > F.col("_set")))
+    status = F.when(by_hit, F.col("_status")).otherwise(F.coalesce("_to", "_old_status", F.lit("unresolved"))).alias("status")
+    seen = (F.coalesce("_old_times_seen", F.lit(0)) + F.coalesce("_n", F.lit(0)) + F.coalesce("_moved", F.lit(0))).alias("times_seen")
+    after = out.select(
+        *_KEY, kept_first("basis"), kept_first("title"), F.coalesce("_level", "_old_level").alias("level"), status, kept_first("first_seen"),
+        F.greatest("_old_last_seen", "_seen").alias("last_seen"), seen, F.col("_into").alias("merged_into"),
+    )
+    return line, after
+
+
 def set_status(project_id: int, fingerprint: str, status: str, seq: int) -> tuple:
     """A command row; only three statuses can be set."""
     if status not in SETTABLE:

@@ -118,7 +118,7 @@ def replay(hits, commands):
     return out, live
 
 
-def test_timeline_equals_replay(spark):
+def random_log():
     rng = random.Random(3)
     names = "abcdef"
     hits = [(s, rng.randint(1, 3), rng.choice(names), "b", f"t{s}", rng.choice(["error", "info"]), rng.randint(1, 999)) for s in range(0, 1200, 2)]
@@ -127,6 +127,11 @@ def test_timeline_equals_replay(spark):
         p, kind = rng.randint(1, 3), rng.choice(["status", "status", "merge", "merge", "split"])
         sources = rng.sample(names, rng.randint(1, 2)) if kind == "merge" else None
         commands.append((s, p, kind, rng.choice(names), rng.choice(names) if kind == "merge" else None, sources, rng.choice([*issues.STATUSES]) if kind == "status" else None))
+    return hits, commands
+
+
+def test_timeline_equals_replay(spark):
+    hits, commands = random_log()
     h, c = spark.createDataFrame(hits, HIT), spark.createDataFrame(commands, COMMAND)
     expected, live = replay(hits, commands)
     found = {(r["project_id"], r["arrival_seq"]): (r["target"], r["is_new"], r["regressed"], r["times_seen"], r["status"]) for r in issues.timeline(h, c).collect()}

@@ -9,6 +9,8 @@ from faultgrain.operators import alerts, issues, query, quota
 from faultgrain.schema import COMMAND, HIT, RECORD
 from faultgrain.sources import store
 from faultgrain.streaming import ingest, state
+from faultgrain.streaming import issues as stream_issues
+from tests.test_operators import random_log, replay
 
 
 def parts(spark, df, tmp_path, n, key):
@@ -101,6 +103,19 @@ def test_streaming_issues(spark, tmp_path):
     assert found.where("regressed").count() == 2
 
 
+def test_streaming_issues_with_merges(spark, tmp_path):
+    """Random hits, merges, splits and status commands in three batches equal a replay of the whole log."""
+    hits, commands = random_log()
+    log = stream_issues.log_rows(spark.createDataFrame(hits, HIT), spark.createDataFrame(commands, COMMAND)).withColumn("batch", F.floor(F.col("arrival_seq") / 400))
+    stream_issues.start_issues(parts(spark, log, tmp_path, 3, "batch").drop("batch"), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
+    stream_issues.issues_batch(log.where("batch = 2").drop("batch"), 2, str(tmp_path / "out"))  # a replay
+    expected, live = replay(hits, commands)
+    line = spark.read.parquet(str(tmp_path / "out/outcomes")).collect()
+    assert len(line) == len(hits) and {(r["project_id"], r["arrival_seq"]): (r["target"], r["is_new"], r["regressed"], r["times_seen"], r["status"]) for r in line} == expected
+    now = {(r["project_id"], r["fingerprint"]): (r["status"], r["times_seen"], r["merged_into"], r["last_seen"], r["level"]) for r in stream_issues.current_issues(spark, str(tmp_path / "out")).collect()}
+    assert now == {k: (i["status"], i["n"], i["into"], i["last"], i["level"]) for k, i in live.items()}
+
+
 def test_streaming_alerts(spark, tmp_path):
     activity = _timeline(spark)[2].withColumnRenamed("target", "issue").withColumn("ts", F.timestamp_seconds(F.col("arrival_seq") * 10)).select("arrival_seq", "project_id", "issue", "ts", "title", "level", "status", "times_seen", "is_new", "regressed")
     rules = spark.createDataFrame([(1, 0, "new", "new_issue", 0, True), (2, 0, "many", "frequency", 20, True), (3, 1, "back", "regression", 0, True)], "id bigint, project_id bigint, name string, condition string, threshold bigint, enabled boolean")
