@@ -30,6 +30,7 @@ from ._store import cut
 
 CAPACITY = 2048
 CACHE_WORDS = 1_000_000
+SLICE_BYTES = 4 << 20  # words that repeat in a slice are looked up once
 _PUNCTUATION = b"!\"#$%&()*+,-./:;=?@[\\]^_`{|}~"  # without < and >, which special tokens use, and the apostrophe
 _CLOSE = b"\0\0\0\0"
 
@@ -118,7 +119,7 @@ def _pieces(path: str, capacity: int):
         task, seen, words = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64), encoder(path)
         for batch in batches:
             ids = batch.column(0)
-            for a, b, data, ends in _text.slices(batch.column(1)):
+            for a, b, data, ends in _text.slices(batch.column(1), SLICE_BYTES):
                 raw, starts = data.tobytes(), np.concatenate([[0], ends[:-1]])
                 encoded = words.encode([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])
                 row, piece, start, length, crc = [], [], [], [], []
