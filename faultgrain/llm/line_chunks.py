@@ -38,6 +38,7 @@ from ._store import cut, fresh
 LONG_WORDS = 50
 MIN_LINES = 2
 ONE_IN = 2
+BROADCAST_PLACES = 1 << 20  # of a few numbers each
 #: (place, first line, end line) of the countable pieces of some lines.
 Pieces = Callable[[list[bytes]], list[tuple[int, int, int]]]
 
@@ -191,25 +192,31 @@ def _remove(pieces: Pieces, text_at: str, places_at: str, counts_at: str):
 
 
 def repeated_chunks(docs: DataFrame, pieces: Pieces = chunk_pieces) -> DataFrame:
-    """(doc_id, places): for each document the pieces that repeat an earlier one."""
+    """(doc_id, places): for each document the pieces that repeat an earlier one.
+
+    Up to ``BROADCAST_PLACES`` places go to the texts by broadcast; for more, texts and places are shuffled.
+    """
     found = cut(docs.select("doc_id", "text").mapInArrow(_count(pieces), "doc_id long, place int, h1 long, h2 long").distinct())
     groups = found.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").drop("n")
     again = found.join(groups, ["h1", "h2"])
     place = F.struct("place", "h1", "h2")
     here = F.struct("doc_id", "place").eqNullSafe(F.col("first"))
     again = cut(again.select("doc_id", place.alias("p"), here.alias("stays")))
+    few = again.count() <= BROADCAST_PLACES
     held = again.groupBy(F.col("doc_id").alias("held_id")).agg(F.collect_list("p").alias("places"))
+    held = F.broadcast(held) if few else held
     texts = docs.select("doc_id", "text").join(held, F.col("doc_id").eqNullSafe(F.col("held_id"))).select("text", "places")
     data = texts.mapInArrow(_bytes(pieces), "h1 long, h2 long, data binary")
     unlike = data.groupBy("h1", "h2", "data").agg(F.lit(1).alias("one")).groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1")
     gone = again.where("not stays").select("doc_id", "p", "p.h1", "p.h2").join(unlike.select("h1", "h2"), ["h1", "h2"], "left_anti")
-    return gone.groupBy("doc_id").agg(F.collect_list("p").alias("places"))
+    gone = gone.groupBy("doc_id").agg(F.collect_list("p").alias("places"))
+    return F.broadcast(gone) if few else gone
 
 
 def remove_repeats(docs: DataFrame, pieces: Pieces = chunk_pieces) -> DataFrame:
     """``docs`` with repeats taken out of ``text``, and a struct column ``line_counts`` (or that name after underscores)."""
     key, places, counts = (fresh(docs, c) for c in ("gone_id", "places", "line_counts"))
-    gone = repeated_chunks(docs, pieces).withColumnsRenamed({"doc_id": key, "places": places})
+    gone = repeated_chunks(docs, pieces).withColumnsRenamed({"doc_id": key, "places": places})  # keeps the broadcast hint
     wide = docs.join(gone, docs["doc_id"].eqNullSafe(gone[key]), "left").drop(key)
     wide = wide.withColumn(counts, F.lit(None).cast("struct<n_lines: long, n_removed_lines: long, n_removed_chunks: long>"))
     return wide.mapInArrow(_remove(pieces, "text", places, counts), wide.schema).drop(places)
