@@ -116,18 +116,23 @@ def default_fingerprint(event: Column) -> Column:
 
 def fingerprint(event: Column, rules: Column | None = None) -> Column:
     """(fingerprint, basis): a rule's, else the client's own with the default spliced in, else the default."""
-    own = F.coalesce(event["sdk_fingerprint"], F.array().cast("array<string>"))
-    custom = (F.size(own) > 0) & ~F.forall(own, _is_default)
-
-    def spliced(default: Column) -> Column:
-        parts = F.transform(own, lambda p: F.when(_is_default(p), default["fingerprint"]).otherwise(p))
-        return F.when(custom, _result(hash_parts("custom", parts), "custom")).otherwise(default)
-
-    chain = let(default_fingerprint(event), spliced)
-    if rules is None:
-        return chain
-    ruled = first_matching_rule(event, rules)
-    return let(ruled, lambda parts: F.when(parts.isNotNull(), _result(hash_parts("rule", parts), "rule")).otherwise(chain))
+
+    def of(event: Column) -> Column:
+        own = F.coalesce(event["sdk_fingerprint"], F.array().cast("array<string>"))
+        custom = (F.size(own) > 0) & ~F.forall(own, _is_default)
+
+        def spliced(default: Column) -> Column:
+            parts = F.transform(own, lambda p: F.when(_is_default(p), default["fingerprint"]).otherwise(p))
+            return F.when(custom, _result(hash_parts("custom", parts), "custom")).otherwise(default)
+
+        chain = let(default_fingerprint(event), spliced)
+        if rules is None:
+            return chain
+        ruled = first_matching_rule(event, rules)
+        return let(ruled, lambda parts: F.when(parts.isNotNull(), _result(hash_parts("rule", parts), "rule")).otherwise(chain))
+
+    # Else each use of a field would compute what the field comes from again.
+    return let(event, of)
 
 
 def glob_regex(pattern: str) -> str:
