@@ -528,6 +528,16 @@ def test_planted_passages(spark):
     assert {r["doc_id"]: r["text"] for r in found} == want
 
 
+def test_columns_with_names_of_results(spark):
+    """Columns that a table brings besides do not meet those that an operator makes; ties and repeated rows are kept."""
+    rows = [(1, "mail a@b.cc token=abcdef12", "aa"), (1, "mail a@b.cc token=abcdef12", "aa"), (2, None, None), (4, "kati muro", "bb")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    wide = frame.withColumns({c: F.lit(k) for k, c in enumerate(("lang_pred", "score", "least", "next", "base", "spans", "h", "sanitised", "redacted", "held_out", "chunk", "row", "n_tokens", "kind", "key", "rank"))})
+    for operator in (langid.identify, sanitise.sanitise, secrets_scan.find_secrets, ctw.score_documents):
+        found, expected = (sorted(map(str, operator(x).collect())) for x in (wide, frame))
+        assert found == expected and len(found) == 4
+
+
 def test_packing(spark, docs, corpus):
     from tokenizers import Tokenizer
 
