@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import spread
-from . import chat, ctw, decontam, host_rules, langid, line_chunks, neardup, packing, sanitise, secrets_scan
+from . import chat, ctw, decontam, filter_audit, fim, host_rules, langid, line_chunks, neardup, packing, sanitise, secrets_scan
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(fim.fill_in_middle(documents(spark, sf_dir)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,6 +93,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_efficiency,
         op9_line_chunks,
         op10_best_fit_packing,
+        op12_fill_in_middle,
+        op13_filter_audit,
     )
 }
 
@@ -155,5 +165,37 @@ n AS (SELECT item_id, count(*) AS n_item FROM bs GROUP BY item_id)
 SELECT doc_id, item_id, n_item, count(*) AS n_shared
 FROM ds JOIN bs USING (k, s) JOIN n USING (item_id)
 GROUP BY doc_id, item_id, n_item HAVING 100 * count(*) >= 80 * n_item
+""",
+    "op12_fill_in_middle": """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents),
+h AS (SELECT doc_id, t, length(t)::BIGINT AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3, ('0x' || h[25:32])::UBIGINT AS h4 FROM t),
+c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1))::BIGINT AS a, greatest(h1 % (n + 1), h2 % (n + 1))::BIGINT AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+""",
+    "op13_filter_audit": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+f AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t),
+    regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT part, fails, list_sum(list_transform(fails, lambda x: x::INT)) AS k, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+o AS (
+  SELECT '' AS o UNION ALL SELECT o.o || x FROM o, (VALUES ('A'), ('B'), ('C'), ('D'), ('E')) v(x) WHERE NOT contains(o.o, x)),
+s AS (SELECT o AS filter_order, step::INT AS step, ascii(o[step]) - 64 AS own, list_transform(range(1, step), lambda i: ascii(o[i]) - 64) AS before FROM o, range(1, 6) r(step) WHERE length(o) = 5),
+x AS (SELECT *, fails[own] AS here, list_bool_or(list_transform(before, lambda i: fails[i])) IS TRUE AS earlier FROM m, s)
+SELECT part, filter_order, step,
+  sum(CASE WHEN NOT here AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept, sum(CASE WHEN here AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN here AND earlier THEN n ELSE 0 END)::BIGINT AS redundant, sum(CASE WHEN here AND k = 1 THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN here AND NOT earlier AND good THEN n ELSE 0 END)::BIGINT AS good_lost, sum(CASE WHEN here AND NOT earlier AND toxic THEN n ELSE 0 END)::BIGINT AS toxic_lost,
+  sum(CASE WHEN here THEN n * 120 // k ELSE 0 END)::BIGINT AS shapley
+FROM x GROUP BY ALL
 """,
 }
