@@ -128,7 +128,7 @@ def words(data: np.ndarray, ends: np.ndarray, lower: bool = True) -> Words:
     hashes = sums[last]
     hashes[1:] -= np.where(first[1:] > 0, sums[first[1:] - 1], np.uint64(0))
     if first[0] > 0:
-        hashes[0] -= sums[first[0] - 1]
+        hashes[:1] -= sums[first[0] - 1 : first[0]]
     low, high = _inverse_steps()
     hashes = hashes * low[first & 4095] * high[first >> 12]
     return Words(mix(hashes + (last - first).astype(np.uint64)), np.searchsorted(first, ends))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.tables import spread
-from . import chat, ctw, decontam, filter_audit, fim, host_rules, langid, line_chunks, neardup, packing, sanitise, secrets_scan
+from . import chat, ctw, decontam, filter_audit, fim, host_rules, langid, line_chunks, neardup, packing, sanitise, secrets_scan, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir))
 
 
+def op11_counterfactual_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.digests(fim.fill_in_middle(documents(spark, sf_dir)))
 
@@ -93,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_efficiency,
         op9_line_chunks,
         op10_best_fit_packing,
+        op11_counterfactual_toxicity,
         op12_fill_in_middle,
         op13_filter_audit,
     )
