@@ -84,7 +84,7 @@ UNION ALL SELECT 'total', '', count(*) FROM e
 UNION ALL SELECT 'users', '', count(DISTINCT user_id) FILTER (user_id <> '') FROM e""")
 def window_stats(spark, sf_dir):
     """Total, buckets, top values and exact users of a project, a row for each number."""
-    stats = query.window_stats(event_table(spark, sf_dir), 1, exact=True)
+    stats = query.stored_window_stats(spark, tables.event_table_path(spark, sf_dir), 1, exact=True)
     one = lambda tag, key, count: F.struct(F.lit(tag).alias("tag"), key.alias("key"), count.alias("count"))
     empty = F.lit("")
     parts = [F.array(one("total", empty, F.col("total")), one("users", empty, F.col("unique_users"))), F.transform("buckets", lambda b: one("bucket", b["start"].cast("string"), b["count"]))]
@@ -348,10 +348,10 @@ def store_scan(spark, sf_dir):
 @_register(f"""WITH {ERROR_EVENTS} SELECT project_id, strftime(make_timestamp(ts_ns // 1000), '%Y%m%d%H')::INT AS hour, count(*) AS rows, min(ts_ns) AS min_ts, max(ts_ns) AS max_ts
 FROM error_events GROUP BY ALL""")
 def store_manifest(spark, sf_dir):
-    """Manifest of the table after compaction."""
+    """Manifest as its commits wrote it, after compaction folded two of them."""
     path = _written(spark, sf_dir)
     store.compact(spark, path)
-    return store.manifest(store.read_events(spark, path)).drop("users")
+    return store.stored_manifest(spark, path).drop("users")
 
 
 @_register(f"""WITH {ERROR_EVENTS}, s AS (SELECT strftime(make_timestamp(ts_ns // 1000), '%Y%m%d%H')::INT AS segment, sum(strlen(message)) AS bytes, max(ts_ns) AS newest_ns, max(arrival_seq) AS end_offset FROM error_events GROUP BY ALL),
@@ -375,10 +375,10 @@ def union_tiers(spark, sf_dir):
 
 @_register()
 def users_of_covered_hours(spark, sf_dir):
-    """Users from sketches of whole hours and rows of the edges."""
-    e = error_events(spark, sf_dir)
-    low, high = e.agg(F.min("ts_ns"), F.max("ts_ns")).collect()[0]
-    return query.unique_users_of_hours(e, store.manifest(e), 2, low + HOUR // 2, high - HOUR // 2)
+    """Users from stored sketches of whole hours and rows of the edges."""
+    path = tables.event_table_path(spark, sf_dir)
+    low, high = store.stored_manifest(spark, path).agg(F.min("min_ts"), F.max("max_ts")).collect()[0]
+    return query.unique_users_of_hours(spark, path, 2, low + HOUR // 2, high - HOUR // 2)
 
 
 # ---- issues ---------------------------------------------------------------

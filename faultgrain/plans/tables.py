@@ -119,10 +119,15 @@ def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], No
     return _written[key]
 
 
+def event_table_path(spark: SparkSession, sf_dir: str) -> str:
+    """Where the stored event table lies."""
+    rows = error_events(spark, sf_dir).withColumn("payload", F.lit(None).cast("binary"))
+    return _once(spark, sf_dir, "event_table", lambda path: store.write_events(rows, path))
+
+
 def event_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stored event table: error events in pruned directories, as queries read them."""
-    rows = error_events(spark, sf_dir).withColumn("payload", F.lit(None).cast("binary"))
-    return store.read_events(spark, _once(spark, sf_dir, "event_table", lambda path: store.write_events(rows, path)))
+    return store.read_events(spark, event_table_path(spark, sf_dir))
 
 
 def hits(spark: SparkSession, sf_dir: str) -> DataFrame:

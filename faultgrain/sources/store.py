@@ -1,75 +1,143 @@
-"""The event table: write, read, compact, manifest, retention.
-
-Layout: a directory per (event_date, project_bucket), or with ``by_hour`` per
-(project_id, hour), which makes small files where there are many projects.
-Files are sorted by project and time, so that row groups skip, and have Bloom
-filters whose size follows the number of values.
+"""The event table: write, read, compact, manifest, rollups, retention.
+
+The files of an append lie in a commit folder of their own and count once the
+log of versions names them (``versions``). Inside, a directory per event_date
+and project_bucket, or with ``by_hour`` per project_id and hour. A bucket's name
+says of how many it is (``3-64``), so that a small day has one directory and a
+large one up to 64, and a project's rows are in one of seven directories of its
+day. Files are sorted by project and time; compacted files of large days have
+Bloom filters.
+
+Next to the rows, under ``_rollup`` and ``_users``, every commit holds partial
+aggregates of them: per project and hour the rows, their time range and a sketch
+of their users, and counts by value of each tag; per project and day the users
+themselves. They merge by sums and unions, which is what compaction does.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import HOUR_NS, hour_key
+from ..functions.text import HOUR_NS, bucket_start, hour_key
 from ..schema import EVENT, SCHEMA_VERSION
+from . import versions
 
-BUCKETS = 64
-PIECES = 4
+MOST_BUCKETS = 64
+BUCKET_ROWS = 4_000_000
+BLOOM_ROWS = 1_000_000
 BLOOM_BYTES = 128 << 10
 COLUMNS = [c.split()[0] for c in EVENT.split(", ")]
 BLOOM_COLUMNS = ("fingerprint", "release", "user_id")
+TAGS = ("level", "release", "environment", "fingerprint")
+BY_DATE, BY_HOUR = ("event_date", "project_bucket"), ("project_id", "hour")
+ROLLUP = "project_id bigint, start bigint, tag string, key string, count bigint, low bigint, high bigint, users binary"
+USERS = "project_id bigint, day date, user_id string, count bigint"
+ROLLUP_FOLDER, USERS_FOLDER = "_rollup", "_users"
 
 
 #: How the error about a row of a schema version that this code does not know begins.
 UNKNOWN_VERSION = "unknown schema version"
 
 
-def project_bucket(project_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(project_id), F.lit(buckets)).cast("int")
+def project_bucket(project_id: Column, buckets: Column | int) -> Column:
+    """The name of a project's bucket among ``buckets``."""
+    n = buckets if isinstance(buckets, Column) else F.lit(buckets)
+    return F.concat_ws("-", F.pmod(F.xxhash64(project_id), n).cast("string"), n.cast("string"))
 
 
 def event_date(ts_ns: Column) -> Column:
     return F.to_date(F.timestamp_seconds(F.floor(ts_ns / HOUR_NS) * 3600))
 
 
-def _laid_out(events: DataFrame, by_hour: bool, buckets: int) -> tuple[DataFrame, list[str]]:
-    if by_hour:
-        keys = ["project_id", "hour"]
-        out = events.withColumn("hour", hour_key(F.col("ts_ns")))
-        piece = F.pmod(F.xxhash64("event_id", "ts_ns"), F.lit(PIECES))
-    else:
-        keys = ["event_date", "project_bucket"]
-        out = events.withColumn(keys[0], event_date(F.col("ts_ns"))).withColumn(keys[1], project_bucket(F.col("project_id"), buckets))
-        piece = F.pmod(hour_key(F.col("ts_ns")), F.lit(PIECES))
-    # A few pieces of each directory, so that a large project does not fill one task.
-    return out.repartition(*keys, piece).sortWithinPartitions(*keys, "project_id", "ts_ns"), keys
+def _save(rows: DataFrame, to: str, keys: tuple[str, ...], order: tuple[str, ...], bloom: bool = False) -> None:
+    # Partitions by size: many small directories to a task, a large directory to many.
+    out = rows.hint("rebalance", *(F.col(k) for k in keys)).sortWithinPartitions(*keys, *order)
+    writer = out.write.mode("overwrite").partitionBy(*keys).option("compression", "zstd")
+    if bloom:
+        writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
+        for column in BLOOM_COLUMNS:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+    writer.parquet(to)
 
 
-def _save(out: DataFrame, path: str, keys: list[str], mode: str) -> None:
-    writer = out.write.mode(mode).partitionBy(*keys).option("compression", "zstd").option("partitionOverwriteMode", "dynamic")
-    writer = writer.option("parquet.bloom.filter.adaptive.enabled", "true").option("parquet.bloom.filter.max.bytes", str(BLOOM_BYTES))
-    for column in BLOOM_COLUMNS:
-        writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
-    writer.parquet(path)
+def _schema(directory: str) -> tuple[tuple[str, ...], str]:
+    """Partition columns and schema of the rows of a table with such directories."""
+    return (BY_HOUR, f"{EVENT}, hour int") if directory.startswith("project_id=") else (BY_DATE, f"{EVENT}, event_date date, project_bucket string")
 
 
-def write_events(events: DataFrame, path: str, *, by_hour: bool = False, buckets: int = BUCKETS, mode: str = "append") -> None:
-    """Write sorted, zstd-compressed files with Bloom filters; ``mode`` as of DataFrameWriter."""
-    out, keys = _laid_out(events.select(*COLUMNS), by_hour, buckets)
-    _save(out, path, keys, mode)
+def _beside(schema: str, keys: tuple[str, ...]) -> str:
+    return schema if keys == BY_HOUR else f"{schema}, event_date date"
+
+
+def partial_counts(events: DataFrame) -> DataFrame:
+    """ROLLUP rows of events: tag 'total' with time range and sketch, and a count per value of each tag."""
+    start = bucket_start(F.col("ts_ns"), HOUR_NS).alias("start")
+    values = events.groupBy("project_id", start, *TAGS).agg(F.count("*").alias("count"))
+    each = F.explode(F.array(*(F.struct(F.lit(t).alias("tag"), F.col(t).alias("key")) for t in TAGS)))
+    none = F.lit(None)
+    tags = values.select("project_id", "start", "count", each.alias("x")).where("x.key <> ''").groupBy("project_id", "start", "x.tag", "x.key").agg(F.sum("count").alias("count"))
+    user = F.when(F.col("user_id") != "", F.col("user_id"))
+    total = events.groupBy("project_id", start).agg(F.count("*").alias("count"), F.min("ts_ns").alias("low"), F.max("ts_ns").alias("high"), F.hll_sketch_agg(user, 12).alias("users"))
+    total = total.select("project_id", "start", F.lit("total").alias("tag"), F.lit("").alias("key"), "count", "low", "high", "users")
+    return total.unionByName(tags.select("*", none.cast("bigint").alias("low"), none.cast("bigint").alias("high"), none.cast("binary").alias("users")))
+
+
+def day_users(events: DataFrame) -> DataFrame:
+    """USERS rows of events; rows without a user count under ''."""
+    return events.groupBy("project_id", event_date(F.col("ts_ns")).alias("day"), "user_id").agg(F.count("*").alias("count"))
+
+
+def merged(partial: DataFrame) -> DataFrame:
+    """ROLLUP rows with one row for each (project_id, start, tag, key)."""
+    is_total = F.col("tag") == "total"
+    rows = partial.groupBy("project_id", "start", "tag", "key").agg(F.sum("count").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.hll_union_agg("users").alias("users"))
+    return rows.withColumn("users", F.when(is_total, F.col("users")))
+
+
+def _commit_files(spark: SparkSession, path: str, own: str, rows: DataFrame, keys: tuple[str, ...], bloom: bool, folded: tuple[DataFrame, DataFrame] | None = None) -> dict[str, int]:
+    """Write rows and partial aggregates of a commit; the rows of each directory. ``folded`` holds aggregates that are known."""
+    _save(rows, f"{path}/commit={own}", keys, ("project_id", "ts_ns"), bloom)
+    kind = _schema(f"{keys[0]}=")[1]
+    if not folded:
+        back = spark.read.schema(kind).parquet(f"{path}/commit={own}").select("project_id", "ts_ns", *TAGS, "user_id")
+        folded = partial_counts(back), day_users(back)
+    first = keys[0]
+    dated = lambda df, day: df.withColumn(first, day) if keys == BY_DATE else df
+    _save(dated(folded[0], event_date(F.col("start"))), f"{path}/{ROLLUP_FOLDER}/commit={own}", (first,), ("tag", "project_id", "start") if keys == BY_DATE else ("tag", "start"))
+    _save(dated(folded[1], F.col("day")), f"{path}/{USERS_FOLDER}/commit={own}", (first,), ("project_id", "user_id") if keys == BY_DATE else ("user_id",))
+    totals = spark.read.schema(_beside(ROLLUP, keys)).parquet(f"{path}/{ROLLUP_FOLDER}/commit={own}").where("tag = 'total'").groupBy(first).agg(F.sum("count").alias("n"))
+    return {f"{first}={r[first]}": r["n"] for r in totals.collect()}  # a row for each directory
+
+
+def write_events(events: DataFrame, path: str, *, by_hour: bool = False, buckets: int = 1, writer: str = "", batch: int = 0) -> versions.Version:
+    """Append events; ``buckets`` (a power of two up to 64) splits the projects of a day. With a ``writer`` a batch number counts once."""
+    if buckets not in (1 << k for k in range(7)):
+        raise ValueError(f"buckets must be a power of two up to {MOST_BUCKETS}")
+    spark, rows = events.sparkSession, events.select(*COLUMNS)
+    if by_hour:
+        keys, rows = BY_HOUR, rows.withColumn("hour", hour_key(F.col("ts_ns")))
+    else:
+        keys, rows = BY_DATE, rows.withColumns({"event_date": event_date(F.col("ts_ns")), "project_bucket": project_bucket(F.col("project_id"), buckets)})
+    return versions.append(spark, path, lambda own: _commit_files(spark, path, own, rows, keys, bloom=False), writer=writer, batch=batch)
 
 
-def read_events(spark: SparkSession, path: str, *, check: bool = True) -> DataFrame:
-    """The event table; new files are seen by reading again.
+def read_events(spark: SparkSession, path: str, *, check: bool = True, version: versions.Version | None = None, since: int = 0, until: int = 0) -> DataFrame:
+    """The event table as of its last version, or of ``version``; later commits are seen by reading again.
 
+    An inclusive time range leaves the directories of other days unlisted.
     Rows of an unknown schema version fail the query that meets them, so that
     opening the table reads nothing and a scan checks only what it reads.
     """
-    table = spark.read.parquet(path)
+    version = version or versions.latest(spark, path)
+    pairs = version.pairs(_days(since, until))
+    keys, schema = _schema(next((d for _, d in version.pairs()), ""))
+    table = versions.read(spark, path, schema, pairs=pairs).select(*COLUMNS, *(k for k in keys if k not in COLUMNS))
     if not check:
         return table
     known = F.col("schema_version").eqNullSafe(SCHEMA_VERSION)
@@ -77,14 +145,27 @@ def read_events(spark: SparkSession, path: str, *, check: bool = True) -> DataFr
     return table.where(F.when(known, True).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def partition_predicate(table: DataFrame, project_id: int, since: int | None = None, until: int | None = None, buckets: int = BUCKETS) -> Column:
+def _day(ts_ns: int) -> str:
+    from datetime import UTC, datetime
+
+    return datetime.fromtimestamp(ts_ns // 1_000_000_000, UTC).strftime("%Y-%m-%d")
+
+
+def _days(since: int, until: int) -> Callable[[str], bool]:
+    """Whether a directory may hold rows of a time range (0: no bound)."""
+    low, high = (_day(since) if since else ""), (_day(until) if until else "9999-99-99")
+    return lambda name: not name.startswith("event_date=") or low <= name.removeprefix("event_date=") <= high
+
+
+def partition_predicate(table: DataFrame, project_id: int, since: int | None = None, until: int | None = None) -> Column:
     """What the table's directory columns say of a project and an inclusive time range."""
     found = F.col("project_id") == project_id
     low, high = (None if x is None else F.lit(x) for x in (since, until))
     if "hour" in table.columns:
         column, key = F.col("hour"), hour_key
     elif "event_date" in table.columns:
-        found = found & (F.col("project_bucket") == project_bucket(F.lit(project_id).cast("bigint"), buckets))
+        own = F.lit(project_id).cast("bigint")
+        found = found & F.col("project_bucket").isin(*(project_bucket(own, 1 << k) for k in range(7)))
         column, key = F.col("event_date"), event_date
     else:
         return found
@@ -98,71 +179,73 @@ def partition_predicate(table: DataFrame, project_id: int, since: int | None = N
 def union_tiers(hot: DataFrame, warm: DataFrame) -> DataFrame:
     """Rows that are not written yet together with stored ones; the first of a repeated event id stays."""
     both = warm.select(*COLUMNS, F.lit(0).alias("_tier")).unionByName(hot.select(*COLUMNS, F.lit(1).alias("_tier")))
-    key = F.when(F.col("event_id") == "", F.uuid()).otherwise(F.col("event_id"))
-    order = Window.partitionBy("project_id", "_key").orderBy("_tier", "ts_ns")
-    return both.withColumn("_key", key).withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_key", "_n", "_tier")
+    named = both.where("event_id <> ''")
+    order = Window.partitionBy("project_id", "event_id").orderBy("_tier", "ts_ns")
+    first = named.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
+    return first.unionByName(both.where("event_id = ''")).drop("_tier")
 
 
-def compact(spark: SparkSession, path: str, where: Column | None = None, buckets: int = BUCKETS) -> None:
-    """Rewrite the directories that ``where`` picks (of directory columns; all if None) as few sorted files each.
+def compact(spark: SparkSession, path: str, pick: Callable[[str], bool] | None = None) -> versions.Version:
+    """Rewrite directories that several commits share as few sorted files, and fold their aggregates.
 
-    The rows are written beside the table, their files are moved in, and then
-    the files that were read are removed, no others. So rows that are appended
-    meanwhile stay. Until the last file is removed a reader may see rows twice;
-    compact in a quiet time, or read through ``union_tiers``, which drops copies.
+    ``pick`` chooses among them by name (``event_date=2026-07-28``). One commit of
+    the log puts the new folder in the place of those that were read, so readers
+    see the table before or after, appends meanwhile stay, and a job that dies
+    or comes second changes nothing. A day gets a bucket for every BUCKET_ROWS rows.
     """
-    table = spark.read.parquet(path)
-    table = table if where is None else table.where(where)
-    old = table.select(F.input_file_name().alias("file")).distinct()
-    old = [r["file"] for r in old.collect()]  # names of the files to replace
-    beside = f"{path.rstrip('/')}__compacting-{uuid.uuid4().hex}"
-    try:
-        write_events(table, beside, by_hour="hour" in table.columns, buckets=buckets)
-        _move_in(spark, beside, path)
-        files, at = file_system(spark, path)
-        for name in old:
-            files.delete(at(spark.sparkContext._jvm.java.net.URI(name)), False)
-    finally:
-        file_system(spark, beside)[0].delete(file_system(spark, beside)[1](beside), True)
-
-
-def file_system(spark: SparkSession, path: str):
-    """The file system of ``path`` and its class of paths."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    return at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def _move_in(spark: SparkSession, beside: str, path: str, prefix: str = "") -> None:
-    """Move the Parquet files of a folder to the same places of a table."""
-    files, at = file_system(spark, path)
-    root = files.getFileStatus(at(beside)).getPath().toString()
-    new = files.listFiles(at(beside), True)
-    while new.hasNext():
-        file = new.next().getPath()
-        if file.getName().endswith(".parquet"):
-            inside = file.getParent().toString()[len(root) :].strip("/")
-            to = at(f"{path.rstrip('/')}/{inside}/{prefix}{file.getName()}")
-            files.mkdirs(to.getParent())
-            if not files.rename(file, to):
-                raise OSError(f"could not move {file} to {to}")
-
-
-def append_once(spark: SparkSession, path: str, tag: str, write: Callable[[str], None], depth: int = 2) -> None:
-    """Append to a table of ``depth`` directory levels what ``write`` puts in a folder; the same tag again replaces what it appended before."""
-    files, at = file_system(spark, path)
-    began = at(f"{path.rstrip('/')}/_appended/{tag}")
-    if files.exists(began):  # a replay
-        for found in files.globStatus(at(f"{path.rstrip('/')}{'/*' * depth}/{tag}-*")) or []:
-            files.delete(found.getPath(), False)
-    else:
-        files.mkdirs(began.getParent())
-        files.create(began).close()
-    beside = f"{path.rstrip('/')}__{tag}-{uuid.uuid4().hex}"
-    try:
-        write(beside)
-        _move_in(spark, beside, path, f"{tag}-")
-    finally:
-        files.delete(at(beside), True)
+    now = versions.latest(spark, path)
+    held: dict[str, list[str]] = {}
+    for c, d in now.pairs(pick):
+        held.setdefault(d, []).append(c)
+    old = [(c, d) for d, commits in held.items() if len(commits) > 1 for c in commits]
+    if not old:
+        return now
+    keys, schema = _schema(old[0][1])
+    rows = versions.read(spark, path, schema, pairs=old).select(*COLUMNS, *(k for k in keys if k not in COLUMNS))
+    sizes: dict[str, int] = {}
+    for c, d in old:
+        sizes[d] = sizes.get(d, 0) + max(now.live[c][d], 0)
+    if keys == BY_DATE:
+        split = {d.removeprefix("event_date="): min(MOST_BUCKETS, 1 << max(0, (n - 1) // BUCKET_ROWS).bit_length()) for d, n in sizes.items()}
+        buckets = F.lit(1)
+        for n in set(split.values()) - {1}:
+            buckets = F.when(F.col("event_date").cast("string").isin(*(d for d, k in split.items() if k == n)), n).otherwise(buckets)
+        rows = rows.withColumn("project_bucket", project_bucket(F.col("project_id"), buckets))
+    folded = merged(versions.read(spark, path, _beside(ROLLUP, keys), pairs=old, inside=ROLLUP_FOLDER))
+    users = versions.read(spark, path, _beside(USERS, keys), pairs=old, inside=USERS_FOLDER).groupBy("project_id", "day", "user_id").agg(F.sum("count").alias("count"))
+    return versions.replace(spark, path, old, lambda own: _commit_files(spark, path, own, rows, keys, max(sizes.values()) > BLOOM_ROWS, (folded, users)))
+
+
+def rollup(spark: SparkSession, path: str, *, version: versions.Version | None = None, since: int = 0, until: int = 0) -> DataFrame:
+    """Partial aggregates of the table's rows, ROLLUP rows, of days that a time range touches; several of a key where commits share a day."""
+    version = version or versions.latest(spark, path)
+    pairs = version.pairs(_days(since, until))
+    keys, _ = _schema(next((d for _, d in version.pairs()), ""))
+    return versions.read(spark, path, _beside(ROLLUP, keys), pairs=pairs, inside=ROLLUP_FOLDER)
+
+
+def users_by_day(spark: SparkSession, path: str, *, version: versions.Version | None = None, since: int = 0, until: int = 0) -> DataFrame:
+    """USERS rows of days that a time range touches."""
+    version = version or versions.latest(spark, path)
+    pairs = version.pairs(_days(since, until))
+    keys, _ = _schema(next((d for _, d in version.pairs()), ""))
+    return versions.read(spark, path, _beside(USERS, keys), pairs=pairs, inside=USERS_FOLDER).where("user_id <> ''")
+
+
+def stored_manifest(spark: SparkSession, path: str, version: versions.Version | None = None) -> DataFrame:
+    """``manifest`` of the stored table from what its commits wrote; no event is read."""
+    rows = merged(rollup(spark, path, version=version).where("tag = 'total'"))
+    return rows.select("project_id", hour_key(F.col("start")).alias("hour"), F.col("count").alias("rows"), F.col("low").alias("min_ts"), F.col("high").alias("max_ts"), "users")
+
+
+def drop_before(spark: SparkSession, path: str, day: str) -> list[str]:
+    """Take whole days before ``day`` (``2026-07-28``) out of a table by date; the directories that went. ``vacuum`` frees their space."""
+    return versions.drop(spark, path, lambda name: name.startswith("event_date=") and name.removeprefix("event_date=") < day)
+
+
+def vacuum(spark: SparkSession, path: str, keep_seconds: float = 86400) -> int:
+    """Delete what only versions older than ``keep_seconds`` name."""
+    return versions.vacuum(spark, path, keep_seconds, (ROLLUP_FOLDER, USERS_FOLDER))
 
 
 def manifest(events: DataFrame) -> DataFrame:
@@ -203,7 +286,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-scratch-")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if (made := _made.get()) is not None:
+        made.append(path)
+    return path
+
+
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Scratch folders that are made inside are deleted at the end; for micro-batches, whose results are written by then."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        made = _made.get() or []
+        _made.reset(token)
+        for path in made:
+            versions.delete(spark, path)
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:

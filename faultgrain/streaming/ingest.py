@@ -1,8 +1,9 @@
 """The ingest job on a stream: each micro-batch is classified, written and accounted for.
 
 A batch appends to the event table, to the hits of issues, to rejects and to the
-ids seen, and replaces what it appended when it is run again, so a replay after
-a failure leaves no second copy. Sources are
+ids seen. Each table has a log of versions that knows the last batch of the
+stream, so a batch that is run again after a failure adds only what is missing,
+also after compaction. Ids come last: where they are in, all is. Sources are
 bounded per batch by ``maxFilesPerTrigger`` or ``maxBytesPerTrigger`` of the reader.
 """
 
@@ -13,11 +14,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.ops import require_accounted
-from ..schema import RECORD
+from ..schema import HIT, RECORD
 from ..sources.ingest import authenticate, decode_records, event_items, extract_events, issue_hits, mark_duplicates
-from ..sources.store import append_once, file_system, write_events
+from ..sources import store, versions
 
-ID_WINDOW = "1 day"
+ID_DAYS = 1
+#: Tables by received_date next to the event table.
+SCHEMAS = {
+    "hits": f"{HIT}, received_date date",
+    "rejects": "arrival_seq bigint, received_at timestamp, project_id bigint, item_no int, reason string, batch_id bigint, received_date date",
+    "ids": "project_id bigint, event_id string, batch_id bigint, received_date date",
+}
 
 
 def landing_stream(spark: SparkSession, path: str, *, files_per_batch: int = 0, bytes_per_batch: str = "") -> DataFrame:
@@ -30,18 +37,37 @@ def landing_stream(spark: SparkSession, path: str, *, files_per_batch: int = 0,
     return reader.parquet(path)
 
 
-def _seen_before(spark: SparkSession, path: str, batch_id: int, since, until) -> DataFrame | None:
-    """Ids that other batches stored in the window before this batch's records."""
-    files, at = file_system(spark, path)
-    if not files.globStatus(at(f"{path}/received_date=*")):
-        return None
-    days = F.col("received_date").between(F.to_date(F.lit(since) - F.expr(f"interval {ID_WINDOW}")), F.to_date(F.lit(until)))
-    return spark.read.parquet(path).where(days & (F.col("batch_id") != batch_id)).select("project_id", "event_id").distinct()
+def stored(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The events, hits, rejects or ids that an ingest under ``path`` has stored."""
+    return store.read_events(spark, f"{path}/events") if name == "events" else versions.read(spark, f"{path}/{name}", SCHEMAS[name])
 
 
-def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str) -> None:
-    """Classify one batch and append to ``events``, ``hits``, ``rejects`` and ``ids`` under ``path``; fail if an item is unaccounted for."""
+def compact(spark: SparkSession, path: str) -> None:
+    """Fold the batches of each day in all four tables; the stream may run meanwhile."""
+    store.compact(spark, f"{path}/events")
+    for name, schema in SCHEMAS.items():
+        versions.fold(spark, f"{path}/{name}", schema, "received_date")
+
+
+def vacuum(spark: SparkSession, path: str, keep_seconds: float = 86400) -> int:
+    """Free what compaction and failed batches left."""
+    return store.vacuum(spark, f"{path}/events", keep_seconds) + sum(versions.vacuum(spark, f"{path}/{name}", keep_seconds) for name in SCHEMAS)
+
+
+def _seen_before(spark: SparkSession, path: str, batch_id: int, low: str, high: str) -> DataFrame:
+    """Ids that other batches stored on the days from ``low`` to ``high``."""
+    near = lambda name: low <= name.removeprefix("received_date=") <= high
+    return versions.read(spark, path, SCHEMAS["ids"], keep=near).where(F.col("batch_id") != batch_id).select("project_id", "event_id").distinct()
+
+
+def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str, writer: str = "ingest") -> None:
+    """Classify one batch and append to ``events``, ``hits``, ``rejects`` and ``ids`` under ``path``; fail if an item is unaccounted for.
+
+    ``writer`` names the stream; its batches come in order of their ids.
+    """
     spark = records.sparkSession
+    if versions.is_done(spark, f"{path}/ids", writer, batch_id):
+        return
     checked = authenticate(records, keys)
     items = event_items(decode_records(checked.where("reason is null")))
     denied = checked.where("reason is not null").select(
@@ -49,7 +75,8 @@ def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str)
         F.lit("").alias("header_event_id"), F.lit(None).cast("binary").alias("payload"), "reason",
     )
     everything = items.unionByName(denied).persist()
-    span = everything.agg(F.min("received_at").alias("low"), F.max("received_at").alias("high")).collect()[0]
+    days = F.date_sub(F.to_date(F.min("received_at")), ID_DAYS), F.to_date(F.max("received_at"))
+    span = everything.agg(*(d.cast("string").alias(name) for d, name in zip(days, ("low", "high"), strict=True))).collect()[0]
     rows = mark_duplicates(extract_events(everything))
     seen = _seen_before(spark, f"{path}/ids", batch_id, span["low"], span["high"]) if span["low"] else None
     if seen is not None:
@@ -57,14 +84,14 @@ def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str)
         rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_seen"), "duplicate").otherwise(F.col("reason"))).drop("_seen")
     rows = rows.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "received_date": F.to_date("received_at")}).persist()
     new = rows.where("reason is null")
-    append_once(spark, f"{path}/events", f"batch-{batch_id}", lambda to: write_events(new, to))
+    store.write_events(new, f"{path}/events", writer=writer, batch=batch_id)
     by_day = {
         "hits": issue_hits(new, "received_date"),
         "rejects": rows.where("reason is not null").select("arrival_seq", "received_at", "project_id", "item_no", "reason", "batch_id", "received_date"),
         "ids": new.where("event_id <> ''").select("project_id", "event_id", "batch_id", "received_date"),
     }
     for name, part in by_day.items():
-        append_once(spark, f"{path}/{name}", f"batch-{batch_id}", lambda to, part=part: part.write.option("compression", "zstd").partitionBy("received_date").parquet(to), depth=1)
+        versions.append_rows(part, f"{path}/{name}", "received_date", writer=writer, batch=batch_id)
     require_accounted(everything, new, rows.where("reason is not null"))
     rows.unpersist()
     everything.unpersist()

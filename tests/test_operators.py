@@ -37,7 +37,7 @@ def test_event_table_prunes(spark, tmp_path, by_hour):
         assert {r[0].split("/")[-2] for r in found.select(F.input_file_name()).distinct().collect()} == {"hour=2026072802"}
     files = len(table.inputFiles())
     store.write_events(events(spark, 1, 1, 5).withColumn("event_id", F.lit("late")), path, by_hour=by_hour)
-    assert store.read_events(spark, path).count() == 4805  # new files are seen
+    assert table.count() == 4800 and store.read_events(spark, path).count() == 4805  # new commits are seen by reading again
     store.compact(spark, path)
     again = store.read_events(spark, path)
     assert again.count() == 4805 and len(again.inputFiles()) <= files
@@ -47,19 +47,23 @@ def test_event_table_prunes(spark, tmp_path, by_hour):
     assert query.scope(store.read_events(spark, path), 3, START, START + HOUR).count()  # reads no such row
 
 
-def test_compaction_keeps_what_comes_meanwhile(spark, tmp_path, monkeypatch):
+def test_buckets_of_large_days(spark, tmp_path, monkeypatch):
     path = str(tmp_path / "t")
-    store.write_events(events(spark, 2, 2, 50), path)
-    store.write_events(events(spark, 2, 2, 50), path)
-    write = store.write_events
-
-    def slow(table, to, **options):
-        write(table, to, **options)
-        write(events(spark, 1, 1, 7).withColumn("event_id", F.lit("late")), path)
-
-    monkeypatch.setattr(store, "write_events", slow)
+    monkeypatch.setattr(store, "BUCKET_ROWS", 100)
+    store.write_events(events(spark, 6, 2, 40), path)
+    store.write_events(events(spark, 6, 30, 1), path, buckets=4)
     store.compact(spark, path)
-    assert store.read_events(spark, path).count() == 407 and [x.name for x in tmp_path.iterdir()] == ["t"]
+    names = {d.name for d in tmp_path.glob("t/commit=*/event_date=*/project_bucket=*")}
+    assert any(n.endswith("-8") for n in names)
+    live = store.versions.latest(spark, path)
+    assert sum(n for found in live.live.values() for n in found.values()) == 660  # the log knows the rows of each directory
+    for project in range(1, 7):
+        found = query.scope(store.read_events(spark, path), project, START, START + 40 * HOUR)
+        assert found.count() == 110
+    day = [r[0] for r in query.scope(store.read_events(spark, path), 3, START, START).select(F.input_file_name()).distinct().collect()]
+    assert len(day) == 1
+    with pytest.raises(ValueError, match="power of two"):
+        store.write_events(events(spark, 1, 1, 1), path, buckets=3)
 
 
 def test_statistics(spark):
@@ -73,8 +77,40 @@ def test_statistics(spark):
     for bad in (None, 0):
         with pytest.raises(ValueError, match="project"):
             query.scope(both, bad)
-    sketch = query.unique_users_of_hours(both, store.manifest(both), 1, START, START + 3 * HOUR).collect()[0][0]
-    assert abs(sketch - 100) <= 5
+
+
+def test_stored_statistics(spark, tmp_path):
+    """Of a table of several commits, before and after compaction: what the rows give, from whole hours and edge rows."""
+    path = str(tmp_path / "t")
+    everything = events(spark, 3, 60, 40).withColumn("user_id", F.when(F.col("project_id") == 2, "").otherwise(F.concat("user_id", F.col("ts_ns") % 7)))
+    spans = [(0, 0), (START + 5, START + 3 * HOUR - 7), (START + 10**10, 0), (0, START + 50 * HOUR), (START + HOUR // 2, START + HOUR // 2 + 10**10), (START + HOUR, START + 47 * HOUR - 1), (START + 25 * HOUR + 1, START + 59 * HOUR)]
+    for part in (F.col("ts_ns") % 4 == 0, (F.col("ts_ns") % 4 == 1) & (F.col("ts_ns") < START + 40 * HOUR), F.col("ts_ns") % 4 == 2, (F.col("ts_ns") % 4 == 3) | ((F.col("ts_ns") % 4 == 1) & (F.col("ts_ns") >= START + 40 * HOUR))):
+        store.write_events(everything.where(part), path)
+    rows = spark.createDataFrame(everything.collect(), everything.schema).cache()
+    for compacted in (False, True):
+        if compacted:
+            store.compact(spark, path)
+            assert len(store.versions.latest(spark, path).live) == 1
+        for since, until in spans:
+            for project, width in ((1, HOUR), (2, 24 * HOUR)):
+                expected = query.window_stats(rows, project, width, exact=True, since=since, until=until).collect()[0]
+                found = query.stored_window_stats(spark, path, project, since=since, until=until, width=width, exact=True)
+                assert found.collect()[0].asDict(True) == expected.asDict(True)
+                sketch = query.unique_users_of_hours(spark, path, project, since, until).collect()[0][0]
+                assert abs(sketch - expected["unique_users"]) <= 0.05 * expected["unique_users"]
+                assert sketch == query.stored_window_stats(spark, path, project, since=since, until=until).collect()[0]["unique_users"]
+        # Rows are read of the directories at the edges alone.
+        files = query.stored_window_stats(spark, path, 1, since=START + 5, until=START + 59 * HOUR, exact=True).inputFiles()
+        days = {f.split("event_date=")[1][:10] for f in files if "_rollup" not in f and "_users" not in f}
+        assert days == {"2026-07-28", "2026-07-30"}
+        assert all("_rollup" in f or "_users" in f for f in query.stored_window_stats(spark, path, 1, exact=True).inputFiles())
+        stored = {tuple(r) for r in store.stored_manifest(spark, path).drop("users").collect()}
+        assert stored == {tuple(r) for r in store.manifest(rows).drop("users").collect()}
+    for bad in (None, 0):
+        with pytest.raises(ValueError, match="project"):
+            query.stored_window_stats(spark, path, bad)
+    with pytest.raises(ValueError, match="hours"):
+        query.stored_window_stats(spark, path, 1, width=HOUR // 2)
 
 
 def test_retention(spark):

@@ -3,11 +3,12 @@ import os
 import shutil
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from faultgrain.operators import alerts, issues, query, quota
 from faultgrain.schema import COMMAND, HIT, RECORD
-from faultgrain.sources import store
+from faultgrain.sources import store, versions
 from faultgrain.streaming import ingest, state
 from faultgrain.streaming import issues as stream_issues
 from tests.test_operators import random_log, replay
@@ -51,21 +52,40 @@ def test_ingest_restarts_without_copies(spark, tmp_path):
     land(100, 5, key="wrong")
     land(40, 10)
     run()
-    stored = spark.read.parquet(str(tmp_path / "out/events"))
-    rejects = spark.read.parquet(str(tmp_path / "out/rejects"))
+    out = str(tmp_path / "out")
+    stored, rejects = ingest.stored(spark, out, "events"), ingest.stored(spark, out, "rejects")
     assert stored.count() == 30 and stored.select("event_id").distinct().count() == 30
-    hits = spark.read.parquet(str(tmp_path / "out/hits"))
+    hits = ingest.stored(spark, out, "hits")
     assert hits.count() == 30 and sorted(r["fingerprint"] for r in hits.collect()) == sorted(r["fingerprint"] for r in stored.collect())
     assert query.scope(store.read_events(spark, str(tmp_path / "out/events")), 1).count() == 30 and issues.rollup(hits).agg(F.sum("times_seen")).collect()[0][0] == 30
     assert {r["reason"]: r["count"] for r in rejects.groupBy("reason").count().collect()} == {"duplicate": 20, "auth": 5}
     records = spark.read.parquet(str(landing)).where("public_key = 'k'").limit(3)
-    for _ in range(2):  # a replayed batch overwrites itself
-        ingest.ingest_batch(records, 77, keys, str(tmp_path / "out"))
-    assert spark.read.parquet(str(tmp_path / "out/rejects")).where("batch_id = 77").count() == 3
+    for again in range(3):  # a replayed batch adds nothing
+        ingest.ingest_batch(records, 77, keys, out)
+        if again == 1:
+            ingest.compact(spark, out)
+    assert ingest.stored(spark, out, "rejects").where("batch_id = 77").count() == 3
     fresh = spark.createDataFrame([(900, now, 2, 1, "k", "", b'{"event_id":"new","message":"m"}')], RECORD)
-    for _ in range(2):
-        ingest.ingest_batch(fresh, 78, keys, str(tmp_path / "out"))
-    assert store.read_events(spark, str(tmp_path / "out/events")).where("event_id = 'new'").count() == 1 and spark.read.parquet(str(tmp_path / "out/hits")).count() == 31
+    for table in ("rejects", "hits", None):  # dies before this table is written, then runs again
+        with pytest.MonkeyPatch.context() as patch:
+            original = versions.append_rows
+
+            def dies(rows, path, *args, table=table, **more):
+                if table and path.endswith(table):
+                    raise KeyboardInterrupt
+                return original(rows, path, *args, **more)
+
+            patch.setattr(versions, "append_rows", dies)
+            if table:
+                with pytest.raises(KeyboardInterrupt):
+                    ingest.ingest_batch(fresh, 78, keys, out)
+            else:
+                ingest.ingest_batch(fresh, 78, keys, out)
+    ingest.compact(spark, out)
+    ingest.ingest_batch(fresh, 78, keys, out)
+    assert ingest.stored(spark, out, "events").where("event_id = 'new'").count() == 1 and ingest.stored(spark, out, "hits").count() == 31
+    ingest.vacuum(spark, out, 0)
+    assert ingest.stored(spark, out, "events").count() == 31 and len(list((tmp_path / "out/events").glob("commit=*"))) == 1
 
 
 def test_repeats_and_counts(spark, tmp_path):
@@ -110,7 +130,7 @@ def test_streaming_issues_with_merges(spark, tmp_path):
     stream_issues.start_issues(parts(spark, log, tmp_path, 3, "batch").drop("batch"), str(tmp_path / "out"), str(tmp_path / "check"), once=True).awaitTermination()
     stream_issues.issues_batch(log.where("batch = 2").drop("batch"), 2, str(tmp_path / "out"))  # a replay
     expected, live = replay(hits, commands)
-    line = spark.read.parquet(str(tmp_path / "out/outcomes")).collect()
+    line = stream_issues.outcomes(spark, str(tmp_path / "out")).collect()
     assert len(line) == len(hits) and {(r["project_id"], r["arrival_seq"]): (r["target"], r["is_new"], r["regressed"], r["times_seen"], r["status"]) for r in line} == expected
     now = {(r["project_id"], r["fingerprint"]): (r["status"], r["times_seen"], r["merged_into"], r["last_seen"], r["level"]) for r in stream_issues.current_issues(spark, str(tmp_path / "out")).collect()}
     assert now == {k: (i["status"], i["n"], i["into"], i["last"], i["level"]) for k, i in live.items()}
