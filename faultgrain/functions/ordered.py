@@ -39,15 +39,17 @@ def running(df: DataFrame, keys: list[str], seq: str, sums: dict[str, Column], l
     return out.drop("_slice", *values, *(f"_{p}_{n}" for p in "ic" for n in names))
 
 
-def spells(df: DataFrame, keys: list[str], at: str, gap: Column) -> DataFrame:
-    """``df`` with a number ``spell`` that goes up, per key, after each pause of at least ``gap`` in ``at``.
+def sliced(df: DataFrame, keys: list[str], at: str, unit: int, rows: int) -> DataFrame:
+    """``df`` with a number ``_slice`` that cuts each key's rows by time into pieces of at most ``rows`` rows.
 
-    Rows in a slice of time as long as the pause are never apart by one, so
-    only the slices' ends, a row each, are put in order.
+    The width is a multiple of ``unit``, the same for all keys, from the fullest
+    unit of any key; only a unit that is itself fuller makes a larger piece.
     """
-    sliced = df.withColumn("_slice", F.floor(F.col(at) / gap)).withColumn("_gap", gap)
-    ends = sliced.groupBy(*keys, "_slice").agg(F.min(at).alias("_first"), F.max(at).alias("_last"), F.first("_gap").alias("_gap"))
-    order = Window.partitionBy(*keys).orderBy("_slice")
-    pause = F.coalesce(F.col("_first") - F.lag("_last").over(order) >= F.col("_gap"), F.lit(True))
-    ends = ends.withColumn("_new", pause.cast("bigint")).withColumn("spell", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return sliced.drop("_gap").join(ends.select(*keys, "_slice", "spell"), [*keys, "_slice"]).drop("_slice")
+    slot = F.floor(F.col(at) / unit).alias("_slot")
+    fullest = df.groupBy(*keys, slot).agg(F.count("*").alias("n")).agg(F.max("n")).collect()[0][0] or 1
+    return df.withColumn("_slice", F.floor(F.col(at) / (unit * max(1, rows // fullest))))
+
+
+def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """Rows of each of ``keys`` together in one partition, one key after the other, in order."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)

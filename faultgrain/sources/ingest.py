@@ -257,15 +257,20 @@ def mark_duplicates(events: DataFrame) -> DataFrame:
     return ranked.withColumn("reason", F.when(again, "duplicate").otherwise(F.col("reason"))).drop("_key", "_n")
 
 
-def ingest(records: DataFrame, keys: DataFrame) -> DataFrame:
-    """All items of ``records`` as classified event rows; ``reason`` is null for those to store."""
+def classify(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """All items of ``records`` as event rows, with a reason where they are not to be stored; repeats are not looked for. Works on a stream."""
     checked = authenticate(records, keys)
     items = event_items(decode_records(checked.where("reason is null")))
     denied = checked.where("reason is not null").select(
         "arrival_seq", "received_at", "project_id", F.lit(0).alias("item_no"), F.lit(None).cast("string").alias("item_type"),
         F.lit("").alias("header_event_id"), F.lit(None).cast("binary").alias("payload"), "reason",
     )
-    return mark_duplicates(extract_events(items.unionByName(denied)))
+    return extract_events(items.unionByName(denied))
+
+
+def ingest(records: DataFrame, keys: DataFrame) -> DataFrame:
+    """All items of ``records`` as classified event rows; ``reason`` is null for those to store."""
+    return mark_duplicates(classify(records, keys))
 
 
 def stored(classified: DataFrame) -> DataFrame:

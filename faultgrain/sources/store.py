@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -109,8 +111,14 @@ def _commit_files(spark: SparkSession, path: str, own: str, rows: DataFrame, key
         folded = partial_counts(back), day_users(back)
     first = keys[0]
     dated = lambda df, day: df.withColumn(first, day) if keys == BY_DATE else df
-    _save(dated(folded[0], event_date(F.col("start"))), f"{path}/{ROLLUP_FOLDER}/commit={own}", (first,), ("tag", "project_id", "start") if keys == BY_DATE else ("tag", "start"))
-    _save(dated(folded[1], F.col("day")), f"{path}/{USERS_FOLDER}/commit={own}", (first,), ("project_id", "user_id") if keys == BY_DATE else ("user_id",))
+    more = () if keys == BY_HOUR else ("project_id",)
+    jobs = [
+        lambda: _save(dated(folded[0], event_date(F.col("start"))), f"{path}/{ROLLUP_FOLDER}/commit={own}", (first,), ("tag", *more, "start")),
+        lambda: _save(dated(folded[1], F.col("day")), f"{path}/{USERS_FOLDER}/commit={own}", (first,), (*more, "user_id")),
+    ]
+    with ThreadPoolExecutor(len(jobs)) as pool:  # two small jobs at once
+        for done in [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]:
+            done.result()
     totals = spark.read.schema(_beside(ROLLUP, keys)).parquet(f"{path}/{ROLLUP_FOLDER}/commit={own}").where("tag = 'total'").groupBy(first).agg(F.sum("count").alias("n"))
     return {f"{first}={r[first]}": r["n"] for r in totals.collect()}  # a row for each directory
 

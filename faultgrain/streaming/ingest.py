@@ -15,8 +15,9 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from ..operators.ops import require_accounted
 from ..schema import HIT, RECORD
-from ..sources.ingest import authenticate, decode_records, event_items, extract_events, issue_hits, mark_duplicates
+from ..sources.ingest import classify, issue_hits, mark_duplicates
 from ..sources import store, versions
+from .state import first_arrivals
 
 ID_DAYS = 1
 #: Tables by received_date next to the event table.
@@ -27,7 +28,7 @@ SCHEMAS = {
 }
 
 
-def landing_stream(spark: SparkSession, path: str, *, files_per_batch: int = 0, bytes_per_batch: str = "") -> DataFrame:
+def landing_stream(spark: SparkSession, path: str, *, files_per_batch: int = 0, bytes_per_batch: int = 0) -> DataFrame:
     """Raw records that land as Parquet files; every consumer replays from its own checkpoint."""
     reader = spark.readStream.schema(RECORD)
     if files_per_batch:
@@ -68,33 +69,53 @@ def ingest_batch(records: DataFrame, batch_id: int, keys: DataFrame, path: str,
     spark = records.sparkSession
     if versions.is_done(spark, f"{path}/ids", writer, batch_id):
         return
-    checked = authenticate(records, keys)
-    items = event_items(decode_records(checked.where("reason is null")))
-    denied = checked.where("reason is not null").select(
-        "arrival_seq", "received_at", "project_id", F.lit(0).alias("item_no"), F.lit(None).cast("string").alias("item_type"),
-        F.lit("").alias("header_event_id"), F.lit(None).cast("binary").alias("payload"), "reason",
-    )
-    everything = items.unionByName(denied).persist()
+    everything = classify(records, keys).persist()
     days = F.date_sub(F.to_date(F.min("received_at")), ID_DAYS), F.to_date(F.max("received_at"))
     span = everything.agg(*(d.cast("string").alias(name) for d, name in zip(days, ("low", "high"), strict=True))).collect()[0]
-    rows = mark_duplicates(extract_events(everything))
+    rows = mark_duplicates(everything)
     seen = _seen_before(spark, f"{path}/ids", batch_id, span["low"], span["high"]) if span["low"] else None
     if seen is not None:
         rows = rows.join(seen.withColumn("_seen", F.lit(True)), ["project_id", "event_id"], "left")
         rows = rows.withColumn("reason", F.when(F.col("reason").isNull() & F.col("_seen"), "duplicate").otherwise(F.col("reason"))).drop("_seen")
-    rows = rows.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "received_date": F.to_date("received_at")}).persist()
+    rows = rows.persist()
+    _append(rows, batch_id, path, writer, ids=True)
+    require_accounted(everything, rows.where("reason is null"), rows.where("reason is not null"))
+    rows.unpersist()
+    everything.unpersist()
+
+
+def _append(rows: DataFrame, batch_id: int, path: str, writer: str, ids: bool) -> None:
+    """Append a batch's events, hits, rejects and, last, ids."""
+    rows = rows.withColumns({"batch_id": F.lit(batch_id).cast("bigint"), "received_date": F.to_date("received_at")})
     new = rows.where("reason is null")
     store.write_events(new, f"{path}/events", writer=writer, batch=batch_id)
-    by_day = {
+    parts = {
         "hits": issue_hits(new, "received_date"),
         "rejects": rows.where("reason is not null").select("arrival_seq", "received_at", "project_id", "item_no", "reason", "batch_id", "received_date"),
-        "ids": new.where("event_id <> ''").select("project_id", "event_id", "batch_id", "received_date"),
     }
-    for name, part in by_day.items():
+    if ids:
+        parts["ids"] = new.where("event_id <> ''").select("project_id", "event_id", "batch_id", "received_date")
+    for name, part in parts.items():
         versions.append_rows(part, f"{path}/{name}", "received_date", writer=writer, batch=batch_id)
-    require_accounted(everything, new, rows.where("reason is not null"))
-    rows.unpersist()
-    everything.unpersist()
+
+
+def start_keyed_ingest(records: DataFrame, keys: DataFrame, path: str, checkpoint: str, *, hold: str = "1 day", delay: str = "10 minutes", once: bool = False) -> StreamingQuery:
+    """The ingest with the ids seen in keyed state instead of a table.
+
+    An id is held for ``hold`` after its first arrival, by the watermark of
+    received_at, so the state is that of a window and no batch reads what others
+    stored. A batch that runs again gives what it gave, and the tables take it once.
+    """
+    rows = first_arrivals(classify(records, keys), hold, delay)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        if not versions.is_done(batch.sparkSession, f"{path}/rejects", "keyed", batch_id):
+            batch = batch.persist()
+            _append(batch, batch_id, path, "keyed", ids=False)
+            batch.unpersist()
+
+    writer = rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def start_ingest(records: DataFrame, keys: DataFrame, path: str, checkpoint: str, *, once: bool = False) -> StreamingQuery:

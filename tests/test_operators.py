@@ -1,4 +1,6 @@
+import json
 import random
+import time
 from datetime import datetime, timedelta
 
 import pytest
@@ -222,6 +224,99 @@ def test_quota(spark):
     assert all(r["retry_after_ns"] >= 10**9 for r in found if not r["admitted"])
 
 
+def plain_firings(times, wait):
+    last, out = None, []
+    for n, at in enumerate(times):
+        if last is None or at - last >= wait:
+            last = at
+            out.append(n)
+    return out, last
+
+
+def test_cooldown_steps_of_a_slice():
+    """The step function of any stretch of matches equals walking it, from any last firing."""
+    rng = random.Random(4)
+    for _ in range(400):
+        wait = rng.choice((1, 5, 20))
+        times = sorted(rng.randrange(50, rng.choice((60, 150))) for _ in range(rng.randint(1, 30)))
+        piece = alerts.CooldownSlice(wait)
+        for at in times:
+            piece.see(at)
+        steps = piece.steps()
+        for last in (None, *range(0, min(times) + 1)):
+            now = last
+            for at in times:
+                if now is None or at - now >= wait:
+                    now = at
+            assert alerts.after(last, *steps) == now
+        assert len(steps[1]) <= wait + 1
+
+
+@pytest.mark.parametrize("slice_rows", [1, 7, 100_000])
+def test_cooldown_in_slices(spark, slice_rows):
+    rng = random.Random(9)
+    rows = [(1, 1, "hot", n, datetime(2026, 1, 1) + timedelta(milliseconds=rng.randrange(600_000))) for n in range(1500)]
+    rows += [(k % 3, 2, f"i{k % 4}", 2000 + k, datetime(2026, 1, 1) + timedelta(seconds=rng.randrange(4000))) for k in range(300)]
+    df = spark.createDataFrame(rows, "rule_id bigint, project_id bigint, issue string, arrival_seq bigint, ts timestamp")
+    expected = set()
+    for key in {r[:3] for r in rows}:
+        own = sorted((r[4], r[3]) for r in rows if r[:3] == key)
+        start = own[0][0]
+        expected |= {own[k][1] for k in plain_firings([(at - start) // timedelta(microseconds=1) for at, _ in own], 7_000_000)[0]}
+    fired = alerts.cool_down(df, 7, slice_rows)
+    assert {r["arrival_seq"] for r in fired.collect()} == expected
+    assert alerts.cool_down(df, 0).count() == len(rows)
+
+
+def test_quota_function_of_a_slice():
+    """The function of any stretch of requests equals walking it, from any content of the bucket."""
+    rng = random.Random(6)
+    token = quota.TOKEN
+    for _ in range(300):
+        rate, full = rng.choice((0, 1, 3_000, 250_000_000)), rng.choice((token // 2, token, 3 * token, 3 * token + 12345, 40 * token))
+        gaps = rng.choice(([0], [0, 1], [0, token // 7 // max(rate, 1)], [0, 1000, token // max(rate, 1) // 3, token // max(rate, 1)], [token // max(rate, 1), 5 * token // max(rate, 1), 0]))
+        times, at = [], 10**9
+        for _ in range(rng.randint(1, 60)):
+            times.append(at)
+            at += rng.choice(gaps)
+        piece = quota.BucketSlice(rate, full, times[0])
+        for at in times:
+            piece.see(at)
+        state = json.loads(piece.state())
+        for tokens in {0, full, *(rng.randrange(full + 1) for _ in range(30)), *(min(full, k * token + d) for k in range(4) for d in (0, 1, token - 1))}:
+            bucket = quota.Bucket(tokens, times[0])
+            for at in times:
+                bucket.admit(at, rate, full)
+            assert quota.after(tokens, state) == bucket.tokens
+        assert len(state[-1]) <= (6 if full >= 3 * token else len(times) + 2)
+
+
+def test_quota_function_takes_few_steps():
+    """A bucket of one token under a storm has as many pieces as requests in a refill; each request still costs little."""
+    piece = quota.BucketSlice(10**6, quota.TOKEN, 0)  # a token takes a second, requests come every 50 microseconds
+    began = time.perf_counter()
+    for k in range(100_000):
+        piece.see(k * 50_000)
+    assert len(piece.pieces) > 10_000 and time.perf_counter() - began < 5
+
+
+@pytest.mark.parametrize("slice_rows", [1, 40, 100_000])
+def test_quota_in_slices(spark, slice_rows):
+    rng = random.Random(8)
+    rows = [(1, n, START + 10 * n * 10**7 + rng.randrange(10**7)) for n in range(1200)]  # always busy: 10 a second, 3 are admitted
+    rows += [(2, 5000 + n, START + rng.randrange(200) * 10**9) for n in range(400)] + [(3, 9000 + n, START + n) for n in range(50)]
+    limits = spark.createDataFrame([(1, 3.3, 20.0), (2, 0.7, 2.5)], "project_id bigint, per_second double, burst double")
+    found = quota.admit(spark.createDataFrame(rows, "project_id bigint, arrival_seq bigint, ts_ns bigint"), limits, slice_rows)
+    expected = {}
+    for project, limit in ((1, (3.3, 20.0)), (2, (0.7, 2.5)), (3, (quota.PER_SECOND, quota.BURST))):
+        rate, full = quota.units(*limit)
+        own = sorted((at, n) for p, n, at in rows if p == project)
+        bucket = quota.Bucket(full, own[0][0])
+        expected |= {n: bucket.admit(at, rate, full) for at, n in own}
+    assert {r["arrival_seq"]: (r["admitted"], r["retry_after_ns"]) for r in found.collect()} == expected
+    assert 300 < sum(ok for n, (ok, _) in expected.items() if n < 5000) < 500
+
+
 def test_no_row_of_another_project(spark):
     table = events(spark, 4, 1, 20)
     issue = table.select("project_id", "fingerprint", F.lit("unresolved").alias("status"), "level", F.lit("t").alias("title"), F.lit(None).cast("string").alias("merged_into"), F.col("ts_ns").alias("last_seen"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from faultgrain.operators import alerts, issues, query, quota
 from faultgrain.schema import COMMAND, HIT, RECORD
 from faultgrain.sources import store, versions
-from faultgrain.streaming import ingest, state
+from faultgrain.streaming import consumers, ingest, state
 from faultgrain.streaming import issues as stream_issues
 from tests.test_operators import random_log, replay
 
@@ -88,6 +88,110 @@ def test_ingest_restarts_without_copies(spark, tmp_path):
     assert ingest.stored(spark, out, "events").count() == 31 and len(list((tmp_path / "out/events").glob("commit=*"))) == 1
 
 
+def test_keyed_ingest_forgets_ids_and_restarts(spark, tmp_path):
+    landing, out = tmp_path / "landing", str(tmp_path / "out")
+    keys = spark.createDataFrame([(1, "k", True)], "project_id bigint, public_key string, is_active boolean")
+    day = datetime(2026, 1, 2)
+    seq = iter(range(10_000))
+
+    def land(ids, at, key="k"):
+        rows = [(next(seq), at, 2, 1, key, "", json.dumps({"event_id": i, "message": "m", "timestamp": 1_767_312_000.123456}).encode()) for i in ids]
+        spark.createDataFrame(rows, RECORD).coalesce(1).write.mode("append").parquet(str(landing))
+        for file in landing.glob("*.parquet"):
+            if file.name not in names:
+                names.append(file.name)
+                os.utime(file, (1_700_000_000 + len(names),) * 2)  # older files are read first
+
+    names, progress = [], consumers.Progress()
+    spark.streams.addListener(progress)
+
+    def run():
+        query = ingest.start_keyed_ingest(ingest.landing_stream(spark, str(landing), files_per_batch=1), keys, out, str(tmp_path / "check"), hold="1 hour", delay="1 minute", once=True)
+        query.awaitTermination()
+        return [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+
+    land([f"a{k % 10}" for k in range(15)] + ["", ""], day)
+    land(["a1", "b1"], day + timedelta(minutes=5), key="k")
+    land(["a2"], day, key="wrong")
+    assert max(run()) > 10
+    land(["a3", "b1", "c1"], day + timedelta(minutes=30))
+    run()  # a restart knows what came before
+    land(["d1"], day + timedelta(hours=3))
+    land(["a1", "d1"], day + timedelta(hours=3, minutes=1))  # a1 is forgotten, d1 is not
+    left = run()
+    stored = ingest.stored(spark, out, "events")
+    ids = sorted(r["event_id"] for r in stored.collect())
+    assert ids == sorted(["", "", *(f"a{k}" for k in range(10)), "b1", "c1", "d1", "a1"])
+    assert {r["ts_ns"] for r in stored.select("ts_ns").collect()} == {1_767_312_000_123_456_000}
+    assert {r["reason"]: r["count"] for r in ingest.stored(spark, out, "rejects").groupBy("reason").count().collect()} == {"duplicate": 9, "auth": 1}
+    assert left[-1] <= 6  # ids of the last hour and their timers
+    spark.streams.removeListener(progress)
+    assert sum(b["rows"] for b in progress.batches) >= 17 + 2 + 1 + 3 + 1 + 2 and progress.batches[-1]["state_rows"] == left[-1]
+
+
+def test_consumers_lag_and_retention(spark, tmp_path):
+    """Two consumers at different places: exact lag of each, and only what both have read goes, whole directories, oldest first."""
+    landing = tmp_path / "landing"
+
+    def land(day, first, n):
+        rows = [(first + k, datetime(2026, 1, day), 2, 1, "k", "", b"x" * 500) for k in range(n)]
+        spark.createDataFrame(rows, RECORD).coalesce(1).write.parquet(str(landing / f"day=2026-01-0{day}"))
+        for file in (landing / f"day=2026-01-0{day}").glob("*.parquet"):
+            os.utime(file, (1_700_000_000 + 86400 * day,) * 2)
+
+    def consume(name, **bounds):
+        stream = ingest.landing_stream(spark, str(landing), **bounds)
+        query = stream.writeStream.foreachBatch(lambda df, n: df.count()).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        query.awaitTermination()
+        return [p.numInputRows for p in query.recentProgress if p.numInputRows]
+
+    both = {name: str(tmp_path / name) for name in ("fast", "slow")}
+    lag = lambda: {r["consumer"]: (r["files"], r["records"]) for r in consumers.lag(spark, str(landing), both).collect()}
+    now = 1_700_000_000 * 10**9 + 10 * 86400 * 10**9
+    drop = lambda **k: [d[-1] for d in consumers.drop_consumed(spark, str(landing), both, now_ns=now, **k)]
+    land(1, 0, 40)
+    land(2, 100, 30)
+    assert lag() == {"fast": (2, 70), "slow": (2, 70)} and drop(max_bytes=1) == []
+    consume("fast")
+    consume("slow")
+    land(3, 200, 20)
+    land(4, 300, 25)
+    sizes = sorted(f.stat().st_size for f in landing.glob("*/*.parquet"))
+    assert consume("fast", bytes_per_batch=sizes[-1]) == [20, 25]  # a batch ends where the next file would be too much
+    land(5, 400, 5)
+    assert lag() == {"fast": (1, 5), "slow": (3, 50)}
+    assert consumers.drop_consumed(spark, str(landing), {}, now_ns=now, max_bytes=1) == []
+    assert drop(max_age_ns=1) == ["1", "2"]  # the third is unread by one of them
+    assert lag() == {"fast": (1, 5), "slow": (3, 50)}
+    consume("slow", files_per_batch=1)
+    consume("fast")
+    assert lag() == {"fast": (0, 0), "slow": (0, 0)} and drop(max_age_ns=int(6.5 * 86400 * 10**9)) == ["3"]
+    assert drop(max_bytes=1) == ["4"] and sorted(d.name[-1] for d in landing.iterdir()) == ["5"]
+
+
+def test_issue_batches_write_what_they_touch(spark, tmp_path):
+    path = str(tmp_path / "out")
+    none = spark.createDataFrame([], COMMAND)
+    row = lambda seq, k: (seq, k % 3, f"f{k}", "b", "t", "error", 1)
+    stream_issues.issues_batch(stream_issues.log_rows(spark.createDataFrame([row(k, k) for k in range(2000)], HIT), none), 0, path)
+    stored = lambda n: versions.read(spark, f"{path}/issues", stream_issues.STORED).where(F.col("batch") == n).count()
+    assert stored(0) == 2000
+    merge = spark.createDataFrame([(5000, 0, "merge", None, "f0", ["f3", "f6"], None)], COMMAND)
+    stream_issues.issues_batch(stream_issues.log_rows(spark.createDataFrame([row(4000 + k, 3 * k) for k in range(20)], HIT), merge), 1, path)
+    assert stored(1) == 20
+    stream_issues.issues_batch(stream_issues.log_rows(spark.createDataFrame([row(6000, 3)], HIT), none), 2, path)
+    assert stored(2) == 1  # a hit on a merged issue counts for its target
+    now = {r["fingerprint"]: (r["times_seen"], r["merged_into"]) for r in stream_issues.current_issues(spark, path).collect()}
+    assert len(now) == 2000 and now["f0"] == (7, None) and now["f3"] == (2, "f0") and now["f1"] == (1, None)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(stream_issues, "DELTAS", 1)
+        stream_issues.issues_batch(stream_issues.log_rows(spark.createDataFrame([row(7000, 9)], HIT), none), 3, path)
+    assert versions.read(spark, f"{path}/issues", stream_issues.STORED).count() == 2000  # folded
+    assert {r["fingerprint"]: r["times_seen"] for r in stream_issues.current_issues(spark, path).collect()} == {f: n + (f == "f9") for f, (n, _) in now.items()}
+    stream_issues.vacuum(spark, path, 0)
+    assert stream_issues.current_issues(spark, path).count() == 2000
+
+
 def test_repeats_and_counts(spark, tmp_path):
     start = datetime(2026, 1, 1)
     rows = [(n, start + timedelta(seconds=20 * (n % 100)), n % 2, "" if n % 10 == 0 else f"e{n % 100}") for n in range(150)]
@@ -144,6 +248,21 @@ def test_streaming_alerts(spark, tmp_path):
     assert sorted(fired.collect()) == sorted(alerts.firings(activity, rules).select("rule_id", "issue", "arrival_seq").collect())
 
 
+def test_cooldown_state_expires(spark, tmp_path):
+    start = datetime(2026, 1, 1)
+    schema = "arrival_seq bigint, project_id bigint, issue string, ts timestamp, title string, level string, status string, times_seen bigint, is_new boolean, regressed boolean, batch bigint"
+    at = lambda seq, minutes, issue, batch: (seq, 0, issue, start + timedelta(minutes=minutes), "t", "error", "unresolved", 1, True, False, batch)
+    rows = [at(n, n * 0.1, f"i{n % 5}", 0) for n in range(20)] + [at(30, 4, "i0", 1), at(31, 5.2, "i1", 1)] + [at(40, 60, "last", 2)] + [at(50, 200, "i0", 3), at(51, 200, "i0", 3)] + [at(60, 400, "end", 4)]
+    activity = spark.createDataFrame(rows, schema)
+    rules = spark.createDataFrame([(1, 0, "new", "new_issue", 0, True)], "id bigint, project_id bigint, name string, condition string, threshold bigint, enabled boolean")
+    query = state.alert_firings(parts(spark, activity, tmp_path, 5, "batch"), rules, 300, "0 seconds").writeStream.format("memory").queryName("expiring").trigger(availableNow=True).start()
+    query.awaitTermination()
+    fired = {(r["issue"], r["arrival_seq"]) for r in spark.table("expiring").collect()}
+    assert fired == {(r["issue"], r["arrival_seq"]) for r in alerts.firings(activity, rules, 300).collect()}
+    counts = [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+    assert max(counts) >= 5 and counts[-1] <= 2  # the last firing's state and timer are left, no other
+
+
 def test_streaming_quota(spark, tmp_path):
     limits = spark.createDataFrame([(0, 0.5, 4.0)], "project_id bigint, per_second double, burst double")
     arrivals = spark.range(400).select((F.col("id") % 2).alias("project_id"), F.col("id").alias("arrival_seq"), (F.col("id") * 600_000_000).alias("ts_ns")).withColumn("batch", F.floor(F.col("arrival_seq") / 100))
