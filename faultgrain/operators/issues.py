@@ -108,20 +108,34 @@ def command_effects(hits: DataFrame, commands: DataFrame, before: DataFrame | No
     return log.groupBy("project_id").cogroup(counts.groupBy("project_id")).applyInPandas(_apply_commands, _EFFECTS)
 
 
+def _routed(hits: DataFrame, spans: DataFrame) -> DataFrame:
+    """Hits with the ``target`` that their fingerprint is merged into at their time, else the fingerprint.
+
+    Spans of a fingerprint don't overlap. So their ends are changes in the log of
+    hits, and a hit takes the last change before it; how many spans there are
+    does not matter. Hits of fingerprints without spans stay where they are.
+    """
+    null = F.lit(None).cast("string")
+    ends = spans.select(*_KEY, F.col("from_seq").alias("arrival_seq"), F.col("target").alias("_into")).unionByName(spans.select(*_KEY, F.col("to_seq").alias("arrival_seq"), null.alias("_into")))
+    # Where a span ends and another begins, it begins.
+    changes = ends.groupBy(*_KEY, "arrival_seq").agg(F.coalesce(F.max("_into"), F.lit("")).alias("_into"))
+    marked = hits.join(spans.select(*_KEY, F.lit(True).alias("_merged")).distinct(), _KEY, "left")
+    own = marked.where("_merged").drop("_merged").withColumns({"_into": null, "_hit": F.lit(1)})
+    ran = running(own.unionByName(changes.where(F.col("arrival_seq") < _FOREVER), allowMissingColumns=True), _KEY, "arrival_seq", {"_n": F.col("_hit")}, {"_last": F.col("_into")}).where("_hit = 1")
+    target = F.when(F.col("_last") != "", F.col("_last")).otherwise(F.col("fingerprint"))
+    ran = ran.select(*hits.columns, target.alias("target"))
+    return ran.unionByName(marked.where("_merged is null").select(*hits.columns, F.col("fingerprint").alias("target")))
+
+
 def timeline(hits: DataFrame, commands: DataFrame, effects: DataFrame | None = None, before: DataFrame | None = None) -> DataFrame:
     """Per hit: the issue it counts for, is_new, regressed, times_seen and status after it; ``before`` as of ``command_effects``."""
     # A few rows per command, read several times below.
     effects = kept(command_effects(hits, commands, before), "effects") if effects is None else effects
     spans = effects.where("effect = 'interval'").select("project_id", "fingerprint", "target", "from_seq", "to_seq")
     first = hits.groupBy(*_KEY).agg(F.min("arrival_seq").alias("_first"))
-    # Spans of a fingerprint don't overlap, so an array of them keeps a hit one row.
-    spans = spans.groupBy(*_KEY).agg(F.collect_list(F.struct("from_seq", "to_seq", "target")).alias("_spans"))
-    at = F.col("arrival_seq")
-    held = F.filter("_spans", lambda s: (s["from_seq"] < at) & (at < s["to_seq"]))
-    target = F.coalesce(F.try_element_at(held, F.lit(1))["target"], F.col("fingerprint"))
     if before is not None:
         first = first.join(before.select(*_KEY, F.lit(True).alias("_known")), _KEY, "left").select(*_KEY, F.when(F.col("_known"), -1).otherwise(F.col("_first")).alias("_first"))
-    placed = hits.join(spans, _KEY, "left").withColumn("target", target).drop("_spans").join(first, _KEY)
+    placed = _routed(hits, spans).join(first, _KEY)
     rows = placed.select("*", (F.col("arrival_seq") == F.col("_first")).alias("is_new"), F.lit(1).cast("bigint").alias("weight"), F.lit("hit").alias("row"), F.lit(None).cast("string").alias("set_status")).drop("_first")
     changes = effects.where("effect in ('status', 'transfer')").select(
         "project_id", F.col("from_seq").alias("arrival_seq"), "target", F.col("count").alias("weight"), F.col("effect").alias("row"), F.col("status").alias("set_status")

@@ -178,6 +178,15 @@ def test_timeline_equals_replay(spark):
     assert now == {k: (i["status"], i["n"], i["into"], i["last"], i["level"]) for k, i in live.items()}
 
 
+def test_merged_and_split_ten_thousand_times(spark):
+    n = 10_000
+    commands = [(10 * k + (5 if kind == "merge" else 8), 1, kind, None if kind == "merge" else "a", "b" if kind == "merge" else None, ["a"] if kind == "merge" else None, None) for k in range(1, n) for kind in ("merge", "split")]
+    hits = [(s, 1, f, "x", "t", "error", s) for s, f in ((0, "a"), (1, "b"))] + [(s, 1, "a", "x", "t", "error", s) for s in range(10, 10 * n, 3) if s % 10 not in (5, 8)]
+    line = issues.timeline(spark.createDataFrame(hits, HIT), spark.createDataFrame(commands, COMMAND)).select("arrival_seq", "target").collect()
+    assert len(line) == len(hits)
+    assert all(r["target"] == ("b" if 5 < r["arrival_seq"] % 10 < 8 and r["arrival_seq"] > 10 or r["arrival_seq"] == 1 else "a") for r in line)
+
+
 def test_running_values_over_slices(spark):
     from faultgrain.functions.ordered import running
 
