@@ -114,8 +114,11 @@ def default_fingerprint(event: Column) -> Column:
     return let(F.try_element_at(exceptions, F.lit(-1)), of)
 
 
-def fingerprint(event: Column, rules: Column | None = None) -> Column:
-    """(fingerprint, basis): a rule's, else the client's own with the default spliced in, else the default."""
+def fingerprint(event: Column, rules: Column | None = None, ruled: Column | None = None) -> Column:
+    """(fingerprint, basis): a rule's, else the client's own with the default spliced in, else the default.
+
+    ``rules`` are compiled ones to try here; ``ruled`` are the parts that ``rules.with_first_rule`` found.
+    """
 
     def of(event: Column) -> Column:
         own = F.coalesce(event["sdk_fingerprint"], F.array().cast("array<string>"))
@@ -126,10 +129,10 @@ def fingerprint(event: Column, rules: Column | None = None) -> Column:
             return F.when(custom, _result(hash_parts("custom", parts), "custom")).otherwise(default)
 
         chain = let(default_fingerprint(event), spliced)
-        if rules is None:
+        if rules is None and ruled is None:
             return chain
-        ruled = first_matching_rule(event, rules)
-        return let(ruled, lambda parts: F.when(parts.isNotNull(), _result(hash_parts("rule", parts), "rule")).otherwise(chain))
+        found = ruled if ruled is not None else first_matching_rule(event, rules)
+        return let(found, lambda parts: F.when(parts.isNotNull(), _result(hash_parts("rule", parts), "rule")).otherwise(chain))
 
     # Else each use of a field would compute what the field comes from again.
     return let(event, of)

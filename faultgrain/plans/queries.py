@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grouping as g
 from ..functions import text as t
+from ..functions.rules import with_enhanced_frames, with_first_rule
 from ..operators import access, alerts, issues, ops, query, quota
 from ..sources import ingest, store
 from . import tables
@@ -180,8 +181,8 @@ def rule_fingerprints(spark, sf_dir):
     ]
     one = [(p, n, [{"type": k, "pattern": v} for k, v in m], f) for p in range(1, 5) for n, m, f in spec]
     rules = spark.createDataFrame(one, "project_id bigint, rule_order int, matchers array<struct<type: string, pattern: string>>, fingerprint array<string>")
-    rows = _stack(spark, sf_dir).withColumn("project_id", F.col("user_id") % 4 + 1).join(g.compiled_rules(rules), "project_id", "left")
-    return rows.select("event_id", g.fingerprint(F.col("input"), F.col("rules")).alias("g")).select("event_id", "g.basis", "g.fingerprint")
+    rows = with_first_rule(_stack(spark, sf_dir).withColumn("project_id", F.col("user_id") % 4 + 1), rules)
+    return rows.select("event_id", g.fingerprint(F.col("input"), ruled=F.col("ruled")).alias("g")).select("event_id", "g.basis", "g.fingerprint")
 
 
 @_register(f"""SELECT event_id,
@@ -192,9 +193,8 @@ def enhanced_fingerprints(spark, sf_dir):
     """Enhancement rules force in_app by path or module, first match wins."""
     rows = [(p, n, pattern, by_module, value) for p in range(1, 5) for n, pattern, by_module, value in ((1, "**/app/**", False, False), (2, "shop.cart5", True, True), (3, "shop.**", True, None))]
     rules = spark.createDataFrame(rows, "project_id bigint, rule_order int, pattern string, match_module boolean, in_app boolean")
-    rows = _stack(spark, sf_dir).withColumn("project_id", F.col("user_id") % 4 + 1).join(g.compiled_enhancements(rules), "project_id", "left")
-    forced = F.col("input").withField("exceptions", g.enhance_frames(F.col("input.exceptions"), F.col("enhancements")))
-    return rows.select("event_id", g.fingerprint(forced)["fingerprint"].alias("fingerprint"))
+    rows = with_enhanced_frames(_stack(spark, sf_dir).withColumn("project_id", F.col("user_id") % 4 + 1), rules)
+    return rows.select("event_id", g.fingerprint(F.col("input"))["fingerprint"].alias("fingerprint"))
 
 
 @_register(f"""SELECT doc_id, {_CUT.format('text', 200)} AS title,
