@@ -18,8 +18,11 @@ corpus.
 Links are found in rounds. First each class is compared with at most ``PIVOTS``
 pivot classes of its lists, then those outside a list's largest component with as
 many members of it, as long as that leaves a third fewer. This only saves work:
-what is still outside is then compared with all members of its lists, block
-against block. Sets are shipped once for each block they meet, not once for each
+what is still outside is then compared with others, block against block. Texts
+that share a passage, as pages of a site do, all meet in lists of its values. So
+these last lists are made anew, from full sets: of each set the fifth of its
+shingles that fewest others have. Sets of similarity 0.8 share one of these, and
+a shared passage, being frequent, makes no list. Sets are shipped once for each block they meet, not once for each
 pair, pairs stay inside a task, and a task returns a spanning forest of the
 components that it links. In all rounds the overlap in the sketch of the union
 estimates the similarity, and what may reach 0.8 is verified on the full sets.
@@ -54,6 +57,7 @@ SHARED = 32
 NEIGHBOURS = 12
 PIVOTS = 4
 BROADCAST_ROWS = 1 << 20
+FREQUENT = 64
 BLOCK_BYTES = 1 << 20
 PART_BYTES = 1 << 22
 _LEAST_WEIGHT = 2048
@@ -298,6 +302,50 @@ def _rest_members(open_lists: DataFrame, sets: DataFrame) -> DataFrame:
     return ys.unionByName(xs.withColumn("is_x", F.lit(True)))
 
 
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k, raw in enumerate(batch.column("shingles").to_pylist()):
+            own = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("class")[k].as_py())), pa.array(own)], names=["class", "shingle"])
+
+
+def _ordered(frequent: np.ndarray, percent: int):
+    """Of each set what its prefix may hold: all rare shingles and, if these are too few, frequent ones by value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, raw in enumerate(batch.column("shingles").to_pylist()):
+                own = np.frombuffer(raw, np.int64)
+                at = np.minimum(np.searchsorted(frequent, own), max(len(frequent) - 1, 0))
+                often = frequent[at] == own if len(frequent) else np.zeros(len(own), bool)
+                prefix = len(own) - -(-percent * len(own) // 100) + 1
+                rare, more = own[~often], np.sort(own[often])
+                more = more[: max(prefix - len(rare), 0)]
+                n = len(rare) + len(more)
+                columns = [np.full(n, batch.column("class")[k].as_py()), np.concatenate([rare, more]), np.full(n, prefix), np.arange(n) >= len(rare)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["class", "shingle", "prefix", "often"])
+
+    return run
+
+
+def _rare_lists(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(key, class, n): lists of the rarest shingles of each class of open lists, as many as one of them must be shared.
+
+    All sets are ordered alike: by the number of these classes that have a shingle, then by value. Those that more
+    than one in 2^20 of all entries hold come last, by value alone; there are less than 2^20 of these.
+    """
+    own = cut(sets.join(_small(open_lists.select("class").distinct()), "class", "left_semi").dropDuplicates(["class"]))
+    entries = own.agg(F.sum("n_shingles")).collect()[0][0] or 0
+    counts = own.mapInArrow(_exploded, "class long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") > max(FREQUENT, entries >> 20)).select("shingle").toArrow()
+    frequent = np.sort(found.column(0).to_numpy())
+    rows = cut(own.mapInArrow(_ordered(frequent, percent), "class long, shingle long, prefix long, often boolean"))
+    rare = rows.where("not often").withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
+    ranked = rare.unionByName(rows.where("often").withColumn("n", F.lit(1 << 62)))
+    rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "shingle"))  # a set's shingles at most
+    return ranked.withColumn("rank", rank).where("rank <= prefix and n > 1").select(F.col("shingle").alias("key"), "class", "n")
+
+
 def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """All document rows with the digest of their class, and (digest, group) of the classes; linked ones share a group."""
     if percent < 80:
@@ -318,7 +366,8 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     open_lists, before, turn = _open_entries(lists, groups), 0, 0
     while left := open_lists.where("component <> main").count():
         if turn and 3 * left > 2 * before:  # pivots no longer help
-            linked = linked.unionByName(_links(_rest_members(open_lists, sets), sets, percent))
+            rest = _open_entries(_rare_lists(open_lists, sets, percent), groups)
+            linked = linked.unionByName(_links(_rest_members(rest, sets), sets, percent))
             groups = cut(components(linked))
             break
         before, turn = left, turn + 1

@@ -1,0 +1,68 @@
+"""Near duplicates among texts that share a long passage: all links are found, and what only shares it is not compared."""
+
+import random
+
+import pytest
+
+from faultgrain.llm import neardup
+
+
+def sets_of(text):
+    words = text.split()
+    return {tuple(words[k : k + 2]) for k in range(len(words) - 1)}
+
+
+@pytest.mark.parametrize("frequent", [2, 64])
+def test_links_among_shared_passages(spark, monkeypatch, frequent):
+    monkeypatch.setattr(neardup, "FREQUENT", frequent)
+    monkeypatch.setattr(neardup, "PIVOTS", 1)
+    rng = random.Random(13)
+    passage = [f"s{k}" for k in range(150)]
+    texts = [[*passage, *(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((20, 30, 100))))] for _ in range(150)]
+    for k in range(60):  # chains of copies with a few changed words
+        words = list(rng.choice(texts))
+        for _ in range(rng.randint(1, 12)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        texts.append(words)
+    texts += [passage, [*passage, "x"]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    rng.shuffle(rows)
+    asked = []
+    original = neardup._rare_lists
+    monkeypatch.setattr(neardup, "_rare_lists", lambda *args: asked.append(1) or original(*args))
+    found = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4), 2).collect()}
+    own = {i: sets_of(t) for i, t in rows}
+    root = {i: i for i in own}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in own:
+        for b in own:
+            if a < b and 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    assert found == {i: top(i) for i in own}
+    assert asked and len(set(found.values())) > 50
+
+
+def test_prefix_holds_what_must_be_shared():
+    rng = random.Random(14)
+    import numpy as np
+    import pyarrow as pa
+
+    for _ in range(200):
+        shared, n, m = rng.randint(4, 40), rng.randint(0, 5), rng.randint(0, 5)
+        a = {rng.randrange(-(1 << 60), 1 << 60) for _ in range(shared)}
+        b = set(a) | {rng.randrange(-(1 << 60), 1 << 60) for _ in range(m)}
+        a |= {rng.randrange(-(1 << 60), 1 << 60) for _ in range(n)}
+        frequent = np.sort(np.array([x for x in a | b if rng.random() < 0.6], np.int64))
+        batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([np.array(sorted(x), np.int64).tobytes() for x in (a, b)], pa.binary())], names=["class", "shingles"])
+        kept = {}
+        for out in neardup._ordered(frequent, 80)([batch]):
+            rows = sorted(zip(out.column("often").to_pylist(), out.column("shingle").to_pylist(), strict=True))
+            kept[out.column("class")[0].as_py()] = {x for _, x in rows[: out.column("prefix")[0].as_py()]}
+        if 100 * len(a & b) >= 80 * len(a | b):
+            assert kept[1] & kept[2]
