@@ -19,8 +19,9 @@ Links are found in rounds. First each class is compared with at most ``PIVOTS``
 pivot classes of its lists, then those outside a list's largest component with as
 many members of it, as long as that leaves a third fewer. This only saves work:
 what is still outside is then compared with others, block against block. Texts
-that share a passage, as pages of a site do, all meet in lists of its values. So
-these last lists are made anew, from full sets: of each set the fifth of its
+that share a passage, as pages of a site do, all meet in lists of its values.
+Where sets would be shipped more than ``REST_TIMES`` times for that, these last
+lists are made anew, from full sets: of each set the fifth of its
 shingles that fewest others have. Sets of similarity 0.8 share one of these, and
 a shared passage, being frequent, makes no list. Sets are shipped once for each block they meet, not once for each
 pair, pairs stay inside a task, and a task returns a spanning forest of the
@@ -58,6 +59,7 @@ NEIGHBOURS = 12
 PIVOTS = 4
 BROADCAST_ROWS = 1 << 20
 FREQUENT = 64
+REST_TIMES = 8
 BLOCK_BYTES = 1 << 20
 PART_BYTES = 1 << 22
 _LEAST_WEIGHT = 2048
@@ -334,16 +336,25 @@ def _rare_lists(open_lists: DataFrame, sets: DataFrame, percent: int) -> DataFra
     All sets are ordered alike: by the number of these classes that have a shingle, then by value. Those that more
     than one in 2^20 of all entries hold come last, by value alone; there are less than 2^20 of these.
     """
-    own = cut(sets.join(_small(open_lists.select("class").distinct()), "class", "left_semi").dropDuplicates(["class"]))
+    own = sets.join(_small(open_lists.select("class").distinct()), "class", "left_semi")
     entries = own.agg(F.sum("n_shingles")).collect()[0][0] or 0
-    counts = own.mapInArrow(_exploded, "class long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
+    counts = own.select("class", "shingles").mapInArrow(_exploded, "class long, shingle long").groupBy("shingle").agg(F.count("*").alias("n"))
     found = counts.where(F.col("n") > max(FREQUENT, entries >> 20)).select("shingle").toArrow()
     frequent = np.sort(found.column(0).to_numpy())
-    rows = cut(own.mapInArrow(_ordered(frequent, percent), "class long, shingle long, prefix long, often boolean"))
-    rare = rows.where("not often").withColumn("n", F.count("*").over(Window.partitionBy("shingle")))
-    ranked = rare.unionByName(rows.where("often").withColumn("n", F.lit(1 << 62)))
-    rank = F.row_number().over(Window.partitionBy("class").orderBy("n", "shingle"))  # a set's shingles at most
-    return ranked.withColumn("rank", rank).where("rank <= prefix and n > 1").select(F.col("shingle").alias("key"), "class", "n")
+    rows = own.select("class", "shingles").mapInArrow(_ordered(frequent, percent), "class long, shingle long, prefix long, often boolean")
+    # Frequent ones need no count; a hash of the row deals them.
+    same = Window.partitionBy(F.when(F.col("often"), F.xxhash64("class", "shingle")).otherwise(F.col("shingle")), "often")
+    counted = rows.withColumn("n", F.when(F.col("often"), F.lit(1 << 62)).otherwise(F.count("*").over(same)))
+    rank = F.dense_rank().over(Window.partitionBy("class").orderBy("n", "shingle"))  # a set's shingles at most; copies of a set count once
+    return counted.withColumn("rank", rank).where("rank <= prefix and n > 1").select(F.col("shingle").alias("key"), "class", "n").distinct()
+
+
+def _costly(members: DataFrame, sets: DataFrame) -> bool:
+    """Whether sets would be shipped more than ``REST_TIMES`` times each, on average."""
+    sizes = sets.select("class", "n_shingles").distinct()
+    shipped = members.where(~F.col("is_x")).join(sizes, "class").groupBy("class").agg(F.sum("n_shingles").alias("all"), F.first("n_shingles").alias("once"))
+    row = shipped.agg(F.sum("all").alias("all"), F.sum("once").alias("once")).collect()[0]
+    return (row["all"] or 0) > REST_TIMES * (row["once"] or 0)
 
 
 def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -366,8 +377,10 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
     open_lists, before, turn = _open_entries(lists, groups), 0, 0
     while left := open_lists.where("component <> main").count():
         if turn and 3 * left > 2 * before:  # pivots no longer help
-            rest = _open_entries(_rare_lists(open_lists, sets, percent), groups)
-            linked = linked.unionByName(_links(_rest_members(rest, sets), sets, percent))
+            rest = cut(_rest_members(open_lists, sets))
+            if _costly(rest, sets):
+                rest = _rest_members(_open_entries(_rare_lists(open_lists, sets, percent), groups), sets)
+            linked = linked.unionByName(_links(rest, sets, percent))
             groups = cut(components(linked))
             break
         before, turn = left, turn + 1

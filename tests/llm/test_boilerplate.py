@@ -16,6 +16,7 @@ def sets_of(text):
 def test_links_among_shared_passages(spark, monkeypatch, frequent):
     monkeypatch.setattr(neardup, "FREQUENT", frequent)
     monkeypatch.setattr(neardup, "PIVOTS", 1)
+    monkeypatch.setattr(neardup, "REST_TIMES", 0)
     rng = random.Random(13)
     passage = [f"s{k}" for k in range(150)]
     texts = [[*passage, *(f"w{rng.randrange(10**6)}" for _ in range(rng.choice((20, 30, 100))))] for _ in range(150)]
