@@ -6,8 +6,8 @@ each weighted by the bits that point into its training text, per symbol wins.
 
 Learning takes, of each language, at most ``ROWS`` whole labelled rows of at most
 ``ROW_BYTES`` bytes, those with the smallest hash of doc_id; where all rows are
-longer, the shortest row alone, and no row of more than ``LONG_BYTES``. Each
-language's suffix automaton is built in a Spark task and becomes a transition
+longer, the shortest row alone, and of one of more than ``LONG_BYTES`` as much in
+``ROWS`` pieces at equal distances. Each language's suffix automaton is built in a Spark task and becomes a transition
 table of bounded size; tables of ``LANGUAGES`` languages are broadcast at a time,
 and with more languages the texts pass through one group after another.
 
@@ -182,16 +182,25 @@ def phrases(texts: list[np.ndarray], tables: list[np.ndarray], width: int) -> np
 
 def _sample(docs: DataFrame) -> DataFrame:
     """At most ROWS rows (lang, text, rank) per language."""
-    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.octet_length("text") <= LONG_BYTES) & F.col("text").rlike("\\p{L}"))
+    train = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
     size, key = F.octet_length("text"), F.xxhash64("doc_id")
     train = train.select("lang", "text", F.when(size > ROW_BYTES, size).otherwise(0).alias("beyond"), key.alias("key"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("beyond", "key", "text"))
     return cut(train.withColumn("rank", rank).where(F.col("rank") <= ROWS).where("beyond = 0 or rank = 1"))
 
 
+def spaced(text: str) -> list[str]:
+    """A text whole, or ROWS pieces at equal distances of one of more than LONG_BYTES, as long together."""
+    size = len(text.encode())
+    if size <= LONG_BYTES:
+        return [text]
+    length = max(1, len(text) * LONG_BYTES // (size * ROWS))
+    return [text[k * len(text) // ROWS :][:length] for k in range(ROWS)]
+
+
 def _training(pdf: pd.DataFrame) -> np.ndarray:
     """UTF-8 bytes of the letters of a language's rows, boundaries between the rows."""
-    rows = [letters(t) for t in pdf.sort_values("rank")["text"]]
+    rows = [letters(piece) for t in pdf.sort_values("rank")["text"] for piece in spaced(t)]
     gap = np.zeros(1, np.uint32)
     return _bytes(np.concatenate([gap[:0], *(x for r in rows if len(r) for x in (r, gap[: int(r[-1] != _GAP)]))]))
 

@@ -297,12 +297,26 @@ def langid_held(i):
 
 
 def test_training_rows(spark):
-    """Whole rows: short ones by hash, else the shortest alone, none beyond the bound."""
+    """Whole rows: short ones by hash, else the shortest alone."""
     long = "ab " * (langid.LONG_BYTES // 3)
     rows = [(4 * k, "x y " * 20, "short") for k in range(60)] + [(1, "ab " * 2000, "short"), (3, "cd " * 1500, "long"), (4, "cd " * 1000, "long"), (5, long + "abc", "huge"), (7, "12 34", "none"), (8, None, "none"), (9, "x", None)]
     found = langid._sample(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()
-    assert {r["lang"]: sum(x["lang"] == r["lang"] for x in found) for r in found} == {"short": langid.ROWS, "long": 1}
-    assert {r["text"] for r in found} == {"x y " * 20, "cd " * 1000}
+    assert {r["lang"]: sum(x["lang"] == r["lang"] for x in found) for r in found} == {"short": langid.ROWS, "long": 1, "huge": 1}
+    assert {r["text"] for r in found} == {"x y " * 20, "cd " * 1000, long + "abc"}
+
+
+def test_language_of_long_rows_alone(spark):
+    """A language whose labelled rows are all longer than LONG_BYTES is learned from pieces of the shortest one."""
+    rng = random.Random(42)
+    words = {"aa": "ka ti mu ro".split(), "long": "she rra ono żix".split()}
+    text = lambda lang, n: " ".join("".join(rng.choices(words[lang], k=3)) for _ in range(n))
+    rows = [(i, text("long", 9000) if i % 2 else text("aa", 30), ("aa", "long")[i % 2]) for i in range(40)]
+    assert all(len(t.encode()) > langid.LONG_BYTES for i, t, _ in rows if i % 2)
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert found == {i: lang for i, _, lang in rows}
+    pieces = langid.spaced(rows[1][1])
+    assert len(pieces) == langid.ROWS and all(p in rows[1][1] for p in pieces) and rows[1][1].endswith(pieces[-1][-5:]) is False
+    assert 0.9 * langid.LONG_BYTES < sum(len(p.encode()) for p in pieces) <= 1.1 * langid.LONG_BYTES
 
 
 def test_languages_in_groups(spark):
