@@ -85,7 +85,26 @@ UNION ALL SELECT 'total', '', count(*) FROM e
 UNION ALL SELECT 'users', '', count(DISTINCT user_id) FILTER (user_id <> '') FROM e""")
 def window_stats(spark, sf_dir):
     """Total, buckets, top values and exact users of a project, a row for each number."""
-    stats = query.stored_window_stats(spark, tables.event_table_path(spark, sf_dir), 1, exact=True)
+    return _stats_rows(query.stored_window_stats(spark, tables.event_table_path(spark, sf_dir), 1, exact=True))
+
+
+@_register(f"""WITH {ERROR_EVENTS}, b AS (SELECT min(ts_ns) + {5 * HOUR // 2} AS lo, max(ts_ns) - {61 * HOUR // 2} AS hi FROM error_events),
+e AS (SELECT error_events.* FROM error_events, b WHERE project_id = 3 AND ts_ns BETWEEN lo AND hi),
+p AS (SELECT unnest([{{'tag': 'level', 'key': level}}, {{'tag': 'release', 'key': release}}, {{'tag': 'environment', 'key': environment}}, {{'tag': 'fingerprint', 'key': fingerprint}}]) AS x FROM e),
+c AS (SELECT x.tag AS tag, x.key AS key, count(*) AS count FROM p WHERE x.key <> '' GROUP BY ALL)
+SELECT tag, key, count FROM c QUALIFY row_number() OVER (PARTITION BY tag ORDER BY count DESC, key) <= 10
+UNION ALL SELECT 'bucket', (ts_ns - ts_ns % {24 * HOUR})::VARCHAR, count(*) FROM e GROUP BY ALL
+UNION ALL SELECT 'total', '', count(*) FROM e
+UNION ALL SELECT 'users', '', count(DISTINCT user_id) FILTER (user_id <> '') FROM e""")
+def window_stats_range(spark, sf_dir):
+    """The same of a range that begins and ends inside an hour, in buckets of a day: stored aggregates and rows of the ends."""
+    path = tables.event_table_path(spark, sf_dir)
+    low, high = store.stored_manifest(spark, path).agg(F.min("min_ts"), F.max("max_ts")).collect()[0]
+    return _stats_rows(query.stored_window_stats(spark, path, 3, since=low + 5 * HOUR // 2, until=high - 61 * HOUR // 2, width=24 * HOUR, exact=True))
+
+
+def _stats_rows(stats):
+    """A row for each number of window statistics."""
     one = lambda tag, key, count: F.struct(F.lit(tag).alias("tag"), key.alias("key"), count.alias("count"))
     empty = F.lit("")
     parts = [F.array(one("total", empty, F.col("total")), one("users", empty, F.col("unique_users"))), F.transform("buckets", lambda b: one("bucket", b["start"].cast("string"), b["count"]))]
@@ -354,6 +373,30 @@ def store_manifest(spark, sf_dir):
     return store.stored_manifest(spark, path).drop("users")
 
 
+@_register(f"WITH {ERROR_EVENTS} SELECT project_id, level, count(*) AS rows, count(DISTINCT event_id) AS ids FROM error_events GROUP BY ALL")
+def store_replays(spark, sf_dir):
+    """Batches of a writer, each run twice, once after compaction: every event is there once."""
+    events = error_events(spark, sf_dir).withColumn("payload", F.lit(None).cast("binary"))
+    path = store.scratch_path(spark, "replays")
+    for batch in (0, 1, 0, 1, 2):
+        store.write_events(events.where(F.col("number") % 3 == batch), path, writer="ingest", batch=batch)
+    store.compact(spark, path)
+    for batch in (1, 2):
+        store.write_events(events.where(F.col("number") % 3 == batch), path, writer="ingest", batch=batch)
+    return store.read_events(spark, path).groupBy("project_id", "level").agg(F.count("*").alias("rows"), F.count_distinct("event_id").alias("ids"))
+
+
+@_register(f"""WITH {ERROR_EVENTS}, b AS (SELECT min(ts_ns) // {24 * HOUR} + 2 AS day FROM error_events)
+SELECT project_id, count(*) AS rows, min(ts_ns) AS first FROM error_events, b WHERE ts_ns // {24 * HOUR} >= day GROUP BY project_id""")
+def retention_drop(spark, sf_dir):
+    """What is left when the first two days of a stored table are dropped."""
+    path = _written(spark, sf_dir)
+    low = store.stored_manifest(spark, path).agg(F.min("min_ts")).collect()[0][0]
+    store.drop_before(spark, path, store.day_of(low + 48 * HOUR))
+    store.vacuum(spark, path, 0)
+    return store.read_events(spark, path).groupBy("project_id").agg(F.count("*").alias("rows"), F.min("ts_ns").alias("first"))
+
+
 @_register(f"""WITH {ERROR_EVENTS}, s AS (SELECT strftime(make_timestamp(ts_ns // 1000), '%Y%m%d%H')::INT AS segment, sum(strlen(message)) AS bytes, max(ts_ns) AS newest_ns, max(arrival_seq) AS end_offset FROM error_events GROUP BY ALL),
 m AS (SELECT max(newest_ns) AS now_ns, sum(bytes) // 2 AS cap, max(end_offset) * 2 // 5 AS floor FROM s),
 c AS (SELECT s.*, end_offset <= floor AND segment <> max(segment) OVER () AND (sum(bytes) OVER (ORDER BY segment DESC) > cap OR now_ns - newest_ns > {48 * HOUR}) AS goes FROM s, m)
@@ -520,10 +563,18 @@ def alert_cooldown(spark, sf_dir):
     return alerts.cool_down(matches, 6 * 3600).select("project_id", "issue", "arrival_seq")
 
 
-@_register()
+@_register(f"""{_BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {_RULES},
+m AS (SELECT r.id AS rule_id, r.name AS rule, r.condition, t.*, row_number() OVER (PARTITION BY r.id, t.project_id, t.target ORDER BY t.seen_at, t.arrival_seq) AS n FROM timeline t JOIN rules r ON r.project_id = t.project_id AND enabled
+  WHERE CASE condition WHEN 'new_issue' THEN is_new WHEN 'regression' THEN regressed ELSE threshold > 0 AND times_seen = threshold END),
+f AS (SELECT * FROM m WHERE n = 1 UNION ALL
+  SELECT m.* FROM f JOIN m ON m.rule_id = f.rule_id AND m.project_id = f.project_id AND m.target = f.target WHERE m.seen_at - f.seen_at >= {alerts.COOLDOWN_SECONDS} * 1000000000
+  QUALIFY row_number() OVER (PARTITION BY m.rule_id, m.project_id, m.target ORDER BY m.n) = 1)
+SELECT rule_id, project_id, target AS issue, arrival_seq, rule, condition, target AS issue_id, title, level, status, times_seen FROM f""")
 def alert_firings(spark, sf_dir):
-    """Matches after the cooldown, with their JSON payload."""
-    return alerts.firings(_activity(spark, sf_dir), _rules(spark))
+    """Matches after the cooldown, with the fields of their JSON payload."""
+    fired = alerts.firings(_activity(spark, sf_dir), _rules(spark))
+    fields = F.from_json("payload", "rule string, condition string, project_id bigint, issue_id string, title string, level string, status string, times_seen bigint").alias("p")
+    return fired.select("rule_id", "issue", "arrival_seq", fields).select("rule_id", "issue", "arrival_seq", "p.*")
 
 
 _CUSTOMER_RULES = """customer_rules AS (SELECT c_custkey AS id, c_nationkey % 4 + 1 AS project_id, CASE WHEN c_custkey % 17 = 0 THEN '' ELSE c_name END AS name,

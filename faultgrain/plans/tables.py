@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.grouping import fingerprint
 from ..schema import EXCEPTIONS, SCHEMA_VERSION
-from ..sources import store
+from ..sources import store, versions
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -106,12 +106,14 @@ def project_keys(spark: SparkSession) -> DataFrame:
 KEYS = "project_keys AS (SELECT i AS id, i // 3 AS project_id, 'key' || i AS public_key, i % 3 <> 0 AND i < 15 AS is_active FROM range(3, 18) r(i))"
 
 
-_written: dict[tuple[str, str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, write: Callable[[str], None]) -> str:
-    """Path of a table that a session writes once for the given tables."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
+    """Path of a table that a session writes once for the given tables, as long as their events don't change."""
+    files, at = versions.file_system(spark, sf_dir)
+    source = files.getContentSummary(at(f"{sf_dir}/events.parquet")).getLength(), files.getFileStatus(at(f"{sf_dir}/events.parquet")).getModificationTime()
+    key = (spark.sparkContext.applicationId, sf_dir, name, source)
     if key not in _written:
         path = store.scratch_path(spark, name)
         write(path)

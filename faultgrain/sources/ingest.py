@@ -1,7 +1,7 @@
 """Raw records to event rows: decode, normalise, authenticate, drop duplicates.
 
 Every record or item that is not stored leaves one row with a reason.
-Field names are matched as written, case included.
+Names of fields are matched in any case; an event that has one twice is malformed.
 """
 
 from __future__ import annotations
@@ -70,6 +70,8 @@ def _header(line: bytes, fields: dict[str, type]) -> dict:
     except (ValueError, RecursionError):
         raise Rejected("malformed") from None
     found = {} if found is None else found
+    if isinstance(found, dict):
+        found = {k.lower(): v for k, v in found.items()}  # the last of a name counts
     if not isinstance(found, dict) or any(found.get(k) is not None and type(found[k]) is not t for k, t in fields.items()):
         raise Rejected("malformed")
     return found
@@ -200,9 +202,27 @@ def parse_exceptions(raw: Column) -> Column:
     return F.coalesce(let(found, strict), F.array().cast(EXCEPTIONS))
 
 
+#: Names of the fields that events are made from.
+FIELDS = (
+    "event_id", "timestamp", "platform", "level", "release", "environment", "message", "logentry", "formatted", "user", "id", "email", "fingerprint",
+    "exception", "values", "type", "value", "stacktrace", "frames", "function", "module", "filename", "abs_path", "in_app",
+)
+
+
+def any_case(text: Column) -> Column:
+    """JSON text with the names of known fields in lower case; text without a capital in them is left alone.
+
+    Inside a JSON string a quotation mark follows a backslash, so only names match.
+    """
+    found = text
+    for name in FIELDS:
+        found = F.regexp_replace(found, f'([{{,]\\s*")(?i:{name})("\\s*:)', f"$1{name}$2")
+    return F.when(text.rlike(f'[{{,]\\s*"(?=[^"]*[A-Z])(?i:{"|".join(FIELDS)})"\\s*:'), found).otherwise(text)
+
+
 def extract_events(items: DataFrame) -> DataFrame:
     """Items with the event's columns and its basis; a payload that is no well-typed event gets reason malformed."""
-    v = F.try_parse_json(F.decode("payload", "UTF-8"))
+    v = F.try_parse_json(any_case(F.decode("payload", "UTF-8")))
     parsed = items.withColumn("v", F.when(F.col("reason").isNull(), v))
     v = F.col("v")
     reason = F.when(F.col("reason").isNotNull(), F.col("reason")).when(v.isNull() | ~_well_typed(v), "malformed")

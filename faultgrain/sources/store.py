@@ -21,6 +21,7 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
 from contextvars import ContextVar
+from datetime import UTC, datetime
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -153,15 +154,14 @@ def read_events(spark: SparkSession, path: str, *, check: bool = True, version:
     return table.where(F.when(known, True).otherwise(F.raise_error(message).cast("boolean")))
 
 
-def _day(ts_ns: int) -> str:
-    from datetime import UTC, datetime
-
+def day_of(ts_ns: int) -> str:
+    """The UTC day of a time, as directories name it."""
     return datetime.fromtimestamp(ts_ns // 1_000_000_000, UTC).strftime("%Y-%m-%d")
 
 
 def _days(since: int, until: int) -> Callable[[str], bool]:
     """Whether a directory may hold rows of a time range (0: no bound)."""
-    low, high = (_day(since) if since else ""), (_day(until) if until else "9999-99-99")
+    low, high = (day_of(since) if since else ""), (day_of(until) if until else "9999-99-99")
     return lambda name: not name.startswith("event_date=") or low <= name.removeprefix("event_date=") <= high
 
 

@@ -103,6 +103,19 @@ def test_exception_shapes(spark):
     assert (rows[3]["message"], rows[3]["basis"]) == ("t 1", "message-template")
 
 
+def test_names_in_any_case(spark):
+    event = {"Event_ID": "A-B", "MESSAGE": 'say {"Message": 1}, "LEVEL": 2', "Level": "info", "user": {"ID": "u1"}, "Tags": {"Mode": "X"}, "exception": {"Values": [{"TYPE": "E", "value": "V", "stackTrace": {"Frames": [{"Function": "f", "In_App": True}]}}]}}
+    plain = {"event_id": "C-D", "message": event["MESSAGE"], "level": "info", "user": {"id": "u1"}, "exception": {"values": [{"type": "E", "value": "V", "stacktrace": {"frames": [{"function": "f", "in_app": True}]}}]}}
+    envelope = b'{"EVENT_ID":"HEAD"}\n{"Type":"event","LENGTH":2}\n{}\n'
+    one, two, three, twice = classified(spark, [(2, "k", json.dumps(event).encode()), (2, "k", json.dumps(plain, separators=(" , ", " : ")).encode()), (1, "k", envelope), (2, "k", b'{"message":"a","Message":"b"}')]).orderBy("arrival_seq").collect()
+    assert (one["event_id"], two["event_id"], three["event_id"], twice["reason"]) == ("ab", "cd", "HEAD", "malformed")
+    for column in ("message", "level", "user_id", "fingerprint", "basis", "reason"):
+        assert one[column] == two[column]
+    assert one["basis"] == "stacktrace" and json.loads(bytes(one["payload"])) == event
+    messages = [r["message"] for r in classified(spark, [(2, "k", json.dumps({k: event["MESSAGE"], "level": "info"}).encode()) for k in ("message", "MESSAGE")]).collect()]
+    assert messages == [event["MESSAGE"]] * 2
+
+
 def test_json_lines(spark, tmp_path):
     """A file of single events, one a line; a line that is none is rejected."""
     (tmp_path / "e.json").write_text('{"event_id":"A-B","message":"one","level":"info"}\nnone\n{"event_id":"cd","message":"two","user":{"email":"x@y.zz"}}\n')
