@@ -563,13 +563,13 @@ def alert_cooldown(spark, sf_dir):
     return alerts.cool_down(matches, 6 * 3600).select("project_id", "issue", "arrival_seq")
 
 
-@_register(f"""{_BASE.replace('WITH', 'WITH RECURSIVE', 1)}, {_RULES},
+@_register(f"""{_BASE}, {_RULES},
 m AS (SELECT r.id AS rule_id, r.name AS rule, r.condition, t.*, row_number() OVER (PARTITION BY r.id, t.project_id, t.target ORDER BY t.seen_at, t.arrival_seq) AS n FROM timeline t JOIN rules r ON r.project_id = t.project_id AND enabled
-  WHERE CASE condition WHEN 'new_issue' THEN is_new WHEN 'regression' THEN regressed ELSE threshold > 0 AND times_seen = threshold END),
-f AS (SELECT * FROM m WHERE n = 1 UNION ALL
-  SELECT m.* FROM f JOIN m ON m.rule_id = f.rule_id AND m.project_id = f.project_id AND m.target = f.target WHERE m.seen_at - f.seen_at >= {alerts.COOLDOWN_SECONDS} * 1000000000
+  WHERE CASE condition WHEN 'new_issue' THEN is_new WHEN 'regression' THEN regressed ELSE threshold > 0 AND times_seen = threshold END)
+SELECT * FROM (WITH RECURSIVE f AS (SELECT * FROM m WHERE n = 1 UNION ALL
+  SELECT m.* FROM f JOIN m ON m.rule_id = f.rule_id AND m.project_id = f.project_id AND m.target = f.target WHERE m.seen_at - f.seen_at >= {alerts.COOLDOWN_SECONDS * 10**9}
   QUALIFY row_number() OVER (PARTITION BY m.rule_id, m.project_id, m.target ORDER BY m.n) = 1)
-SELECT rule_id, project_id, target AS issue, arrival_seq, rule, condition, target AS issue_id, title, level, status, times_seen FROM f""")
+SELECT rule_id, project_id, target AS issue, arrival_seq, rule, condition, target AS issue_id, title, level, status, times_seen FROM f)""")
 def alert_firings(spark, sf_dir):
     """Matches after the cooldown, with the fields of their JSON payload."""
     fired = alerts.firings(_activity(spark, sf_dir), _rules(spark))
