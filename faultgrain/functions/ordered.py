@@ -51,5 +51,9 @@ def sliced(df: DataFrame, keys: list[str], at: str, unit: int, rows: int) -> Dat
 
 
 def dealt(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
-    """Rows of each of ``keys`` together in one partition, one key after the other, in order."""
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """Rows of each of ``keys`` together in one partition, one key after the other, in order.
+
+    They are dealt by a hash of the keys, as Spark leaves out a repartition by the very keys of a join below it
+    and then may run that join as a broadcast one, which deals nothing.
+    """
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)

@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from faultgrain.functions.ordered import dealt
 from faultgrain.operators import access, alerts, issues, query, quota
 from faultgrain.schema import COMMAND, HIT
 from faultgrain.sources import store
@@ -277,6 +278,23 @@ def test_cooldown_in_slices(spark, slice_rows):
     assert alerts.cool_down(df, 0).count() == len(rows)
 
 
+@pytest.mark.parametrize("keys", [["issue"], ["issue", "_slice"]])
+def test_keys_stay_together_behind_a_join(spark, keys):
+    """A join that is planned with a shuffle and becomes a broadcast one as it runs; cooldowns and quotas walk rows behind it."""
+    changed = {"autoBroadcastJoinThreshold": "-1", "adaptive.autoBroadcastJoinThreshold": "100KB", "adaptive.coalescePartitions.enabled": "false"}
+    for name, value in changed.items():
+        spark.conf.set(f"spark.sql.{name}", value)
+    try:
+        rows = spark.range(0, 40000, 1, 4).select("id", (F.col("id") % 3).alias("issue"), (F.col("id") % 2).alias("_slice"))
+        begun = rows.join(rows.groupBy(*keys).agg(F.min("id").alias("entry")), keys)
+        found = dealt(begun, keys, "id").mapInPandas(lambda batches: (b[["issue", "_slice"]].drop_duplicates() for b in batches), "issue bigint, _slice bigint")
+        tasks = found.select(*keys, F.spark_partition_id().alias("task")).distinct().collect()
+    finally:
+        for name in changed:
+            spark.conf.unset(f"spark.sql.{name}")
+    assert len(tasks) == len({r[:-1] for r in tasks}) == 3 * len(keys)
+
+
 def test_quota_function_of_a_slice():
     """The function of any stretch of requests equals walking it, from any content of the bucket."""
     rng = random.Random(6)
