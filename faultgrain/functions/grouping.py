@@ -60,18 +60,16 @@ LIBRARY_PREFIXES = (
 DEFAULT_TOKENS = ("{{ default }}", "{{default}}")
 
 
-def _any(conditions) -> Column:
-    out = F.lit(False)
-    for c in conditions:
-        out = out | c
-    return out
+def _one_of(pieces: tuple[str, ...]) -> str:
+    return "(?:" + "|".join(f"\\Q{piece}\\E" for piece in pieces) + ")"
 
 
 def is_in_app(frame: Column) -> Column:
     """The client's hint if it gave one, else whether neither path nor names look like a library."""
     path = F.lower(F.replace(first_non_empty(frame["abs_path"], frame["filename"]), F.lit("\\"), F.lit("/")))
     names = (present(frame["module"]), present(frame["function"]))
-    library = _any(path.contains(m) for m in LIBRARY_PATHS) | _any(n.startswith(p) for n in names for p in LIBRARY_PREFIXES)
+    prefix = f"^{_one_of(LIBRARY_PREFIXES)}"
+    library = path.rlike(_one_of(LIBRARY_PATHS)) | names[0].rlike(prefix) | names[1].rlike(prefix)
     return F.coalesce(frame["in_app"], ~library)
 
 

@@ -10,7 +10,7 @@ import json
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,8 +51,6 @@ def inflate(body: bytes, encoding: str, limit: int = MAX_BYTES) -> bytes:
                 body = one.unused_data if encoding == "gzip" else b""
             return out
         if encoding == "zstd":
-            import pyarrow as pa
-
             with pa.CompressedInputStream(pa.BufferReader(body), "zstd") as stream:
                 out = stream.read(limit + 1)
             if len(out) > limit:
@@ -114,29 +112,34 @@ def envelope_items(body: bytes, max_bytes: int = MAX_BYTES, max_items: int = MAX
     return head.get("event_id") or "", items
 
 
-def _decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        out = []
-        for r in batch.itertuples(index=False):
-            own = (r.arrival_seq, r.received_at, r.project_id)
+        of, items = [], []
+        columns = (batch.column(c).to_pylist() for c in ("kind", "content_encoding", "body"))
+        for row, (kind, encoding, body) in enumerate(zip(*columns, strict=True)):
             try:
-                body = inflate(bytes(r.body or b""), r.content_encoding or "")
-                if r.kind == SINGLE:
-                    out.append((*own, 0, "event", "", body, None))
-                elif r.kind == ENVELOPE:
-                    event_id, items = envelope_items(body)
-                    out += [(*own, n, kind, event_id, payload, None) for n, (kind, payload) in enumerate(items)]
+                body = inflate(body or b"", encoding or "")
+                if kind == SINGLE:
+                    found = [(0, "event", "", body, None)]
+                elif kind == ENVELOPE:
+                    event_id, parts = envelope_items(body)
+                    found = [(n, item_type, event_id, payload, None) for n, (item_type, payload) in enumerate(parts)]
                 else:
                     raise Rejected("malformed")
             except Rejected as why:
-                out.append((*own, 0, None, "", None, str(why)))
-        yield pd.DataFrame(out, columns=["arrival_seq", "received_at", "project_id", "item_no", "item_type", "header_event_id", "payload", "reason"])
+                found = [(0, None, "", None, str(why))]
+            of += [row] * len(found)
+            items += found
+        types = (pa.int32(), pa.string(), pa.string(), pa.binary(), pa.string())
+        own = batch.select(["arrival_seq", "received_at", "project_id"]).take(pa.array(of, pa.int64()))
+        made = [pa.array(values, kind) for values, kind in zip(zip(*items, strict=True) if items else [()] * len(types), types, strict=True)]
+        yield pa.RecordBatch.from_arrays([*own.columns, *made], names=[*own.schema.names, "item_no", "item_type", "header_event_id", "payload", "reason"])
 
 
 def decode_records(records: DataFrame) -> DataFrame:
     """One row per envelope item, or one with a reason per record that cannot be read."""
     columns = ("arrival_seq", "received_at", "kind", "project_id", "content_encoding", "body")
-    return records.select(*columns).mapInPandas(_decode, ITEM)
+    return records.select(*columns).mapInArrow(_decode, ITEM)
 
 
 def event_items(items: DataFrame) -> DataFrame:
