@@ -232,9 +232,12 @@ def text_functions(spark, sf_dir):
 # ---- ingest ---------------------------------------------------------------
 
 
+RECORDS = 100_000  # in a task that decodes them
+
+
 def _records(spark, sf_dir):
     """Envelopes and single JSON records of all events; every tenth comes twice, some are broken or wrongly keyed."""
-    e = error_events(spark, sf_dir)
+    e = error_events(spark, sf_dir, RECORDS)
     user = F.struct(F.when(F.col("user_id") != "", F.col("user_id")).alias("id"))
     iso = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     fields = F.struct(F.upper("event_id").alias("event_id"), iso.alias("timestamp"), "level", "release", "environment", "message", user.alias("user"))
@@ -309,7 +312,7 @@ def _compressed(batches):
   substr(sha1('stack' || chr(0) || event_type || 'Error' || chr(0) || {_FRAME2} {_FRAME3}), 1, 32) AS fingerprint FROM events""")
 def ingest_exceptions(spark, sf_dir):
     """Compressed records whose exceptions come as an object or as a bare array."""
-    e = spread(table(spark, sf_dir, "events"))
+    e = spread(table(spark, sf_dir, "events"), RECORDS)
     n = F.col("event_id")
     trace = lambda x: F.struct(x["type"].alias("type"), x["value"].alias("value"), F.struct(x["frames"].alias("frames")).alias("stacktrace"))
     own = F.transform(tables.stack_input(n, F.col("event_type"), F.lit(None).cast("boolean"))["exceptions"], trace)

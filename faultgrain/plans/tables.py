@@ -16,10 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """A table of fewer partitions than cores (one small file) dealt to all of them; larger ones stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+def spread(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """A table of fewer partitions than cores (one small file) dealt to all of them; larger ones stay as they are.
+
+    Where a row is much work, ``rows`` are the most that a partition shall hold.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    wanted = max(cores, -(-df.count() // rows)) if rows else cores
+    return df.repartition(wanted) if parts < wanted else df
 
 
 def _level(event_type: Column) -> Column:
@@ -50,9 +54,9 @@ def stack_input(event_id: Column, event_type: Column, in_app: Column) -> Column:
     )
 
 
-def error_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as error events, with arrival_seq and basis beside the stored columns."""
-    e = spread(table(spark, sf_dir, "events"))
+def error_events(spark: SparkSession, sf_dir: str, rows: int | None = None) -> DataFrame:
+    """``events`` as error events, with arrival_seq and basis beside the stored columns; in partitions of at most ``rows``, if given."""
+    e = spread(table(spark, sf_dir, "events"), rows)
     id_text = F.col("event_id").cast("string")
     rows = e.select(
         F.col("event_id").alias("arrival_seq"),

@@ -131,3 +131,15 @@ def test_consumer_lag():
     progress = {"numInputRows": 10, "inputRowsPerSecond": 5.0, "processedRowsPerSecond": 2.0}
     assert ops.consumer_lag(progress) == {"rows": 10, "in_per_second": 5.0, "out_per_second": 2.0, "behind_per_second": 3.0}
     assert ops.consumer_lag(None)["behind_per_second"] == 0
+
+
+def test_records_are_decoded_in_tasks_of_bounded_size(spark, tmp_path, monkeypatch):
+    """However large the table, a task decodes no more records than fit its time."""
+    from faultgrain.plans import queries, tables
+
+    made = "id AS event_id, timestamp_seconds(id) AS ts, id % 9 AS user_id, 'click' AS event_type, 1.0D AS value, '{}' AS props"
+    spark.range(5000).selectExpr(*made.split(", ")).coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(queries, "RECORDS", 300)
+    sizes = queries._records(spark, str(tmp_path)).where("arrival_seq < 1000000000").groupBy(F.spark_partition_id()).count().collect()
+    assert sum(r["count"] for r in sizes) == 5000 and max(r["count"] for r in sizes) <= 350
+    assert tables.spread(spark.range(0, 10, 1, 3)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
