@@ -26,7 +26,8 @@ estimates the similarity, and what may reach 0.8 is verified on the full sets.
 
 Bounds: a block holds sets of about ``BLOCK_BYTES`` and meets others of about
 ``PART_BYTES`` at a time (a larger set is a block of its own); ids are broadcast
-up to ``BROADCAST_ROWS`` rows, more are joined by a shuffle.
+up to ``BROADCAST_ROWS`` rows, more are joined by a shuffle; so are sizes and
+components of classes. Up to ``graph.TASK_EDGES`` links are followed in one task.
 
 Defined cases: documents without words have an empty set and link with
 nothing; with fewer words than a shingle the whole sequence is one shingle;
@@ -39,6 +40,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import blake2b
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -149,8 +151,19 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _listed_sets(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(class, n_shingles, shingles) with the full sets of all classes in lists; a few copies where doc_ids repeat."""
+class Listed(NamedTuple):
+    """The classes in lists."""
+
+    full: DataFrame  # (class, shingles), a few copies where doc_ids repeat
+    sizes: DataFrame  # (class, n_shingles)
+    few: bool  # at most BROADCAST_ROWS classes
+
+    def hint(self, df: DataFrame) -> DataFrame:
+        """``df``, of at most a row for each class, to be broadcast if these are few."""
+        return F.broadcast(df) if self.few else df
+
+
+def _listed_sets(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> Listed:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -161,10 +174,13 @@ def _listed_sets(lists: DataFrame, classes: DataFrame, docs: DataFrame, width: i
                 yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.binary()), pa.array([s.tobytes() for s in new.values()], pa.binary())], names=["digest", "shingles"])
 
     wanted = lists.select("class").distinct().join(classes.select("class", "rep", "digest", "n_shingles"), "class")
-    wanted = _small(wanted)
-    texts = docs.join(wanted.select("rep"), docs.doc_id == F.col("rep"), "left_semi").select("text")
+    wanted = cut(wanted)
+    few = wanted.count() <= BROADCAST_ROWS
+    ids = F.broadcast(wanted) if few else wanted
+    texts = docs.join(ids.select("rep"), docs.doc_id == F.col("rep"), "left_semi").select("text")
     sets = texts.mapInArrow(run, "digest binary, shingles binary")  # a repeated doc_id may bring another text
-    return cut(sets.join(wanted.select("class", "digest", "n_shingles"), "digest").select("class", "n_shingles", "shingles"))
+    full = cut(sets.join(ids.select("class", "digest"), "digest").select("class", "shingles"))
+    return Listed(full, wanted.select("class", "n_shingles"), few)
 
 
 def _estimate(places: np.ndarray, own: int, sizes: np.ndarray, percent: int) -> np.ndarray:
@@ -241,35 +257,32 @@ def _compare(percent: int):
     return run
 
 
-def _links(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _links(members: DataFrame, sets: Listed, percent: int) -> DataFrame:
     """(a, b): components that ``members(block, class, component, is_x)`` link, each block's x against all others of it."""
     weight = F.greatest(F.col("n_shingles") * 8, F.lit(_LEAST_WEIGHT))
-    sized = cut(members.join(sets.select("class", "n_shingles").distinct(), "class"))
+    sized = cut(members.join(sets.hint(sets.sizes), "class"))
     parts = sized.where(~F.col("is_x")).groupBy("block").agg(F.ceil(F.sum(weight) / PART_BYTES).alias("parts"))
     own = F.array(F.pmod(F.xxhash64("class"), F.col("parts")))
-    placed = sized.drop("n_shingles").join(parts, "block").withColumn("part", F.explode(F.when(F.col("is_x"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
-    shipped = sets.select("class", "shingles").join(_small(placed), "class").select("block", "part", "is_x", "component", "shingles")
+    placed = sized.drop("n_shingles").join(sets.hint(parts), "block").withColumn("part", F.explode(F.when(F.col("is_x"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(own)))
+    shipped = sets.full.join(_small(placed), "class").select("block", "part", "is_x", "component", "shingles")
     return shipped.groupBy("block", "part").applyInArrow(_compare(percent), "a long, b long")
 
 
-def _open_entries(lists: DataFrame, groups: DataFrame | None) -> DataFrame:
+def _open_entries(lists: DataFrame, groups: DataFrame, sets: Listed) -> DataFrame:
     """(key, class, n, component, main) of the lists that hold several components; main is the largest."""
-    if groups is None:
-        placed = lists.withColumn("component", F.col("class"))
-    else:
-        placed = lists.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    placed = lists.join(sets.hint(groups.withColumnRenamed("node", "class")), "class", "left").withColumn("component", F.coalesce("component", "class"))
     parts = placed.groupBy("key", "component").agg(F.count("*").alias("m"))
     mixed = parts.groupBy("key").agg(F.max_by("component", F.struct("m", "component")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     return cut(placed.join(mixed.drop("parts"), "key"))
 
 
-def _first_members(lists: DataFrame) -> DataFrame:
+def _first_members(lists: DataFrame, sets: Listed) -> DataFrame:
     """Classes against pivots of their lists: those with the most company, likeliest the source of the others.
 
     Of its lists' pivots a class meets the ``PIVOTS`` that it shares most lists with.
     """
     company = lists.groupBy("class").agg(F.sum("n").alias("company"))
-    pivots = lists.join(company, "class").groupBy("key").agg(F.max_by("class", F.struct("company", "class")).alias("block"))
+    pivots = lists.join(sets.hint(company), "class").groupBy("key").agg(F.max_by("class", F.struct("company", "class")).alias("block"))
     shared = lists.join(pivots, "key").where("class <> block").groupBy("class", "block").agg(F.count("*").alias("lists"))
     most = Window.partitionBy("class").orderBy(F.desc("lists"), "block")  # at most SKETCH rows
     return shared.withColumn("rank", F.row_number().over(most)).where(F.col("rank") <= PIVOTS).select("block", "class", F.col("class").alias("component"))
@@ -284,15 +297,15 @@ def _next_members(open_lists: DataFrame, turn: int) -> DataFrame:
     return outside.join(pivots, ["main", "deal"]).select("block", F.col("main").alias("of"), "class", "component").distinct()
 
 
-def _rest_members(open_lists: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest_members(open_lists: DataFrame, sets: Listed) -> DataFrame:
     """Classes outside the largest component of a list, in blocks, against all members of their lists."""
     weight = F.greatest(F.col("n_shingles") * 8, F.lit(_LEAST_WEIGHT))
     outside = open_lists.where("component <> main")
-    xs = outside.groupBy("class").agg(F.min("main").alias("near"), F.first("component").alias("component")).join(sets.select("class", "n_shingles").distinct(), "class")
+    xs = outside.groupBy("class").agg(F.min("main").alias("near"), F.first("component").alias("component")).join(sets.hint(sets.sizes), "class")
     blocks = xs.groupBy("near").agg(F.ceil(F.sum(weight) / BLOCK_BYTES).alias("blocks"))
-    xs = xs.join(blocks, "near").select("class", "component", F.xxhash64("near", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks"))).alias("block"))
+    xs = xs.join(sets.hint(blocks), "near").select("class", "component", F.xxhash64("near", F.pmod(F.xxhash64("class", F.lit(1)), F.col("blocks"))).alias("block"))
     xs = cut(xs)
-    met = outside.select("key", "class").join(xs.select("class", "block"), "class").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
+    met = outside.select("key", "class").join(sets.hint(xs.select("class", "block")), "class").groupBy("key").agg(F.array_sort(F.collect_set("block")).alias("blocks"))
     ys = open_lists.join(met, "key").groupBy("class").agg(F.first("component").alias("component"), F.array_distinct(F.flatten(F.collect_set("blocks"))).alias("blocks"))
     ys = ys.select(F.explode("blocks").alias("block"), "class", "component", F.lit(False).alias("is_x"))
     return ys.unionByName(xs.withColumn("is_x", F.lit(True)))
@@ -313,19 +326,20 @@ def class_components(docs: DataFrame, width: int, percent: int) -> tuple[DataFra
         both = members.select("block", "class", "component", F.lit(False).alias("is_x")).unionByName(pivots.withColumn("is_x", F.lit(True)))
         return cut(_links(both, sets, percent))
 
-    linked = against(_first_members(lists), "block")
-    groups = cut(components(linked))
-    open_lists, before, turn = _open_entries(lists, groups), 0, 0
+    groups = cut(components(against(_first_members(lists, sets), "block")))
+
+    def joined(linked: DataFrame) -> DataFrame:
+        return cut(components(groups.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(linked)))
+
+    open_lists, before, turn = _open_entries(lists, groups, sets), 0, 0
     while left := open_lists.where("component <> main").count():
         if turn and 3 * left > 2 * before:  # pivots no longer help
-            linked = linked.unionByName(_links(_rest_members(open_lists, sets), sets, percent))
-            groups = cut(components(linked))
+            groups = joined(cut(_links(_rest_members(open_lists, sets), sets, percent)))
             break
         before, turn = left, turn + 1
-        linked = linked.unionByName(against(_next_members(open_lists, turn), "of"))
-        groups = cut(components(linked))
-        open_lists = _open_entries(lists, groups)
-    grouped = classes.select("digest", "class").join(groups.withColumnRenamed("node", "class"), "class", "left")
+        groups = joined(against(_next_members(open_lists, turn), "of"))
+        open_lists = _open_entries(lists, groups, sets)
+    grouped = classes.select("digest", "class").join(sets.hint(groups.withColumnRenamed("node", "class")), "class", "left")
     return rows, grouped.select("digest", F.coalesce("component", "class").alias("group"))
 
 

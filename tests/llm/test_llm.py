@@ -242,6 +242,42 @@ def test_near_duplicates(docs, corpus, width):
     assert kept.columns == docs.columns and kept.count() == sum(r["kept"] for r in found)
 
 
+def test_components_of_many_edges(spark, monkeypatch):
+    rng = random.Random(6)
+    edges = [(i, i + 1) for i in range(40)] + [(rng.randrange(100, 400), rng.randrange(100, 400)) for _ in range(150)]
+    edges = spark.createDataFrame(edges, "a bigint, b bigint")
+    in_a_task = sorted(map(tuple, graph.components(edges).collect()))
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert in_a_task == sorted(map(tuple, graph.components(edges).collect()))
+    assert graph.components(edges.where("a < 0")).count() == 0
+
+
+def test_small_graph_takes_few_tasks(spark):
+    """Each task leaves files, so rounds over a few edges filled the disk where there are many partitions."""
+    own = {"spark.sql.shuffle.partitions": "32", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in own}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a bigint, b bigint")
+    tracker = spark.sparkContext.statusTracker()
+    try:
+        for k, v in own.items():
+            spark.conf.set(k, v)
+        spark.sparkContext.setJobGroup("small graph", "")
+        assert {r["component"] for r in graph.components(edges).collect()} == {0}
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = {s for job in tracker.getJobIdsForGroup("small graph") for s in tracker.getJobInfo(job).stageIds}
+    assert 0 < sum(i.numCompletedTasks for s in stages if (i := tracker.getStageInfo(s))) < 100  # thousands in rounds
+
+
+def test_near_duplicates_without_broadcasts(docs, corpus, monkeypatch):
+    expected = sorted(map(str, neardup.near_duplicates(docs, 2).collect()))
+    monkeypatch.setattr(neardup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(graph, "TASK_EDGES", 0)
+    assert sorted(map(str, neardup.near_duplicates(docs, 2).collect())) == expected
+
+
 def measured(text):
     text = text or ""
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
